@@ -7,14 +7,14 @@ weight of all ways to reach each place of the lattice. Sampling goes backwards f
 a piece that ends here is drawn by its share of that total. Draws come from a hash of row
 key, chunk and step, so a row's segmentation depends on nothing but its key and text.
 
-Filters of chunks are kept in tables, and the chunks of a whole batch step back together.
+The filters of the distinct chunks of a batch are tables made together, place by place, and
+all its chunks step back together.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,14 +25,16 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 CHUNK = re.compile(r" *[^ ]+| +")
-#: Characters of chunks whose filters a task keeps, and chunks sampled at a time.
-REMEMBERED, TOGETHER = 2_000_000, 1 << 18
+#: Chunks that are filtered and sampled at a time.
+TOGETHER = 1 << 19
 MASK = (1 << 64) - 1
+#: Stands for a U+2581 of the text itself, which no piece may take for a space.
+OWN_MARK = 0x110000
 
 
 class Vocabulary:
-    """Pieces of a SentencePiece model with byte fallback. A piece of rank r (its place by
-    score) weighs (r + 1) ** -sharpness, a byte as much as the last piece, squared."""
+    """Pieces of a SentencePiece model with byte fallback, as a trie. A piece of rank r (its
+    place by score) weighs (r + 1) ** -sharpness, each byte as little as the last piece, squared."""
 
     def __init__(self, model: bytes, sharpness: float = 1.0):
         import sentencepiece
@@ -40,91 +42,103 @@ class Vocabulary:
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         n = sp.get_piece_size()
         plain = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
-        rank = {i: r for r, i in enumerate(sorted(plain, key=lambda i: (-sp.get_score(i), i)))}
         self.ids = {sp.id_to_piece(i): i for i in plain}
-        self.weights = {i: -sharpness * math.log(r + 1) for i, r in rank.items()}
-        self.longest = max(map(len, self.ids))
-        self.starts = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
-        self.bytes = [0] * 256
-        self.decoded: list[bytes] = [b""] * n
-        for i in range(n):
-            if sp.is_byte(i):
-                b = int(sp.id_to_piece(i)[3:-1], 16)
-                self.bytes[b], self.decoded[i] = i, bytes([b])
+        self.weights = np.zeros(n)
+        for r, i in enumerate(sorted(plain, key=lambda i: (-sp.get_score(i), i))):
+            self.weights[i] = -sharpness * math.log(r + 1)
         self.byte_weight = -2 * sharpness * math.log(len(plain) + 1)
-        for p, i in self.ids.items():
-            self.decoded[i] = p.replace(SPACE, " ").encode()
-
-    def edges(self, chunk: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """For each place but the first: (start, log weight, ids) of what ends there.
-
-        Spaces are written as U+2581 in pieces. A U+2581 of the text itself is only written
-        in bytes, so that decoding can tell them apart."""
-        n, own = len(chunk), SPACE in chunk
-        text = chunk.replace(SPACE, "\0" if "\0" not in chunk else "￿") if own else chunk
-        text = text.replace(" ", SPACE)
-        out: list[list] = [[] for _ in range(n + 1)]
-        ids, starts, weights = self.ids, self.starts, self.weights
+        self.bytes, self.decoded = [0] * 256, [b""] * n
         for i in range(n):
-            if not (own and chunk[i] == SPACE):
-                j = i + 1
-                while j <= n and (sub := text[i:j]) in starts:
-                    if (p := ids.get(sub)) is not None:
-                        out[j].append((i, weights[p], (p,)))
-                    j += 1
-            if not any(s == i for s, _, _ in out[i + 1]):
-                b = chunk[i].encode("utf-8", "surrogatepass")
-                out[i + 1].append((i, self.byte_weight * len(b), tuple(self.bytes[x] for x in b)))
-        return out
+            if sp.is_byte(i):
+                x = int(sp.id_to_piece(i)[3:-1], 16)
+                self.bytes[x], self.decoded[i] = i, bytes([x])
+        for piece, i in self.ids.items():
+            self.decoded[i] = piece.replace(SPACE, " ").encode()
+        # Node 0 is the root; edges are sorted by (node, character).
+        nodes, edges, ends = {"": 0}, {}, [-1]
+        for piece in sorted(self.ids):
+            for k in range(1, len(piece) + 1):
+                if piece[:k] not in nodes:
+                    nodes[piece[:k]] = len(ends)
+                    edges[nodes[piece[: k - 1]] << 21 | ord(piece[k - 1])] = len(ends)
+                    ends.append(self.ids.get(piece[:k], -1))
+        self.edges = np.array(sorted(edges), np.int64)
+        self.targets = np.array([edges[e] for e in self.edges.tolist()], np.int64)
+        self.ends = np.array(ends, np.int64)
+
+    def step(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The nodes that characters lead to; -1: none."""
+        key = node << 21 | char
+        at = np.minimum(np.searchsorted(self.edges, key), len(self.edges) - 1)
+        return np.where(self.edges[at] == key, self.targets[at], -1)
+
+    def byte_ids(self, char: int) -> list[int]:
+        return [self.bytes[x] for x in (SPACE if char == OWN_MARK else chr(char)).encode("utf-8", "surrogatepass")]
 
 
 class Lattices:
-    """Forward filters of chunks as flat tables: place s has the edges first[s] to first[s + 1];
-    cumulative[e] is s plus the share, up to and with e, of the total weight that reaches s."""
-
-    def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
-        self.clear()
-
-    def clear(self) -> None:
-        self.chunks: dict[str, int] = {}  # its last place
-        self.cumulative, self.back, self.piece, self.first = array("d"), array("q"), array("q"), array("q", [0])
-        self.multiple: list[tuple[int, ...]] = []
-        self.places = 0
-
-    def end_of(self, chunk: str) -> int:
-        """The last place of a chunk; the place before its first character is its start, which has no edges."""
-        if (s := self.chunks.get(chunk)) is not None:
-            return s
-        base, total = self.places, [0.0]
-        self.first.append(len(self.piece))
-        exp, cumulative, back, piece = math.exp, self.cumulative, self.back, self.piece
-        for j, edges in enumerate(self.vocabulary.edges(chunk)[1:], 1):
-            z = [total[i] + w for i, w, _ in edges]
-            if len(z) == 1:
-                total.append(z[0])
-                shares = [1.0]
+    """Forward filters of distinct chunks, longest first.
+
+    Place (j, r) is before character j of chunk r; places are numbered by j, then r. Edges
+    are sorted by the place they end at: first[p] to first[p + 1]. cumulative[e] is p plus the share, up
+    to and with e, of the total weight that reaches p. A piece below 0 is character -1 - piece in bytes."""
+
+    def __init__(self, vocabulary: Vocabulary, chunks: list[str]):
+        n = len(chunks)
+        self.sizes = sizes = np.fromiter(map(len, chunks), np.int64, n)
+        columns = np.searchsorted(-sizes, -np.arange(int(sizes[0]) + 1), "right")  # chunks that reach j
+        self.column = column = np.concatenate([[0], np.cumsum(columns)])
+        chars = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        chars = np.where(chars == ord(SPACE), OWN_MARK, np.where(chars == 32, ord(SPACE), chars))
+        row = np.repeat(np.arange(n), sizes)
+        at = np.arange(len(chars)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        char = np.zeros(column[-1], np.int64)
+        char[column[at + 1] + row] = chars  # each where the place after it is
+        count, found = np.zeros(column[-1], np.int32), []
+        node, length = np.zeros(len(row), np.int64), 0
+        start = column[at] + row
+        while len(row):
+            length += 1
+            end = column[at + length] + row
+            node = vocabulary.step(node, char[end])
+            piece = np.where(node < 0, -1, vocabulary.ends[node])
+            weight = vocabulary.weights[piece]
+            if length == 1:
+                lone = np.flatnonzero(piece < 0)
+                known, where = np.unique(char[end[lone]], return_inverse=True)
+                bytes_of = np.array([len(vocabulary.byte_ids(c)) for c in known.tolist()], np.int64)
+                weight[lone] = vocabulary.byte_weight * bytes_of[where] if len(lone) else 0
+                piece[lone] = -1 - char[end[lone]]
+                new = slice(None)
             else:
-                top = max(z)
-                shares = [exp(x - top) for x in z]
-                whole = sum(shares)
-                total.append(top + math.log(whole) if whole else -math.inf)
-                shares = [x / whole for x in shares]
-            at, so_far = base + j, 0.0
-            for (i, _, ids), share in zip(edges, shares):
-                so_far += share
-                cumulative.append(at + so_far)
-                back.append(base + i)
-                if len(ids) == 1:
-                    piece.append(ids[0])
-                else:
-                    piece.append(-1 - len(self.multiple))
-                    self.multiple.append(ids)
-            cumulative[-1] = at + 1.0
-            self.first.append(len(piece))
-        self.places += len(chunk) + 1
-        self.chunks[chunk] = base + len(chunk)
-        return base + len(chunk)
+                new = np.flatnonzero(piece >= 0)
+            found.append((end[new], count[end[new]], start[new], piece[new], weight[new]))
+            count[end[new]] += 1
+            on = np.flatnonzero((node >= 0) & (at + length < sizes[row]))
+            row, at, node, start = row[on], at[on], node[on], start[on]
+        self.first = first = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
+        slot = np.concatenate([first[e] + k for e, k, _, _, _ in found])
+        put = lambda i: (out := np.empty(len(slot), found[0][i].dtype), out.__setitem__(slot, np.concatenate([f[i] for f in found])))[0]
+        self.back, self.piece, weight = put(2), put(3), put(4)
+        total, share = np.zeros(column[-1]), np.empty(len(slot))
+        for j in range(1, len(columns)):
+            p, q = column[j], column[j + 1]
+            a, b = first[p], first[q]
+            z = total[self.back[a:b]] + weight[a:b]
+            begin, n_edges = first[p:q] - a, count[p:q]
+            top = np.maximum.reduceat(z, begin)
+            x = np.exp(z - np.repeat(top, n_edges))
+            whole = np.add.reduceat(x, begin)
+            total[p:q] = top + np.log(whole)
+            share[a:b] = x / np.repeat(whole, n_edges)
+        running = np.cumsum(share)
+        has = np.flatnonzero(count)
+        before = running[first[has]] - share[first[has]]
+        self.cumulative = running - np.repeat(before - has, count[has])
+        self.cumulative[first[has + 1] - 1] = has + 1.0
+
+    def ends(self, ranks: np.ndarray) -> np.ndarray:
+        return self.column[self.sizes[ranks]] + ranks
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -135,69 +149,66 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def sampled(lattices: Lattices, chunks: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def sampled(vocabulary: Vocabulary, chunks: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of all chunks in order, and how many each has. keys: a uint64 for each chunk."""
-    ends = [lattices.end_of(c) for c in chunks]
-    state = np.array(ends, np.int64)
-    left = state - np.fromiter(map(len, chunks), np.int64, len(chunks))
-    first, back, piece, cumulative = (np.frombuffer(x, k) for x, k in ((lattices.first, np.int64), (lattices.back, np.int64), (lattices.piece, np.int64), (lattices.cumulative, np.float64)))
-    live, step, got = np.arange(len(chunks)), 0, []
+    distinct = sorted(dict.fromkeys(chunks), key=len, reverse=True)
+    rank = dict(zip(distinct, range(len(distinct))))
+    lattices = Lattices(vocabulary, distinct)
+    first, back, cumulative = lattices.first, lattices.back, lattices.cumulative
+    state = lattices.ends(np.fromiter(map(rank.__getitem__, chunks), np.int64, len(chunks)))
+    live, step, got, steps = np.arange(len(chunks)), 0, [], np.zeros(len(chunks), np.int64)
     while len(live):
         s = state[live]
         e = first[s]
         many = np.flatnonzero(first[s + 1] - e > 1)
-        if len(many):
-            u = (mixed(keys[live[many]] ^ mixed(np.full(len(many), step, np.uint64))) >> np.uint64(11)) * 2.0**-53
-            x = np.searchsorted(cumulative, s[many] + u, "right")
-            e = e.copy()
-            e[many] = np.clip(x, e[many], first[s[many] + 1] - 1)
-        got.append((live, piece[e]))
+        u = (mixed(keys[live[many]] ^ mixed(np.full(1, step, np.uint64))) >> np.uint64(11)) * 2.0**-53
+        e[many] = np.clip(np.searchsorted(cumulative, s[many] + u, "right"), e[many], first[s[many] + 1] - 1)
+        got.append((live, lattices.piece[e]))
+        steps[live] += 1
         state[live] = back[e]
-        live = live[back[e] > left[live]]
+        live = live[back[e] >= len(distinct)]
         step += 1
-    if not got:
-        return np.empty(0, np.int32), np.zeros(0, np.int64)
-    where, ids = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
-    order = np.lexsort((-np.repeat(np.arange(len(got)), [len(g[0]) for g in got]), where))
-    where, ids = where[order], ids[order]
+    stop = np.cumsum(steps)
+    ids = np.empty(int(stop[-1]), np.int64)
+    for k, (where, piece) in enumerate(got):
+        ids[stop[where] - 1 - k] = piece
+    lone = np.flatnonzero(ids < 0)
+    if not len(lone):
+        return ids.astype(np.int32), steps
+    known = {c: vocabulary.byte_ids(-1 - c) for c in np.unique(ids[lone]).tolist()}
     sizes = np.ones(len(ids), np.int64)
-    for x in np.flatnonzero(ids < 0):
-        sizes[x] = len(lattices.multiple[-1 - ids[x]])
-    if (ids < 0).any():
-        flat = np.repeat(ids, sizes)
-        at = np.cumsum(sizes) - sizes
-        for x in np.flatnonzero(ids < 0):
-            flat[at[x] : at[x] + sizes[x]] = lattices.multiple[-1 - ids[x]]
-        return flat.astype(np.int32), np.bincount(where, sizes, len(chunks)).astype(np.int64)
-    return ids.astype(np.int32), np.bincount(where, minlength=len(chunks))
-
-
-def encode_batch(lattices: Lattices, texts: list[str], keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts in order, and how many each has. Work is done on parts of bounded size."""
+    sizes[lone] = [len(known[c]) for c in ids[lone].tolist()]
+    flat = np.repeat(ids, sizes)
+    flat[np.repeat(ids < 0, sizes)] = [x for c in ids[lone].tolist() for x in known[c]]
+    return flat.astype(np.int32), np.add.reduceat(sizes, stop - steps)
+
+
+def encode_batch(vocabulary: Vocabulary, texts: list[str], keys: list[int], together: int = TOGETHER) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts in order, and how many each has. Chunks are worked on so many at a
+    time, however they are dealt over texts; an id depends on its text and key only."""
     ids, counts = [], np.zeros(len(texts), np.int64)
     chunks: list[str] = []
-    owner: list[int] = []
-    place: list[int] = []
+    runs: list[tuple[int, int, int]] = []  # text, first place, chunks
 
     def flush() -> None:
         if not chunks:
             return
-        own = np.array(owner, np.int64)
-        seeds = mixed(np.array([keys[o] & MASK for o in owner], np.uint64)) ^ mixed(np.array(place, np.uint64) + np.uint64(1 << 40))
-        got, n = sampled(lattices, chunks, seeds)
+        own = np.repeat([r[0] for r in runs], [r[2] for r in runs])
+        place = np.concatenate([np.arange(a, a + n, dtype=np.uint64) for _, a, n in runs])
+        seeds = mixed(np.array([keys[r[0]] & MASK for r in runs], np.uint64))
+        got, n = sampled(vocabulary, chunks, np.repeat(seeds, [r[2] for r in runs]) ^ mixed(place + np.uint64(1 << 40)))
         ids.append(got)
         np.add.at(counts, own, n)
-        chunks.clear(), owner.clear(), place.clear()
-        if lattices.places > REMEMBERED:
-            lattices.clear()
+        chunks.clear(), runs.clear()
 
     for t, text in enumerate(texts):
-        for p, m in enumerate(CHUNK.finditer(" " + text) if text else ()):
-            chunks.append(m[0])
-            owner.append(t)
-            place.append(p)
-            if len(chunks) >= TOGETHER:
+        new = CHUNK.findall(" " + text) if text else []
+        for a in range(0, len(new), together):
+            part = new[a : a + together]
+            if len(chunks) + len(part) > together:
                 flush()
+            chunks += part
+            runs.append((t, a, len(part)))
     flush()
     return np.concatenate(ids) if ids else np.empty(0, np.int32), counts
 
@@ -220,12 +231,12 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         shared = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary, not data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattices = Lattices(Vocabulary(shared.value, sharpness))
-        decoded = lattices.vocabulary.decoded
+        vocabulary = Vocabulary(shared.value, sharpness)
+        decoded = vocabulary.decoded
         for whole in batches:
             for b in parts_of(whole):
                 texts = b.column(1).to_pylist()
-                ids, n = encode_batch(lattices, [t or "" for t in texts], [k.as_py() for k in b.column(2)])
+                ids, n = encode_batch(vocabulary, [t or "" for t in texts], [k.as_py() for k in b.column(2)])
                 ends = np.concatenate([[0], np.cumsum(n)])
                 flat, fine = ids.tolist(), []
                 for t, x, y in zip(texts, ends[:-1].tolist(), ends[1:].tolist()):
