@@ -47,7 +47,7 @@ _BATCHES = """, batches AS (SELECT o_orderkey AS request_id, EXISTS (SELECT 1 FR
 
 _BODIES = {
     "list_runs": f"SELECT r.*, o.own_cost FROM runs r JOIN own_cost o USING (id) WHERE organization_id = (SELECT id FROM organizations WHERE external_id = '{ORG}') {_LATEST} LIMIT 50",
-    "list_runs_filtered": f"SELECT r.*, o.own_cost FROM runs r JOIN own_cost o USING (id) WHERE organization_id = (SELECT id FROM organizations WHERE external_id = '{ORG}') AND status = 'completed' AND service_name = 'svc-2' AND started_at >= TIMESTAMP '{AFTER}' AND started_at <= TIMESTAMP '{BEFORE}' {_LATEST} LIMIT 200 OFFSET 10",
+    "list_runs_filtered": f"SELECT r.*, o.own_cost FROM runs r JOIN own_cost o USING (id) WHERE organization_id = (SELECT id FROM organizations WHERE external_id = '{ORG}') AND status = 'completed' AND app_id = '1-URGENT' AND started_at >= TIMESTAMP '{AFTER}' AND started_at <= TIMESTAMP '{BEFORE}' {_LATEST} LIMIT 200 OFFSET 2",
     "filter_tenant": f"SELECT r.* FROM runs r JOIN organizations o ON o.id = r.organization_id WHERE o.external_id = '{ORG}'",
     "filter_user": "SELECT * FROM runs WHERE user_id = (SELECT min(id) FROM users)",
     "filter_dims": "SELECT * FROM runs WHERE app_id = '1-URGENT' AND brand_id = 'brand-2' AND status = 'running'",

@@ -43,7 +43,7 @@ def list_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def list_runs_filtered(spark, d):
-    return listing.list_runs(fx.tables(spark, d), ORG, limit="200", offset="10", status="completed", service_name="svc-2", brand_id="", started_after=AFTER, started_before=BEFORE)
+    return listing.list_runs(fx.tables(spark, d), ORG, limit="200", offset="2", status="completed", app_id="1-URGENT", brand_id="", started_after=AFTER, started_before=BEFORE)
 
 
 def filter_tenant(spark, d):
