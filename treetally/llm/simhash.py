@@ -177,8 +177,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each group: the one with the smallest id. Rows that repeat
-    an id and its component are one document, of which one row stays; a group that has only
-    null ids keeps one row."""
+    an id are one document, of which one row stays. Rows with null ids stay only where their
+    whole group has null ids, and all such rows then count as one document."""
     found = near_duplicates(docs.select(id_col, text_col), id_col, text_col).withColumnRenamed("doc_id", "_id")
     firsts = written(found.where(F.col("_id").eqNullSafe(F.col("component_id"))).select("_id").groupBy("_id").count(), "firsts")
     kept = docs.join(firsts.select("_id"), docs[id_col].eqNullSafe(F.col("_id")), "left_semi")
