@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, LAST_ID, ascii_lower, new_path, written
+from .common import ASCII_SPACE, LAST_ID, ascii_lower, new_path, renamed, written
 
 MIN_KEY = 10
 
@@ -124,13 +124,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the largest id. Rows that share an id are one document: none takes lines from another,
     and each keeps its own row. Other columns stay as they are; n_lines and n_dropped, if
     there, are replaced."""
-    keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "_text", "_id", "_row")]
+    docs = docs.drop("n_lines", "n_dropped")
+    names = docs.columns
+    docs, (id_col, text_col) = renamed(docs, id_col, text_col)
+    keep = docs.columns
     # The text travels once, in _text, and the column it came from is rebuilt after the join.
-    rows = _identified(docs.select(*keep), id_col, text_col)
+    rows = _identified(docs, id_col, text_col)
     dropped = repeated_lines(rows.select("_text", "_id", "_row"), batches, buckets, fan_out)
     rows = rows.drop(text_col).join(dropped, ["_id", "_row"], "left")
     flags, kept = _kept(F.col("_lines"), F.col("dropped"))
     rows = rows.withColumn("_lines", F.split("_text", "\n", -1)).withColumn("_flags", flags)
     text = F.when(F.col("dropped").isNull(), F.col("_text")).otherwise(F.array_join(kept(F.col("_flags")), "\n"))
     rows = rows.withColumn(text_col, text)
-    return rows.select(*keep, F.size("_lines").cast("long").alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"))
+    return rows.select(*keep, F.size("_lines").cast("long").alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped")).toDF(*names, "n_lines", "n_dropped")

@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import renamed
+
 BASE = ("email", "ip", "card", "phone")
 EXTRA = ("secret", "idnum", "name")
 KINDS = BASE + EXTRA
@@ -239,7 +241,10 @@ def detect(docs: DataFrame, classifier: SpanClassifier | None = None, id_col: st
 def redact(docs: DataFrame, classifier: SpanClassifier | None = None, text_col: str = "text") -> DataFrame:
     """docs with every span of the text replaced by its kind in brackets, as in [EMAIL].
 
-    Overlapping spans become one, named by the first. Null texts stay null."""
+    Overlapping spans become one, named by the first. Null texts stay null, and all other
+    columns are as they were, whatever their names."""
+    names = docs.columns
+    docs, (text_col,) = renamed(docs, text_col)
     keep = docs.columns
     rows = _classified(docs, text_col, classifier or fit(docs, text_col))
     start = F.expr("cast(array() as array<struct<start:int,rank:int,end:int,kind:string>>)")
@@ -255,4 +260,4 @@ def redact(docs: DataFrame, classifier: SpanClassifier | None = None, text_col:
     parts = F.transform(spans, lambda s, i: F.concat(F.substr(text, end_before(i) + 1, s["start"] - end_before(i)), F.lit("["), F.upper(s["kind"]), F.lit("]")))
     tail = F.substr(text, F.element_at(spans, -1)["end"] + 1)
     new = F.when(F.col(text_col).isNull() | (F.size(spans) == 0), F.col(text_col)).otherwise(F.concat(F.array_join(parts, ""), tail))
-    return rows.withColumn(text_col, new).select(*keep)
+    return rows.withColumn(text_col, new).select(*keep).toDF(*names)

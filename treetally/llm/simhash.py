@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import renamed, written
 from .components import connected_components
 
 SHINGLE, DISTANCE = 3, 3
@@ -179,7 +179,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """docs with one document of each group: the one with the smallest id. Rows that repeat
     an id are one document, of which one row stays. Rows with null ids stay only where their
     whole group has null ids, and all such rows then count as one document."""
+    names = docs.columns
+    docs, (id_col, text_col) = renamed(docs, id_col, text_col)
     found = near_duplicates(docs.select(id_col, text_col), id_col, text_col).withColumnRenamed("doc_id", "_id")
     firsts = written(found.where(F.col("_id").eqNullSafe(F.col("component_id"))).select("_id").groupBy("_id").count(), "firsts")
     kept = docs.join(firsts.select("_id"), docs[id_col].eqNullSafe(F.col("_id")), "left_semi")
-    return kept if firsts.where("count > 1").isEmpty() else kept.dropDuplicates([id_col])
+    return (kept if firsts.where("count > 1").isEmpty() else kept.dropDuplicates([id_col])).toDF(*names)
