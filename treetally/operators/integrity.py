@@ -24,8 +24,9 @@ def integrity_report(tables: dict[str, DataFrame]) -> DataFrame:
                 put(f"{name}.{key} unique", df.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").agg(F.count("*").alias("n")))
         required = [f.name for f in TABLES[name].fields if not f.nullable and f.name in df.columns]
         counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in required])
-        for c in required:
-            put(f"{name}.{c} not null", counts.select(F.col(c).alias("n")))
+        named = [F.struct(F.lit(f"{name}.{c} not null").alias("constraint"), F.col(c).alias("violations")) for c in required]
+        if named:  # one scan a table
+            parts.append(counts.select(F.inline(F.array(*named))))
     for name, column, other in FOREIGN_KEYS:
         keys = tables[other].select(F.col("id").alias(column)).distinct()
         put(f"{name}.{column} in {other}", tables[name].where(F.col(column).isNotNull()).join(keys, column, "left_anti").agg(F.count("*").alias("n")))

@@ -12,6 +12,10 @@ from ..sources.shared import written
 from .listing import costs_total
 
 
+#: Ways in which rows without an ancestor are dealt, as they would share one null key.
+SPREAD = 1 << 16
+
+
 def descendants(runs: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, id, depth) for all runs below each id of roots; a frontier join a level.
 
@@ -65,8 +69,9 @@ def tree_rollup_all(runs: DataFrame, costs: DataFrame) -> DataFrame:
     """(id, own_cost, children_cost, total_cost) for every run at once, by pointer jumping.
 
     After round k a run knows its 2^k-th ancestor and the sum over descendants closer than
-    2^k, itself included; n rows a round, log2 of the depth rounds. A parent that isn't a run
-    counts as none. A cycle is an error."""
+    2^k, itself included; n rows a round, log2 of the depth rounds. Runs that are done (no
+    ancestor left) are dealt out by their id in the join. A parent that isn't a run counts as
+    none. A cycle is an error."""
     known = runs.select("id", F.col("parent_run_id").alias("anc"))
     known = known.join(runs.select(F.col("id").alias("anc"), F.lit(True).alias("there")), "anc", "left").select("id", F.when(F.col("there"), F.col("anc")).alias("anc"))
     own = zero_if_no_cost(F.col("own"))
@@ -77,8 +82,9 @@ def tree_rollup_all(runs: DataFrame, costs: DataFrame) -> DataFrame:
             raise ValueError("runs.parent_run_id has a cycle")
         left -= 1
         gain = state.where("anc is not null").groupBy(F.col("anc").alias("id")).agg(F.sum("sub").cast("decimal(26,10)").alias("gain"))
-        far = state.select(F.col("id").alias("anc"), F.col("anc").alias("further"))
-        new = state.join(gain, "id", "left").join(far, "anc", "left")
+        far = state.select(F.col("id").alias("anc"), F.col("anc").alias("further"), F.lit(0).alias("spread"))
+        spread = F.when(F.col("anc").isNull(), F.pmod(F.xxhash64("id"), F.lit(SPREAD))).otherwise(0).cast("int")
+        new = state.join(gain, "id", "left").withColumn("spread", spread).join(far, ["anc", "spread"], "left")
         total = (F.col("sub") + F.coalesce("gain", F.lit(0).cast("decimal(26,10)"))).cast("decimal(26,10)")
         state = written(new.select("id", F.col("further").alias("anc"), "own_cost", total.alias("sub")), "rollup")
     return state.select("id", "own_cost", (F.col("sub") - F.col("own_cost")).cast("decimal(26,10)").alias("children_cost"), F.col("sub").alias("total_cost"))
