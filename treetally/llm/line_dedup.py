@@ -11,6 +11,7 @@ A line whose (key, document) is in no run is a repeat: an earlier document owns
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,13 +20,15 @@ from pyspark.sql import functions as F
 from .common import ASCII_SPACE, LAST_ID, ascii_lower, new_path, renamed, written
 
 MIN_KEY = 10
+#: Lines of a batch that one bucket of a run holds, about; and how many buckets Spark allows.
+BUCKET_LINES, MAX_BUCKETS = 4_000_000, 100_000
 
 
 class LineRuns:
     """The levels of sorted runs. Every run has `buckets` buckets, so that a merge join with
     one moves only the batch."""
 
-    def __init__(self, spark: SparkSession, buckets: int = 32, fan_out: int = 3):
+    def __init__(self, spark: SparkSession, buckets: int, fan_out: int = 3):
         self.spark, self.buckets, self.fan_out = spark, buckets, fan_out
         self.levels: list[list[str]] = []
 
@@ -89,17 +92,24 @@ def _batch_of(docs: DataFrame, batches: int) -> Column:
     return out
 
 
-def repeated_lines(docs: DataFrame, batches: int = 4, buckets: int = 32, fan_out: int = 3) -> DataFrame:
+def buckets_for(spark: SparkSession, lines: int, batches: int) -> int:
+    """As many buckets as shuffles have partitions, so that a batch is dealt as the runs are; a
+    multiple of that where buckets would outgrow BUCKET_LINES."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(parts * max(1, math.ceil(lines / batches / BUCKET_LINES / parts)), MAX_BUCKETS))
+
+
+def repeated_lines(docs: DataFrame, batches: int = 4, buckets: int | None = None, fan_out: int = 3) -> DataFrame:
     """(_id, _row, dropped): for each row of docs that loses lines, their places, ascending.
 
-    docs needs _text, _id and _row."""
+    docs needs _text, _id and _row. buckets: of each run, by default by the number of lines."""
     spark = docs.sparkSession
     line = F.posexplode(F.split(ascii_lower(F.col("_text")), "\n", -1)).alias("pos", "line")
     lines = (docs.select("_id", "_row", "_text").withColumn("batch", _batch_of(docs, batches)).select("batch", "_id", "_row", line)
              .select("batch", "_id", "_row", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= MIN_KEY)
              .withColumn("key", F.unhex(F.md5("key"))))
     lines = written(lines, "lines")
-    runs = LineRuns(spark, buckets, fan_out)
+    runs = LineRuns(spark, buckets or buckets_for(spark, lines.count(), batches), fan_out)
     for b in range(batches):
         runs.add(lines.where(F.col("batch") == b).select("key", F.col("_id").alias("owner")))
     # Joined by key and document: a key that very many documents hold spreads over all tasks.
@@ -115,7 +125,7 @@ def _kept(lines: Column, dropped: Column) -> Column:
     return flags, lambda flag: F.filter(lines, lambda _, i: F.coalesce(F.get(flag, i), F.lit(True)))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 4, buckets: int = 32, fan_out: int = 3) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 4, buckets: int | None = None, fan_out: int = 3) -> DataFrame:
     """docs with the text of repeated lines taken out, and n_lines (before) and n_dropped.
 
     A line's key is the line without white space at its ends, A-Z lower-cased. A key of at
