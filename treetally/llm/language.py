@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import written
+
 LONGEST = 5
 LETTERS = regex.compile(r"\p{L}+")
 #: Python's classes agree on these texts, and are faster.
@@ -113,6 +115,7 @@ def fit(docs: DataFrame, trainable: Column, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.string()), pa.array([o[2] for o in out], pa.int64())], ["token", "lang", "n"])
 
     counted = rows.select("text", "lang").mapInArrow(tokens, "token string, lang string, n long").groupBy("token", "lang").agg(F.sum("n").alias("n"))
+    counted = written(counted, "tokens")  # texts are read once; words and n-grams come from the counts
     words = _weighted(counted, langs, max_entries)
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
