@@ -65,3 +65,11 @@ def test_stages(spark, tmp_path):
     for r in out[5].collect():
         places[r["doc_id"]] += r["length"]
     assert places == {i: len((t or "").encode().split()) + 1 for i, t in redacted}
+
+
+def test_near_copies_are_dropped_by_row(spark):
+    a, b, c, d = ("alpha beta gamma delta", "one two three four five", "red green blue white", "north south east west")
+    rows = [(3, a), (5, a), (5, b), (None, c), (None, d), (None, d), (None, b), (7, None), (None, ""), (9, "x y z u"), (9, "p q r s t")]
+    docs = spark.createDataFrame([(i, t, None, "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter(pairs(corpus_pipeline.drop_near_copies(spark, docs, "")))
+    assert got == Counter([(3, a), (5, b), (None, c), (None, d), (7, None), (9, "x y z u"), (9, "p q r s t")])

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import renamed, written
@@ -43,14 +43,20 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp), a row for each row. Null and empty texts have fingerprint zero."""
+    """(doc_id, fp, text_hash), a row for each row. Null and empty texts have fingerprint zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.fromiter((fingerprint(t.as_py()) for t in b.column(1)), np.int64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), b.column(2)], ["doc_id", "fp", "text_hash"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), text_hash(text_col))
+    return rows.mapInArrow(run, "doc_id long, fp long, text_hash long")
+
+
+def text_hash(text_col: str) -> Column:
+    """Tells rows of one id, or of none, apart."""
+    return F.xxhash64(F.col(text_col).cast("string"))
 
 
 def anchors_of(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -166,22 +172,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     its whole component has null ids (then null). Rows that share an id are nodes of their
     own. Other columns of docs play no part. Copies share a fingerprint and are one node, so
     groups of copies of any size make no links among themselves."""
+    rows = _in_components(docs, id_col, text_col, block)
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _in_components(docs: DataFrame, id_col: str, text_col: str, block: int = BLOCK) -> DataFrame:
+    """(doc_id, fp, text_hash, root, component_id), a row for each row of docs; root is the smallest fingerprint of the component."""
     fps = written(fingerprints(docs, id_col, text_col), "fingerprints")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     roots = connected_components(links(fps, block)).withColumnRenamed("node", "fp")
     nodes = written(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "nodes")
     ids = nodes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of = nodes.select("fp", "root").join(ids, "root").select("fp", "component_id")
-    return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = nodes.select("fp", "root").join(ids, "root").select("fp", "root", "component_id")
+    return fps.join(of, "fp").select("doc_id", "fp", "text_hash", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each group: the one with the smallest id. Rows that repeat
-    an id are one document, of which one row stays. Rows with null ids stay only where their
-    whole group has null ids, and all such rows then count as one document."""
+    """docs with one row of each component: of those with the smallest id (nulls last) the one
+    with the smallest text hash. Rows are told apart by id and text hash, so rows that share
+    an id, or have none, stay or go each by its own text; of rows equal in both one stays."""
     names = docs.columns
     docs, (id_col, text_col) = renamed(docs, id_col, text_col)
-    found = near_duplicates(docs.select(id_col, text_col), id_col, text_col).withColumnRenamed("doc_id", "_id")
-    firsts = written(found.where(F.col("_id").eqNullSafe(F.col("component_id"))).select("_id").groupBy("_id").count(), "firsts")
-    kept = docs.join(firsts.select("_id"), docs[id_col].eqNullSafe(F.col("_id")), "left_semi")
-    return (kept if firsts.where("count > 1").isEmpty() else kept.dropDuplicates([id_col])).toDF(*names)
+    found = _in_components(docs.select(id_col, text_col), id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    each = found.groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("copies"))
+    least = each.groupBy("root").agg(F.min(F.struct("text_hash", "doc_id", "copies")).alias("kept"))
+    firsts = written(least.select(F.col("kept.doc_id").alias("_id"), F.col("kept.text_hash").alias("_hash"), F.col("kept.copies").alias("_copies")), "firsts")
+    docs = docs.withColumn("_text_hash", text_hash(text_col))
+    same = docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
+    kept = docs.join(firsts.select("_id", "_hash"), same, "left_semi")
+    if not firsts.where("_copies > 1").isEmpty():
+        kept = kept.dropDuplicates([id_col, "_text_hash"])
+    return kept.drop("_text_hash").toDF(*names)
