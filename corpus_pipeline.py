@@ -10,10 +10,13 @@ from treetally.llm.common import written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have a language; lang is what was found. Those without a letter go."""
+    """Documents whose text has a letter; lang is what was found. Where no language could be
+    learned, lang stays as it was."""
     model = language.fit(docs, ~language.held_out("doc_id", 5, 0))
-    found = language.identify(docs, model)
-    return found.where(F.col("lang_pred") != language.UNDECIDED).withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    if not model.langs:
+        return language.lettered(docs)
+    found = language.identify(docs, model)  # only texts without a letter have score 0
+    return found.where("score > 0").withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

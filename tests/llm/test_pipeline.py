@@ -73,3 +73,13 @@ def test_near_copies_are_dropped_by_row(spark):
     docs = spark.createDataFrame([(i, t, None, "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = Counter(pairs(corpus_pipeline.drop_near_copies(spark, docs, "")))
     assert got == Counter([(3, a), (5, b), (None, c), (None, d), (7, None), (9, "x y z u"), (9, "p q r s t")])
+
+
+def test_unlabelled_documents_stay(spark):
+    held = next(i for i in range(100) if spark.range(i, i + 1).where(language.held_out("id", 5, 0)).count())
+    texts = [(held, "words of a document"), (None, "слово"), (held + 1, "12 + ..."), (held + 2, None), (held + 3, "é")]
+    for lang in (None, "en"):  # no label at all; the only label in the held-out fold
+        rows = [(i, t, lang if i == held else None, "s", 1) for i, t in texts]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+        got = corpus_pipeline.identify_language(spark, docs, "").collect()
+        assert Counter(map(tuple, got)) == Counter(r for r in rows if regex.search(r"\p{L}", r[1] or ""))

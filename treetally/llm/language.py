@@ -161,6 +161,18 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep
     return rows.mapInArrow(run, T.StructType([*docs.select(*names).schema.fields, *added]))
 
 
+def lettered(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text has a letter, as words_of sees it."""
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = names.index(text_col)
+        for b in batches:
+            yield b.filter(pa.array([bool(words_of(t.as_py() or "")) for t in b.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str, folds: int, rest: int) -> Column:
     """Whether a row belongs to the held-out fold; false for a null id."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == rest, F.lit(False))
