@@ -92,6 +92,16 @@ def test_line_dedup(docs, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_rows_without_an_id_are_documents_of_their_own(spark):
+    last = (1 << 63) - 1
+    texts = [(3, "a line of three\nshort"), (last, "a line of the last"), (None, "A line of three \nnull line one"), (None, "null line one\nnull line two"), (None, "a line of the last\nnull line two"), *[(None, "copied line\nx")] * 3, (0, "zero's own line")]
+    rows = line_dedup.dedup_lines(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), batches=2, buckets=2, fan_out=2).collect()
+    kept = Counter(k for r in rows for x in r["text"].split("\n") if len(k := x.strip().lower()) >= 10)
+    assert kept == {k: 1 for k in ("a line of three", "a line of the last", "null line one", "null line two", "copied line", "zero's own line")}
+    assert {r["doc_id"]: r["text"] for r in rows if r["doc_id"] is not None} == {3: texts[0][1], last: texts[1][1], 0: texts[-1][1]}
+    assert sum(r["n_lines"] - r["n_dropped"] for r in rows) == 10 and Counter(r["text"] for r in rows)["x"] == 2
+
+
 def plain_fingerprint(t):
     w = (t or "").encode().lower().split()
     grams = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([b" ".join(w)] if w else [])

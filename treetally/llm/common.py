@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 #: What the text contracts call white space.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Stands in for a null id wherever ids are compared: after every other id.
-LAST_ID = (1 << 63) - 1
 
 
 def work_dir(spark: SparkSession) -> str:

@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, LAST_ID, ascii_lower, new_path, renamed, written
+from .common import ASCII_SPACE, ascii_lower, new_path, renamed, written
 
 MIN_KEY = 10
 #: Lines of a batch that one bucket of a run holds, about; and how many buckets Spark allows.
@@ -48,12 +48,15 @@ class LineRuns:
             out = out.unionByName(self.spark.table(name))
         return out
 
-    def add(self, batch: DataFrame) -> None:
-        """batch: (key, owner) with documents that follow those of all earlier batches."""
+    def fresh(self, batch: DataFrame) -> DataFrame:
+        """(key, owner) of the keys that no run has. batch: (key, owner) with documents that follow those of all runs."""
         fresh = batch.groupBy("key").agg(F.min("owner").alias("owner"))
         for name in self.names():
             fresh = fresh.join(self.spark.table(name).select("key").hint("merge"), "key", "left_anti")
-        self._put(self._write(fresh), 0)
+        return fresh
+
+    def add(self, batch: DataFrame) -> None:
+        self._put(self._write(self.fresh(batch)), 0)
 
     def _put(self, name: str, level: int) -> None:
         if level == len(self.levels):
@@ -77,9 +80,18 @@ def line_key(lowered_line: Column) -> Column:
 
 
 def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with _id (no nulls) and _row, which tells rows of one id apart by their text."""
+    """docs with _id and _row, which tells rows of one id apart by their text; the text travels once, in _text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.withColumns({"_text": text, "_id": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), "_row": F.xxhash64(text)})
+    return docs.withColumns({"_text": text, "_id": F.col(id_col).cast("long"), "_row": F.xxhash64(text)}).drop(text_col)
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Rows without an id, each a document of its own: _id numbers them in the order of _row,
+    which no row with an id has. Copies of one text spread over all tasks."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.withColumns({"_row": F.xxhash64(F.lit("no id"), F.col("_text")), "_salt": F.rand(0)})
+    rows = rows.repartitionByRange(parts, "_row", "_salt").sortWithinPartitions("_row", "_salt")
+    return written(rows.withColumn("_id", F.monotonically_increasing_id()).drop("_salt"), "numbered")
 
 
 def _batch_of(docs: DataFrame, batches: int) -> Column:
@@ -99,13 +111,17 @@ def buckets_for(spark: SparkSession, lines: int, batches: int) -> int:
     return max(1, min(parts * max(1, math.ceil(lines / batches / BUCKET_LINES / parts)), MAX_BUCKETS))
 
 
-def repeated_lines(docs: DataFrame, batches: int = 4, buckets: int | None = None, fan_out: int = 3) -> DataFrame:
+def repeated_lines(docs: DataFrame, batches: int = 4, buckets: int | None = None, fan_out: int = 3, later: DataFrame | None = None) -> DataFrame:
     """(_id, _row, dropped): for each row of docs that loses lines, their places, ascending.
 
-    docs needs _text, _id and _row. buckets: of each run, by default by the number of lines."""
+    docs needs _text, _id and _row. buckets: of each run, by default by the number of lines.
+    later: documents that follow all of docs and have _ids of their own kind."""
     spark = docs.sparkSession
     line = F.posexplode(F.split(ascii_lower(F.col("_text")), "\n", -1)).alias("pos", "line")
-    lines = (docs.select("_id", "_row", "_text").withColumn("batch", _batch_of(docs, batches)).select("batch", "_id", "_row", line)
+    texts = docs.select("_id", "_row", "_text").withColumn("batch", _batch_of(docs, batches))
+    if later is not None:
+        texts = texts.unionByName(later.select("_id", "_row", "_text", F.lit(batches).alias("batch")))
+    lines = (texts.select("batch", "_id", "_row", line)
              .select("batch", "_id", "_row", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= MIN_KEY)
              .withColumn("key", F.unhex(F.md5("key"))))
     lines = written(lines, "lines")
@@ -113,9 +129,16 @@ def repeated_lines(docs: DataFrame, batches: int = 4, buckets: int | None = None
     for b in range(batches):
         runs.add(lines.where(F.col("batch") == b).select("key", F.col("_id").alias("owner")))
     # Joined by key and document: a key that very many documents hold spreads over all tasks.
-    owned = runs.owners().withColumnRenamed("owner", "_id")
-    return (lines.select("_id", "_row", "pos", "key").join(owned, ["key", "_id"], "left_anti")
-            .groupBy("_id", "_row").agg(F.sort_array(F.collect_set("pos")).alias("dropped")))
+    def repeats(some: DataFrame, owners: DataFrame) -> DataFrame:
+        return some.select("_id", "_row", "pos", "key").join(owners.withColumnRenamed("owner", "_id"), ["key", "_id"], "left_anti")
+
+    if later is None:
+        out = repeats(lines, runs.owners())
+    else:
+        last = lines.where(F.col("batch") == batches)
+        owners = written(runs.fresh(last.select("key", F.col("_id").alias("owner"))), "owners")
+        out = repeats(lines.where(F.col("batch") < batches), runs.owners()).unionByName(repeats(last, owners))
+    return out.groupBy("_id", "_row").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
 
 
 def _kept(lines: Column, dropped: Column) -> Column:
@@ -130,18 +153,20 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A line's key is the line without white space at its ends, A-Z lower-cased. A key of at
     least 10 characters that two documents hold stays only in the smallest id. Null and
-    empty texts are one empty line, and the result's text is never null. A null id counts as
-    the largest id. Rows that share an id are one document: none takes lines from another,
-    and each keeps its own row. Other columns stay as they are; n_lines and n_dropped, if
+    empty texts are one empty line, and the result's text is never null. Rows with a null id
+    follow all others, each a document of its own, in the order of their texts' hash. Rows
+    that share an id are one document: none takes lines from another, and each keeps its own
+    row. Other columns stay as they are; n_lines and n_dropped, if
     there, are replaced."""
     docs = docs.drop("n_lines", "n_dropped")
     names = docs.columns
     docs, (id_col, text_col) = renamed(docs, id_col, text_col)
     keep = docs.columns
-    # The text travels once, in _text, and the column it came from is rebuilt after the join.
-    rows = _identified(docs, id_col, text_col)
-    dropped = repeated_lines(rows.select("_text", "_id", "_row"), batches, buckets, fan_out)
-    rows = rows.drop(text_col).join(dropped, ["_id", "_row"], "left")
+    rows, later = _identified(docs, id_col, text_col), None
+    if not rows.where("_id is null").isEmpty():
+        rows, later = rows.where("_id is not null"), _numbered(rows.where("_id is null"))
+    dropped = repeated_lines(rows.select("_text", "_id", "_row"), batches, buckets, fan_out, later)
+    rows = (rows if later is None else rows.unionByName(later)).join(dropped, ["_id", "_row"], "left")
     flags, kept = _kept(F.col("_lines"), F.col("dropped"))
     rows = rows.withColumn("_lines", F.split("_text", "\n", -1)).withColumn("_flags", flags)
     text = F.when(F.col("dropped").isNull(), F.col("_text")).otherwise(F.array_join(kept(F.col("_flags")), "\n"))
