@@ -263,6 +263,22 @@ def test_quality_and_language_edges(spark, docs, empty):
     assert language.fit(empty, F.lit(True)).predict("words here") == ("und", 0.0)
 
 
+def test_rare_languages_are_learned(spark):
+    rng = np.random.default_rng(5)
+    word = lambda letters: "".join(rng.choice(list(letters), 6))
+    of = {x: [word(letters) for _ in range(300)] for x, letters in (("aa", "abcdef"), ("bb", "ghijkl"), ("zz", "mnopqr"))}
+    rows = [(i, " ".join(rng.choice(of[x], 30)) if x in of else "12 + ...", x) for i, x in enumerate(["zz"] * 5 + ["aa"] * 600 + ["bb"] * 595 + ["un"] * 3)]
+    docs = spark.createDataFrame([*rows, *[(None, t, x) for _, t, x in rows[:2]]], "doc_id long, text string, lang string")
+    model = language.fit(docs, F.lit(True), max_docs=100, max_entries=300)
+    assert model.langs == ["aa", "bb", "zz"] and len(model.words) <= 300 and len(model.grams) <= 300
+    zz = {w for _, t, x in rows if x == "zz" for w in t.split()}
+    assert len(zz & set(model.words)) >= 80
+    for x, words in of.items():  # of frequent and rare words, and words that were never seen
+        assert {model.predict(" ".join(words[i : i + 5]))[0] for i in range(0, 300, 5)} == {x}
+    unnamed = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    assert language.fit(unnamed, F.lit(True), max_docs=100).predict(" ".join(of["zz"][:5]))[0] == "zz"
+
+
 def test_additive_model_learns_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, len(quality.FEATURES)))

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,26 +84,54 @@ class LanguageModel:
         return self.langs[best], float(1 / np.exp(z - z[best]).sum())
 
 
-def _bounded(labelled: DataFrame, id_col: str, lang_col: str, max_docs: int) -> DataFrame:
-    """At most max_docs labelled rows: those with the smallest hash of their id."""
-    order = [F.xxhash64(F.col(id_col)), F.col(id_col), F.col(lang_col)]
-    return labelled.orderBy(*order).limit(max_docs)
+def shares(counts: dict[str, int], total: int) -> dict[str, int]:
+    """At most total in all, dealt evenly: what one cannot use goes to the others."""
+    out, left = {}, total
+    for i, x in enumerate(sorted(counts, key=lambda x: (counts[x], x))):
+        out[x] = min(counts[x], left // (len(counts) - i))
+        left -= out[x]
+    return out
+
+
+def _sampled(rows: DataFrame, of: dict[str, int], max_docs: int) -> DataFrame:
+    """Rows of (lang, hash, ...): of each language in `of` (rows of each) its share of max_docs,
+    those with the smallest hash, and at least one hash's rows."""
+    spark, share = rows.sparkSession, shares(of, max_docs)
+    # About as many rows as wanted lie below this; what lies there is counted exactly.
+    wanted = {x: (share[x] + 6 * share[x] ** 0.5 + 20) / of[x] for x in of}
+    bound = [(x, min((1 << 63) - 1, int(w * 2.0**64) - (1 << 63))) for x, w in wanted.items()]
+    low = rows.join(F.broadcast(spark.createDataFrame(bound, "lang string, bound long")), "lang")  # max_langs rows
+    near = low.where("hash <= bound").groupBy("lang", "hash").count().collect()  # about max_docs rows
+    found: dict[str, list] = {x: [] for x in of}
+    for r in near:
+        found[r["lang"]].append((r["hash"], r["count"]))
+    if any(not found[x] for x in of):  # a few texts only, all of high hash
+        for r in rows.where(F.col("lang").isin([x for x in of if not found[x]])).groupBy("lang").agg(F.min("hash").alias("hash")).collect():
+            found[r["lang"]].append((r["hash"], 1))
+    cuts = []
+    for x, hashes in found.items():
+        seen, cut = 0, None
+        for h, n in sorted(hashes):
+            if cut is not None and seen + n > share[x]:
+                break
+            seen, cut = seen + n, h
+        cuts.append((x, cut))
+    return rows.join(F.broadcast(spark.createDataFrame(cuts, "lang string, cut long")), "lang").where("hash <= cut")
 
 
 def fit(docs: DataFrame, trainable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 20_000, max_entries: int = 100_000, max_langs: int = 200) -> LanguageModel:
     """Learns from rows of docs where trainable holds and lang isn't null.
 
     max_docs bounds the labelled rows that are used, max_entries the words and the n-grams
-    kept, max_langs the languages (the most frequent). No rows: a model without languages."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).alias("lang")).where(trainable & F.col("lang").isNotNull())
+    kept, both dealt evenly to the languages, max_langs the languages (the most frequent).
+    Languages without a word in the rows used are not learned. No words: a model without
+    languages."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).alias("lang")).where(trainable & F.col("lang").isNotNull()).withColumn("hash", F.xxhash64("doc_id", "text"))
     by = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
-    langs = sorted(r["lang"] for r in by)
-    if not langs:
-        return LanguageModel([], np.zeros(0), {}, np.zeros((0, 0)), {}, np.zeros((0, 0)))
     of = {r["lang"]: r["count"] for r in by}
-    prior = np.log([of[x] / sum(of.values()) for x in langs])
-    chosen = _bounded(rows.where(F.col("lang").isin(langs)).select("doc_id", "lang"), "doc_id", "lang", max_docs).select("doc_id").distinct()
-    rows = rows.join(F.broadcast(chosen), "doc_id", "left_semi")  # max_docs ids at most
+    if not of:
+        return LanguageModel([], np.zeros(0), {}, np.zeros((0, 0)), {}, np.zeros((0, 0)))
+    rows = _sampled(rows, of, max_docs)
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Counted per batch already: what is shuffled is (token, language, count).
@@ -116,6 +144,11 @@ def fit(docs: DataFrame, trainable: Column, id_col: str = "doc_id", text_col: st
 
     counted = rows.select("text", "lang").mapInArrow(tokens, "token string, lang string, n long").groupBy("token", "lang").agg(F.sum("n").alias("n"))
     counted = written(counted, "tokens")  # texts are read once; words and n-grams come from the counts
+    types = {r["lang"]: r["count"] for r in counted.groupBy("lang").count().collect()}
+    langs = sorted(types)
+    if not langs:
+        return LanguageModel([], np.zeros(0), {}, np.zeros((0, 0)), {}, np.zeros((0, 0)))
+    prior = np.log([of[x] / sum(of[y] for y in langs) for x in langs])
     words = _weighted(counted, langs, max_entries)
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,15 +163,25 @@ def fit(docs: DataFrame, trainable: Column, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.string()), pa.array([o[2] for o in out], pa.int64())], ["token", "lang", "n"])
 
     pieces = counted.select("token", "lang").mapInArrow(grams, "token string, lang string, n long").groupBy("token", "lang").agg(F.sum("n").alias("n"))
+    pieces = written(pieces, "pieces")
     return LanguageModel(langs, prior, *words, *_weighted(pieces, langs, max_entries))
 
 
 def _weighted(counted: DataFrame, langs: list[str], max_entries: int) -> tuple[dict[str, int], np.ndarray]:
-    """Index and log frequencies by language of the most frequent tokens of (token, lang, n)."""
+    """Index and log frequencies by language of tokens of (token, lang, n): the most frequent of
+    each language. A token that a language lacks weighs the same in all languages."""
+    types = {r["lang"]: r["count"] for r in counted.groupBy("lang").count().collect()}
+    if sum(types.values()) > max_entries:
+        most = F.broadcast(counted.sparkSession.createDataFrame(list(shares(types, max_entries).items()), "lang string, most long"))
+        order = Window.partitionBy("lang").orderBy(F.desc("n"), "token")  # what max_docs texts hold
+        best = counted.withColumn("rank", F.row_number().over(order)).join(most, "lang").where("rank <= most")
+        counted = counted.join(best.select("token").distinct(), "token", "left_semi")
     per = [F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)).alias(f"c{i}") for i, x in enumerate(langs)]
     rows = counted.groupBy("token").agg(F.sum("n").alias("n"), *per).orderBy(F.desc("n"), "token").limit(max_entries).collect()
     table = np.array([r[2:] for r in rows], float).reshape(len(rows), len(langs))
-    return {r[0]: i for i, r in enumerate(rows)}, np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * (len(rows) + 1)))
+    total = table.sum(axis=0)
+    added = 0.5 * total / max(total.max(), 1)
+    return {r[0]: i for i, r in enumerate(rows)}, np.log((table + added) / (total + added * (len(rows) + 1)))
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
