@@ -235,6 +235,20 @@ def test_multi_index_recall(spark):
     assert (got & want).total() >= 0.9 * want.total() and got.total() == want.total()
 
 
+def test_multi_index_recall_by_share_alone(spark):
+    rows = spark.read.parquet("/root/testdata/check_s/embeddings.parquet").select("vec_id", "embedding").where("vec_id < 5000")
+    found = rows.collect()
+    ids, v = np.array([r[0] for r in found]), np.array([r[1] for r in found], np.float64)
+    got = Counter((r["query_id"], r["vec_id"]) for r in multi_index.neighbours(rows, least=0).collect())
+    want = Counter()
+    for q in np.flatnonzero(ids % 20 == 0):
+        s = v @ v[q]
+        want.update((int(ids[q]), int(ids[k])) for k in [k for k in np.lexsort((ids, -s)) if k != q][:20])
+    recall = (got & want).total() / want.total()
+    print("recall", len(ids), recall)
+    assert recall >= 0.9
+
+
 def test_packing(docs, empty):
     rows = packing.pack_documents(docs, sizes=(64, 256, 1024), shard=5).collect()
     covered, bins = Counter(), {}
