@@ -12,6 +12,8 @@ the driver.
 from __future__ import annotations
 
 import math
+import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -29,7 +31,8 @@ KINDS = BASE + EXTRA
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    # Runs of fewer digits are never valid, and a run is matched whole or not at all.
+    "card": r"[0-9](?:[\x20-]?[0-9]){11,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "secret": r"(?<![0-9A-Za-z_-])(?=[A-Za-z_-]*+[0-9])[0-9A-Za-z_-]{20,}+",
     "idnum": r"(?<![0-9A-Za-z.+-])[0-9]{3}[ .-][0-9]{2,3}[ .-][0-9]{4}(?![0-9A-Za-z-])",
@@ -39,11 +42,52 @@ PATTERNS = {
 NEEDS = {"email": "@", "phone": "+"}
 
 # Gazetteers, matched against the text just before a candidate or in it.
-SECRET_WORDS = "token|key|secret|password|passwd|pwd|credential|bearer|auth"
-ID_WORDS = "ssn|social security|tax id|passport|phone|tel|mobile|fax|cell"
-PERSON_WORDS = "my name is|i am|contact|signed|sincerely|regards|attn|attention|from|by|mit"
-OTHER_WORDS = "isbn|issn|doi|version|part|model|order|page|fig|sha|sha1|commit|checksum|hash|revision|build"
-FIRST_NAMES = "james|mary|john|anna|maria|peter|paul|hans|marie|pierre|jose|juan|carmen|michael|thomas|laura|sarah|david"
+SECRET_WORDS = (
+    "access key", "access token", "api key", "api_key", "apikey", "auth", "auth token", "authorization", "bearer", "client secret", "client_secret", "cookie",
+    "credential", "credentials", "encryption key", "geheimnis", "jwt", "kennwort", "key", "license key", "login", "mot de passe", "oauth", "passcode", "passphrase",
+    "passwd", "password", "passwort", "pin", "private key", "pwd", "refresh token", "schluessel", "secret", "secret key", "session", "sessionid", "signature", "token", "webhook",
+)
+ID_WORDS = (
+    "account", "account number", "ausweis", "cell", "cell phone", "cellphone", "celular", "driver license", "fax", "handy", "id number", "identity", "insurance number", "konto",
+    "medical record", "mobil", "mobile", "movil", "national id", "numero de securite sociale", "passport", "passport number", "phone", "phone number", "policy number", "social",
+    "social security", "social security number", "ssn", "steuernummer", "tax id", "tel", "telefon", "telefono", "telephone", "tfno", "whatsapp",
+)
+PERSON_WORDS = (
+    "amicalement", "approved by", "attention", "attn", "author", "by", "call", "cc", "contact", "contacto", "cordialement", "customer", "dear", "editor", "email", "from",
+    "gruss", "hello", "i am", "ich bin", "je m'appelle", "manager", "me llamo", "mein name ist", "met", "mit", "mi nombre es", "my name is", "owner", "patient", "regards",
+    "reviewed by", "saludos", "signed", "signed by", "sincerely", "soy", "speaker", "von", "with", "written by", "yours truly",
+)
+OTHER_WORDS = (
+    "artikel", "asin", "build", "bug", "chapter", "checksum", "commit", "digest", "doi", "ean", "edition", "etag", "fig", "figure", "file", "hash", "invoice", "isbn", "issn",
+    "issue", "item", "kapitel", "lot", "md5", "model", "no", "nr", "num", "order", "page", "part", "part number", "product", "release", "rev", "revision", "section",
+    "seite", "serial", "sha", "sha1", "sha256", "sku", "table", "ticket", "upc", "uuid", "version", "volume",
+)
+FIRST_NAMES = (
+    "adam", "aisha", "alan", "alejandro", "alex", "alexander", "alice", "amanda", "amelia", "ana", "andrea", "andreas", "andrew", "angela", "anna", "anne", "anthony", "antonio",
+    "barbara", "ben", "bernd", "brian", "camille", "carla", "carlos", "carmen", "carol", "catherine", "charles", "charlotte", "chiara", "chloe", "chris", "christian", "christine",
+    "claire", "clara", "claudia", "daniel", "david", "deborah", "diego", "dieter", "edward", "elena", "elizabeth", "emily", "emma", "eric", "eva", "fatima", "felix", "fernando",
+    "francesca", "francisco", "francois", "frank", "gabriel", "george", "giulia", "grace", "hannah", "hans", "heidi", "helen", "henry", "hugo", "ines", "isabel", "ivan", "jack",
+    "jacques", "james", "jan", "jane", "javier", "jean", "jennifer", "jessica", "joao", "john", "jonas", "jose", "joseph", "juan", "julia", "julie", "karen", "karl", "katharina",
+    "kenji", "kevin", "klaus", "laura", "lea", "leon", "linda", "lisa", "louis", "lucas", "lucia", "luis", "luke", "manuel", "marco", "margaret", "maria", "marie", "mario",
+    "mark", "marta", "martin", "mary", "mateo", "matthew", "max", "mei", "michael", "michel", "miguel", "mohammed", "monica", "nadia", "natalie", "nicolas", "nina", "oliver",
+    "olivia", "pablo", "patricia", "patrick", "paul", "pedro", "peter", "philippe", "pierre", "priya", "rachel", "rafael", "raj", "rebecca", "ricardo", "richard", "robert", "rosa",
+    "ruth", "samuel", "sandra", "sara", "sarah", "sergio", "sofia", "sophie", "stefan", "stephen", "steven", "susan", "sven", "thomas", "timothy", "tom", "ursula", "victor",
+    "walter", "wei", "william", "wolfgang", "yuki", "yusuf", "zoe",
+)
+
+
+@dataclass(frozen=True)
+class Gazetteers:
+    """What the two gazetteer labelers and the first of context look up. Part of the plan, so of
+    a caller's size (thousands of entries), never of the data's."""
+
+    secret_words: tuple[str, ...] = SECRET_WORDS
+    id_words: tuple[str, ...] = ID_WORDS
+    person_words: tuple[str, ...] = PERSON_WORDS
+    other_words: tuple[str, ...] = OTHER_WORDS
+    first_names: tuple[str, ...] = FIRST_NAMES
+
+
 #: Code points before a candidate that labelers see.
 WINDOW = 24
 LABELERS = ("form", "malformed", "listed", "listed_other", "cue", "counter_cue")
@@ -51,25 +95,36 @@ LABELERS = ("form", "malformed", "listed", "listed_other", "cue", "counter_cue")
 MAX_PATTERNS = len(EXTRA) * 3 ** len(LABELERS) * 8
 
 
-def _matches(text: Column, kind: str) -> Column:
-    """array<struct<start,end,text,before>> of a kind, leftmost and non-overlapping; code points, end exclusive."""
-    found, between = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)), F.split(text, PATTERNS[kind], -1)
-    both = F.arrays_zip(found.alias("m"), between.alias("b"))
-    empty = F.expr("struct(0 as at, cast(array() as array<struct<start:int,end:int,text:string,before:string>>) as got)")
-    # arrays_zip gives one more entry than matches: the text after the last one, with a null match.
-    walked = F.aggregate(both, empty, lambda acc, x: F.struct(
-        (acc["at"] + F.length(x["b"]) + F.coalesce(F.length(x["m"]), F.lit(0))).alias("at"),
-        F.when(x["m"].isNull(), acc["got"]).otherwise(F.concat(acc["got"], F.array(F.struct(
-            (acc["at"] + F.length(x["b"])).alias("start"), (acc["at"] + F.length(x["b"]) + F.length(x["m"])).alias("end"),
-            x["m"].alias("text"), F.right(x["b"], F.lit(WINDOW)).alias("before"))))).alias("got")))["got"]
-    none = F.expr("cast(array() as array<struct<start:int,end:int,text:string,before:string>>)")
+def _running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """Running op (sum, maximum ...; the second argument may be null) over an array, by doubling
+    shifts: log2 of its size passes, each of which makes one new array."""
+    last = F.greatest(F.ceil(F.log2(F.size(values).cast("double"))).cast("int") - 1, F.lit(0))
+    pass_ = lambda acc, k: F.transform(acc, lambda v, i: op(v, F.get(acc, i - F.call_function("shiftleft", F.lit(1), k))))
+    return F.aggregate(F.sequence(F.lit(0), last), values, pass_)
+
+
+def _some(text: Column, kind: str) -> Column:
     if kind in NEEDS:
-        some = F.instr(text, NEEDS[kind]) > 0
-    elif kind == "name":
-        some = F.lit(True)
-    else:
-        some = text.rlike("[0-9]")
-    return F.when(some, walked).otherwise(none)
+        return F.instr(text, NEEDS[kind]) > 0
+    return F.lit(True) if kind == "name" else text.rlike("[0-9]")
+
+
+def _cut(text: Column, kind: str) -> Column:
+    """array<struct<m,b>>: each match and what lies between it and the one before; last, a null
+    match and the text after all."""
+    found, between = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)), F.split(text, PATTERNS[kind], -1)
+    return F.when(_some(text, kind), F.arrays_zip(found.alias("m"), between.alias("b"))).otherwise(F.expr("cast(array() as array<struct<m:string,b:string>>)"))
+
+
+def _ends(cut: Column) -> Column:
+    """Where each entry of _cut ends; code points."""
+    return _running(F.transform(cut, lambda x: F.length(x["b"]) + F.coalesce(F.length(x["m"]), F.lit(0))), lambda v, w: v + F.coalesce(w, F.lit(0)))
+
+
+def _matches(cut: Column, ends: Column) -> Column:
+    """array<struct<start,end,text,before>>, leftmost and non-overlapping; code points, end exclusive."""
+    placed = F.zip_with(cut, ends, lambda x, e: F.struct((e - F.length(x["m"])).alias("start"), e.alias("end"), x["m"].alias("text"), F.right(x["b"], F.lit(WINDOW)).alias("before")))
+    return F.filter(placed, lambda m: m["text"].isNotNull())
 
 
 def _digits(text: Column) -> Column:
@@ -78,10 +133,14 @@ def _digits(text: Column) -> Column:
 
 def _luhn(digits: Column) -> Column:
     """Whether the checksum holds: each second digit from the right counts double, less 9 over 9."""
-    places = F.sequence(F.lit(1), F.length(digits))
-    digit = lambda i: F.substr(digits, i, F.lit(1)).cast("int")
-    doubled = lambda i: F.when((F.length(digits) - i) % 2 == 1, digit(i) * 2 - F.when(digit(i) > 4, 9).otherwise(0)).otherwise(digit(i))
-    return F.aggregate(places, F.lit(0), lambda s, i: s + doubled(i)) % 10 == 0
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("sum"))
+
+    def add(acc: Column, digit: Column) -> Column:
+        d = digit.cast("int")
+        doubled = d * 2 - F.when(d > 4, 9).otherwise(0)
+        return F.struct((acc["i"] + 1).alias("i"), (acc["sum"] + F.when(acc["i"] % 2 == 1, doubled).otherwise(d)).alias("sum"))
+
+    return F.aggregate(F.reverse(F.split(digits, "")), start, add)["sum"] % 10 == 0
 
 
 def _valid(kind: str, text: Column) -> Column:
@@ -94,23 +153,23 @@ def _valid(kind: str, text: Column) -> Column:
     return F.lit(True)
 
 
-def _votes(kind: str, text: Column, before: Column) -> list[Column]:
+def _votes(kind: str, text: Column, before: Column, listed: Gazetteers) -> list[Column]:
     """1, -1 or 0 of each labeler. before is lower case."""
     yes = lambda c: F.when(c, 1).otherwise(0)
     no = lambda c: F.when(c, -1).otherwise(0)
-    just = lambda words: before.rlike(rf"(?<![a-z])(?:{words})[\s:=.\"'#-]*$")
-    other = no(just(OTHER_WORDS))
+    just = lambda words: before.rlike(rf"(?<![a-z])(?:{'|'.join(map(re.escape, words))})[\s:=.\"'#-]*$")
+    other = no(just(listed.other_words))
     counter = no(before.rlike(r"(?:https?://\S*|[/&?@])$"))
     varied = F.size(F.array_distinct(F.split(text, "")))
     if kind == "secret":
         return [yes(text.rlike(r"^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$|^(?:sk-|ghp_|AKIA|xox)")),
                 no((varied < 8) | ~text.rlike("[A-Za-z]") | text.rlike("^[A-Za-z_-]*[0-9]{1,4}$")),
-                yes(just(SECRET_WORDS)), other, yes(before.rlike(r"[:=]\s*[\"']?$")), counter]
+                yes(just(listed.secret_words)), other, yes(before.rlike(r"[:=]\s*[\"']?$")), counter]
     if kind == "idnum":
         return [yes(text.rlike(r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$|^[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}$")),
-                no((varied < 4) | text.rlike("^000|0000$")), yes(just(ID_WORDS)), other, yes(before.rlike(r"[:=#]\s*$")), counter]
+                no((varied < 4) | text.rlike("^000|0000$")), yes(just(listed.id_words)), other, yes(before.rlike(r"[:=#]\s*$")), counter]
     return [yes(text.rlike(r" \p{Lu}\p{Ll}+ \p{Lu}\p{Ll}+$")), no(F.length(text) < 6),
-            yes(F.lower(text).rlike(rf" (?:{FIRST_NAMES})(?: |$)")), other, yes(just(PERSON_WORDS)), no(before.rlike(r"[0-9]\s*$"))]
+            yes(F.lower(F.regexp_extract(text, r" (\p{Lu}\p{Ll}+)", 1)).isin(*listed.first_names)), other, yes(just(listed.person_words)), no(before.rlike(r"[0-9]\s*$"))]
 
 
 def _base_spans(kind: str, rank: int) -> Column:
@@ -118,9 +177,9 @@ def _base_spans(kind: str, rank: int) -> Column:
     return F.transform(good, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end"), F.lit(kind).alias("kind")))
 
 
-def _candidates(kind: str, rank: int) -> Column:
+def _candidates(kind: str, rank: int, listed: Gazetteers) -> Column:
     def struct(m: Column) -> Column:
-        votes = _votes(kind, m["text"], F.lower(m["before"]))
+        votes = _votes(kind, m["text"], F.lower(m["before"]), listed)
         varied = F.size(F.array_distinct(F.split(m["text"], "")))
         return F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end"), F.lit(kind).alias("kind"),
                         F.array(*votes).alias("votes"), F.least(F.floor(F.length(m["text"]) / 16).cast("int"), F.lit(3)).alias("length"), (varied >= 10).cast("int").alias("varied"))
@@ -128,15 +187,29 @@ def _candidates(kind: str, rank: int) -> Column:
     return F.transform(f"_{kind}", struct)
 
 
-def _with_spans(docs: DataFrame, text_col: str) -> DataFrame:
-    """docs with _base and _candidates."""
+def _apart(candidates: Column, base: Column) -> Column:
+    """Those candidates that overlap no base span: no base span that starts before a candidate
+    ends has an end after the candidate's start. Both are merged in one order (a candidate by
+    its end, before a base span that starts there) under a running maximum of base ends."""
+    none = F.expr("cast(null as struct<start:int,rank:int,end:int,kind:string,votes:array<int>,length:int,varied:int>)")
+    event = lambda key, is_base, end, c: F.struct(key.alias("key"), F.lit(is_base).alias("is_base"), end.alias("end"), c.alias("c"))
+    events = F.array_sort(F.concat(F.transform(base, lambda b: event(b["start"], 1, b["end"], none)), F.transform(candidates, lambda c: event(c["end"], 0, F.lit(0), c))))
+    return events, lambda events, reach: F.transform(F.filter(F.arrays_zip(events.alias("e"), reach.alias("r")), lambda x: (x["e"]["is_base"] == 0) & (x["r"] <= x["e"]["c"]["start"])), lambda x: x["e"]["c"])
+
+
+def _with_spans(docs: DataFrame, text_col: str, listed: Gazetteers) -> DataFrame:
+    """docs with _base and _candidates. Each step is a column of its own, made once a row."""
     docs = docs.withColumn("_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    docs = docs.withColumns({f"_{k}": _matches(F.col("_text"), k) for k in KINDS})
+    docs = docs.withColumns({f"_cut_{k}": _cut(F.col("_text"), k) for k in KINDS})
+    docs = docs.withColumns({f"_{k}": _matches(F.col(f"_cut_{k}"), _ends(F.col(f"_cut_{k}"))) for k in KINDS})
     base = F.array_sort(F.concat(*[_base_spans(kind, rank) for rank, kind in enumerate(BASE)]))
-    docs = docs.withColumn("_base", base)
-    extra = [_candidates(kind, rank) for rank, kind in enumerate(EXTRA, len(BASE))]
-    apart = lambda c: ~F.exists("_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    return docs.withColumn("_candidates", F.filter(F.concat(*extra), apart))
+    extra = [_candidates(kind, rank, listed) for rank, kind in enumerate(EXTRA, len(BASE))]
+    docs = docs.withColumns({"_base": base, "_proposed": F.concat(*extra)})
+    events, apart = _apart(F.col("_proposed"), F.col("_base"))
+    both = (F.size("_base") > 0) & (F.size("_proposed") > 0)
+    docs = docs.withColumn("_events", F.when(both, events))
+    reach = _running(F.transform("_events", lambda e: e["end"]), lambda v, w: F.greatest(v, w))
+    return docs.withColumn("_candidates", F.when(both, apart(F.col("_events"), reach)).otherwise(F.col("_proposed")))
 
 
 @dataclass
@@ -164,11 +237,12 @@ def _sigmoid(z: float) -> float:
     return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
 
-def fit(docs: DataFrame, text_col: str = "text", rounds: int = 60, steps: int = 400) -> SpanClassifier:
-    """Learns from the candidates of all docs. Only counts of vote patterns (at most
-    MAX_PATTERNS rows) reach the driver. Without candidates, the classifier is the prior's:
-    a candidate needs more votes for than against it."""
-    c = _with_spans(docs.select(text_col), text_col).select(F.explode("_candidates").alias("c"))
+def fit(docs: DataFrame, text_col: str = "text", rounds: int = 60, steps: int = 400, gazetteers: Gazetteers = Gazetteers()) -> SpanClassifier:
+    """Learns from the candidates of all docs, each row's for itself: a text that repeats counts
+    as often as it does, and a long one by all its candidates. Only counts of vote patterns (at
+    most MAX_PATTERNS rows) reach the driver. Without candidates (no rows, null and empty
+    texts), the classifier is the prior's: a candidate needs more votes for than against it."""
+    c = _with_spans(docs.select(text_col), text_col, gazetteers).select(F.explode_outer("_candidates").alias("c")).where("c is not null")  # explode would push a filter below, with all that makes it
     rows = c.groupBy(*[F.col(f"c.{x}").alias(x) for x in ("kind", "votes", "length", "varied")]).count().collect()
     return fit_patterns(rows, rounds, steps)
 
@@ -219,45 +293,49 @@ def _as_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _classified(docs: DataFrame, text_col: str, classifier: SpanClassifier) -> DataFrame:
+def _classified(docs: DataFrame, text_col: str, classifier: SpanClassifier, gazetteers: Gazetteers) -> DataFrame:
     plain = lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))
-    rows = _with_spans(docs, text_col)
+    rows = _with_spans(docs, text_col, gazetteers)
     rows = rows.withColumn("_added", F.transform(F.filter("_candidates", classifier.accepts), plain))
     return rows.withColumn("_spans", F.array_sort(F.concat("_base", "_added")))
 
 
-def detect(docs: DataFrame, classifier: SpanClassifier | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def detect(docs: DataFrame, classifier: SpanClassifier | None = None, id_col: str = "doc_id", text_col: str = "text", gazetteers: Gazetteers = Gazetteers()) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added), a row for each row.
 
     A null text is an empty one: no spans, the hash of an empty string, spans ''. Spans are in
     code points, end exclusive. Added spans never overlap base ones. Ids may be null or
-    repeated; other columns play no part."""
-    rows = _classified(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", classifier or fit(docs, text_col))
+    repeated, and repeated rows have a row each; other columns play no part. A text's matches
+    take time in proportion to their number, but for the logarithm of it."""
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = _classified(docs, "text", classifier or fit(docs, gazetteers=gazetteers), gazetteers)
     count = lambda kind: F.size(F.filter("_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     n = [count(kind) for kind in BASE]
     return rows.select("doc_id", *n, F.sha2(_as_text(F.col("_base")), 256).alias("base_sha256"), _as_text(F.col("_spans")).alias("spans"), F.size("_added").cast("long").alias("n_added"))
 
 
-def redact(docs: DataFrame, classifier: SpanClassifier | None = None, text_col: str = "text") -> DataFrame:
+def redact(docs: DataFrame, classifier: SpanClassifier | None = None, text_col: str = "text", gazetteers: Gazetteers = Gazetteers()) -> DataFrame:
     """docs with every span of the text replaced by its kind in brackets, as in [EMAIL].
 
-    Overlapping spans become one, named by the first. Null texts stay null, and all other
-    columns are as they were, whatever their names."""
+    Overlapping spans become one, named by the first. Null texts stay null, empty ones empty,
+    repeated rows are rows of their own, and all other columns are as they were, whatever
+    their names."""
     names = docs.columns
     docs, (text_col,) = renamed(docs, text_col)
     keep = docs.columns
-    rows = _classified(docs, text_col, classifier or fit(docs, text_col))
-    start = F.expr("cast(array() as array<struct<start:int,rank:int,end:int,kind:string>>)")
-
-    def joined(acc: Column, s: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        longer = F.struct(last["start"].alias("start"), last["rank"].alias("rank"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
-        return F.when((F.size(acc) > 0) & (s["start"] < last["end"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(acc, F.array(s)))
-
-    rows = rows.withColumn("_merged", F.aggregate("_spans", start, joined))
-    spans, text = F.col("_merged"), F.col("_text")
-    end_before = lambda i: F.coalesce(F.get(spans, i - 1)["end"], F.lit(0))
-    parts = F.transform(spans, lambda s, i: F.concat(F.substr(text, end_before(i) + 1, s["start"] - end_before(i)), F.lit("["), F.upper(s["kind"]), F.lit("]")))
-    tail = F.substr(text, F.element_at(spans, -1)["end"] + 1)
-    new = F.when(F.col(text_col).isNull() | (F.size(spans) == 0), F.col(text_col)).otherwise(F.concat(F.array_join(parts, ""), tail))
+    rows = _classified(docs, text_col, classifier or fit(docs, text_col, gazetteers=gazetteers), gazetteers)
+    # Four bytes a code point, so that a piece of the text is found by its place alone.
+    wide = F.when(F.size("_spans") > 0, F.encode("_text", "UTF-32"))
+    rows = rows.withColumns({"_wide": wide, "_reach": _running(F.transform("_spans", lambda s: s["end"]), lambda v, w: F.greatest(v, w))})
+    # A span begins a new one where it starts at or after all earlier ends.
+    zipped = F.arrays_zip(F.col("_spans").alias("s"), F.concat(F.array(F.lit(0)), F.col("_reach")).alias("before"))
+    rows = rows.withColumn("_firsts", F.filter(zipped, lambda x: x["before"] <= x["s"]["start"]))
+    mark = F.unhex(F.lit("0000FEFF"))  # a byte order mark, which decoding takes away
+    piece = lambda w, a, n: F.decode(F.concat(mark, F.substr(w, a * 4 + 1, n * 4)), "UTF-32")
+    part = lambda w: lambda x: F.concat(piece(w, x["before"], x["s"]["start"] - x["before"]), F.lit("["), F.upper(x["s"]["kind"]), F.lit("]"))
+    # A variable of a function holds the bytes; read as a column they would be copied for every part.
+    parts = F.get(F.transform(F.array("_wide"), lambda w: F.transform("_firsts", part(w))), F.lit(0))
+    end = F.element_at("_reach", -1)
+    tail = piece(F.col("_wide"), end, F.length("_text") - end)
+    new = F.when(F.col(text_col).isNull() | (F.size("_spans") == 0), F.col(text_col)).otherwise(F.concat(F.array_join(parts, ""), tail))
     return rows.withColumn(text_col, new).select(*keep).toDF(*names)
