@@ -157,7 +157,7 @@ def _votes(kind: str, text: Column, before: Column, listed: Gazetteers) -> list[
     """1, -1 or 0 of each labeler. before is lower case."""
     yes = lambda c: F.when(c, 1).otherwise(0)
     no = lambda c: F.when(c, -1).otherwise(0)
-    just = lambda words: before.rlike(rf"(?<![a-z])(?:{'|'.join(map(re.escape, words))})[\s:=.\"'#-]*$")
+    just = lambda words: before.rlike(rf"(?<![a-z])(?:{'|'.join(map(re.escape, words))})[\s:=.\"'#-]*$") if words else F.lit(False)
     other = no(just(listed.other_words))
     counter = no(before.rlike(r"(?:https?://\S*|[/&?@])$"))
     varied = F.size(F.array_distinct(F.split(text, "")))
