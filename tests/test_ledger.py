@@ -5,7 +5,8 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from treetally.operators import keys, lifecycle, listing, pricing, tree, validate
+from treetally.operators import keys, lifecycle, listing, pricing, skew, tree, validate
+from treetally.sources import shared
 
 RUN = "id string, parent_run_id string"
 COST = "run_id string, total_cost_in_usd_cents decimal(16,10)"
@@ -57,7 +58,9 @@ def test_validation(spark):
 
 
 def test_paging_and_filters():
-    assert [listing.page_limit(x) for x in (None, "0", "x", 7, 999)] == [50, 50, 50, 7, 200]
+    assert [listing.page_limit(x) for x in (None, "0", "x", 7, 999, "1e2", "7.0", " 9 ", "1_0")] == [50, 50, 50, 7, 200, 100, 7, 9, 50]
+    with pytest.raises(ValueError):
+        listing.page_limit("7.5")
     with pytest.raises(ValueError):
         listing.page_offset(-1)
     with pytest.raises(ValueError):
@@ -80,3 +83,54 @@ def test_missing_parent_names_the_id(spark):
     good, bad = keys.check_parent_exists(requests, runs)
     assert {r["request_id"] for r in good.collect()} == {"1", "3"} and "Q" in bad.first()["reason"]
     assert lifecycle.evolve_add_dims(runs).select(F.first("app_id")).first()[0] == "unknown"
+
+
+def plain_descendants(rows, roots):
+    """(root, id): least depth, by a walk a root."""
+    out = {}
+    for root in roots:
+        at, depth = {root}, 0
+        while at:
+            depth += 1
+            at = {i for i, p in rows if p in at} - {i for r, i in out if r == root} - {root}
+            out |= {(root, i): depth for i in at}
+    return out
+
+
+@pytest.mark.parametrize("shallow", [2, 8])
+def test_descendants_of_deep_trees_stars_and_cycles(spark, shallow):
+    chain = [("c0", None), *[(f"c{i}", f"c{i - 1}") for i in range(1, 40)]]
+    star = [("s", None), *[(f"s{i}", "s") for i in range(200)], *[(f"t{i}", f"s{i}") for i in range(50)]]
+    loop = [("a", "e"), ("b", "a"), ("c", "b"), ("d", "c"), ("e", "d"), ("tail", "d")]
+    rows, roots = chain + star + loop, ["c0", "c5", "s", "s1", "a", "nobody"]
+    got = tree.descendants(spark.createDataFrame(rows, RUN), spark.createDataFrame([(r,) for r in roots], "id string"), shallow).collect()
+    assert {(r["root"], r["id"]): r["depth"] for r in got} == plain_descendants(rows, roots)
+    assert len(got) == len(plain_descendants(rows, roots))
+
+
+def test_rollup_of_a_star_is_spread(spark):
+    rows = [("s", None), *[(f"s{i}", "s") for i in range(300)], *[(f"t{i}", f"s{i}") for i in range(100)]]
+    got = {r["id"]: r["total_cost"] for r in tree.tree_rollup_all(spark.createDataFrame(rows, RUN), costs(spark, *[(i, 1) for i, _ in rows]), split=20).collect()}
+    assert got["s"] == 401 and got["s5"] == 2 and got["s200"] == got["t5"] == 1 and len(got) == len(rows)
+
+
+def test_lookup_spreads_heavy_keys_and_nulls(spark):
+    rows = spark.createDataFrame([(i, "hot" if i % 2 else None if i % 3 == 0 else str(i)) for i in range(600)], "id int, k string")
+    table = spark.createDataFrame([("hot", 1), ("2", 2), ("unused", 3)], "k string, v int")
+    got = {r["id"]: r["v"] for r in skew.lookup(rows, table, "k", F.col("id"), split=50).collect()}
+    assert got == {i: 1 if i % 2 else 2 if i == 2 else None for i in range(600)}
+    ways = {r["k"]: r["_ways"] for r in skew.heavy_keys(rows.groupBy("k").agg(F.count("*").alias("n")), "k", split=50).collect()}
+    assert ways == {"hot": 6}
+
+
+def test_temporary_tables_are_dropped(spark):
+    with shared.temporary(spark):
+        path = shared.new_path(spark, "kept")
+        spark.range(3).write.parquet(path)
+        assert shared.exists(spark, path)
+    assert not shared.exists(spark, path)
+    outside = shared.new_path(spark, "stays")
+    spark.range(3).write.parquet(outside)
+    with shared.temporary(spark):
+        shared.written(spark.range(2), "goes")
+    assert shared.exists(spark, outside)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import fixed10
+from ..sources.shared import written
 from .tree import costs_of_descendants, descendant_own_totals, descendants, run_cost_summary
 
 
@@ -34,11 +35,12 @@ def run_document(runs: DataFrame, costs: DataFrame, roots: DataFrame) -> DataFra
     One row holds a whole tree, so roots are for the caller to choose; for large trees use the
     flat rows of descendants and attach_costs_to_descendants."""
     desc = descendants(runs, roots)
+    own = written(descendant_own_totals(desc, costs), "own")
     below = project_descendant(desc.join(runs, "id"))
-    below = below.join(attach_costs_to_descendants(desc, costs).select("root", "id", "costs"), ["root", "id"]).join(descendant_own_totals(desc, costs), ["root", "id"])
+    below = below.join(attach_costs_to_descendants(desc, costs).select("root", "id", "costs"), ["root", "id"]).join(own, ["root", "id"])
     entry = F.struct("depth", "startedAt", "id", "parentRunId", "serviceName", "taskName", "status", "completedAt", "costs", fixed10(F.col("own_cost")).alias("ownCostInUsdCents"))
     nested = below.groupBy(F.col("root").alias("id")).agg(F.sort_array(F.collect_list(entry)).alias("descendantRuns"))
-    totals = run_cost_summary(runs, costs, roots)
+    totals = run_cost_summary(runs, costs, roots, own)
     lines = costs_by_run(costs.join(roots.select(F.col("id").alias("run_id")).distinct(), "run_id", "left_semi")).withColumnRenamed("run_id", "id")
     rows = runs.join(totals, "id").join(lines, "id", "left").join(nested, "id", "left")
     return rows.select(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import null_if_empty
+from .skew import lookup
 
 
 def _stamped(rows: DataFrame, new_id: Column | None) -> DataFrame:
@@ -15,12 +16,12 @@ def _stamped(rows: DataFrame, new_id: Column | None) -> DataFrame:
 def resolve_orgs(requests: DataFrame, orgs: DataFrame, new_id: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """requests with organization_id, and the organizations to add. Existing ones keep their id.
 
-    New ids are random unless new_id (of external_id) is given; write the second result before
+    A tenant with very many requests is dealt to several tasks. New ids are random unless new_id (of external_id) is given; write the second result before
     using both, or give new_id."""
     wanted = requests.select(F.col("clerkOrgId").alias("external_id")).where("external_id is not null").distinct()
     new = _stamped(wanted.join(orgs.select("external_id"), "external_id", "left_anti"), new_id).select("id", "external_id", "created_at", "updated_at")
     keys = orgs.select("external_id", F.col("id").alias("organization_id")).unionByName(new.select("external_id", F.col("id").cast(orgs.schema["id"].dataType).alias("organization_id")))
-    return requests.join(keys.withColumnRenamed("external_id", "clerkOrgId"), "clerkOrgId", "left"), new
+    return lookup(requests, keys.withColumnRenamed("external_id", "clerkOrgId"), "clerkOrgId", F.col("request_id")), new
 
 
 def resolve_users(requests: DataFrame, users: DataFrame, new_id: Column | None = None) -> tuple[DataFrame, DataFrame]:
@@ -29,7 +30,7 @@ def resolve_users(requests: DataFrame, users: DataFrame, new_id: Column | None =
     wanted = requests.where("clerkUserId is not null").groupBy(F.col("clerkUserId").alias("external_id")).agg(F.min_by("organization_id", F.struct("ts", "seq")).alias("organization_id"))
     new = _stamped(wanted.join(users.select("external_id"), "external_id", "left_anti"), new_id).select("id", "external_id", "organization_id", "created_at", "updated_at")
     keys = users.select("external_id", F.col("id").alias("user_id")).unionByName(new.select("external_id", F.col("id").cast(users.schema["id"].dataType).alias("user_id")))
-    return requests.join(keys.withColumnRenamed("external_id", "clerkUserId"), "clerkUserId", "left"), new
+    return lookup(requests, keys.withColumnRenamed("external_id", "clerkUserId"), "clerkUserId", F.col("request_id")), new
 
 
 def _exists(rows: DataFrame, runs: DataFrame, key: str, reason: Column) -> tuple[DataFrame, DataFrame]:

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import parse_bound_ts, zero_if_no_cost
+from ..sources.shared import written
 
 RUN_COLUMNS = (
     "id", "parent_run_id", "organization_id", "user_id", "app_id", "brand_id", "campaign_id", "service_name", "task_name", "status",
     "started_at", "completed_at", "created_at", "updated_at",
 )
+#: A decimal number as requests write it.
+NUMBER = re.compile(r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]{1,2})?")
 DIMENSIONS = ("app_id", "brand_id", "campaign_id", "service_name", "task_name", "status")
 
 
@@ -104,19 +108,23 @@ def page_offset(offset: int | str | None = None) -> int:
     return n
 
 
-def _number(text: int | str | None) -> int:
-    try:
-        return int(text or 0)
-    except ValueError:
+def _number(text: int | float | str | None) -> int:
+    """0 for what is no number; "1e2" is 100, a large one stays large. A fraction raises."""
+    given = "" if text is None else str(text).strip()
+    if not NUMBER.fullmatch(given):
         return 0
+    n = float(given)
+    if n != n // 1:
+        raise ValueError(f"no whole number: {given}")
+    return int(n)
 
 
 def list_runs(tables: dict[str, DataFrame], org_ext: str, user_ext: str | None = None, limit=None, offset=None, **filters) -> DataFrame:
     """One page of an organization's runs with their own cost, latest first.
 
-    The page is cut before costs are joined: own cost plays no part in the order, so only
-    lines of the page's runs are summed."""
+    The page is cut and written before costs are joined: own cost plays no part in the order,
+    so only lines of the page's runs are summed, and the runs are read once."""
     rows = unknown_key_is_empty(tables["runs"], tables["organizations"], tables["users"], org_ext, user_ext).where(compose_filters(**filters))
-    page = latest_first(rows).offset(page_offset(offset)).limit(page_limit(limit))
+    page = written(latest_first(rows).offset(page_offset(offset)).limit(page_limit(limit)), "page")
     lines = tables["runs_costs"].join(F.broadcast(page.select(F.col("id").alias("run_id"))), "run_id", "left_semi")  # 200 ids at most
     return latest_first(project_listing(runs_with_costs_join(page, lines)))

@@ -16,10 +16,13 @@ def distinct_cost_names(items: DataFrame) -> DataFrame:
 def price_cost_items(items: DataFrame, prices: DataFrame, request: str = "request_id") -> tuple[DataFrame, DataFrame]:
     """(lines with unit_cost and total, rejected requests with their unknown names).
 
-    The join is planned from the price list's size: a small one is broadcast, a large one
-    shuffled. Totals come from the quantity as given; what is stored is rounded to 6 places."""
-    lines = items.withColumn("quantity", F.col("quantity").cast(RAW_QUANTITY)).join(prices, "cost_name", "left")
-    bad = lines.where("unit_cost is null").groupBy(request).agg(F.sort_array(F.collect_set("cost_name")).alias("unknown_names"))
-    good = lines.join(bad, request, "left_anti")
+    Names that the list lacks are found among the distinct names, so that lines are joined to
+    prices once and a name that very many lines have is one row there. The joins are planned
+    from the sizes of list and rejects: small ones are broadcast, large ones shuffled. Totals
+    come from the quantity as given; what is stored is rounded to 6 places."""
+    unknown = distinct_cost_names(items).join(prices, "cost_name", "left_anti")
+    bad = items.join(unknown, items["cost_name"].eqNullSafe(unknown["cost_name"]), "left_semi").groupBy(request).agg(F.sort_array(F.collect_set("cost_name")).alias("unknown_names"))
+    lines = items.withColumn("quantity", F.col("quantity").cast(RAW_QUANTITY)).join(prices, "cost_name")
+    good = lines.join(bad.select(request), request, "left_anti")
     total = line_total(F.col("quantity"), F.col("unit_cost"))
     return good.withColumn("total", total).withColumn("quantity", F.col("quantity").cast(QUANTITY)), bad

@@ -10,16 +10,21 @@ from pyspark.sql import functions as F
 from ..functions.scalars import zero_if_no_cost
 from ..sources.shared import written
 from .listing import costs_total
+from .skew import SPLIT, heavy_keys, lookup
 
 
-#: Ways in which rows without an ancestor are dealt, as they would share one null key.
-SPREAD = 1 << 16
+#: Levels that are walked one by one; what lies deeper is reached by doubling steps.
+SHALLOW = 8
 
 
-def descendants(runs: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, id, depth) for all runs below each id of roots; a frontier join a level.
+def descendants(runs: DataFrame, roots: DataFrame, shallow: int = SHALLOW) -> DataFrame:
+    """(root, id, depth) for all runs below each id of roots.
 
-    An anti join with what was visited keeps cycles from going round. Organizations play no part."""
+    The first levels are frontier joins, one a level, which touch only what lies below the
+    roots. Below them, a table of steps of length 1, 2, 4 ... is doubled until no step is
+    left, and the frontier takes each length or not, from the longest: as many jobs as the
+    logarithm of the depth. In a cycle each run counts once, at its least depth, and the root
+    not at all. Organizations play no part."""
     edges = runs.select(F.col("parent_run_id").alias("at"), F.col("id").alias("next")).where(F.col("at").isNotNull())
     frontier = roots.select(F.col("id").alias("root")).distinct().select("root", F.col("root").alias("id"))
     levels, depth = [], 0
@@ -32,9 +37,32 @@ def descendants(runs: DataFrame, roots: DataFrame) -> DataFrame:
             break
         levels.append(frontier.withColumn("depth", F.lit(depth)))
         seen = union_all(seen, frontier)
+        if depth == shallow:
+            levels.append(_deeper(levels.pop(), edges, seen.join(frontier, ["root", "id"], "left_anti")))
+            break
     return union_all(*levels) if levels else frontier.withColumn("depth", F.lit(0))
 
 
+def _deeper(frontier: DataFrame, edges: DataFrame, seen: DataFrame) -> DataFrame:
+    """frontier (root, id, depth) and all below it but what was seen."""
+    steps, most = [written(edges, "steps")], math.ceil(math.log2(max(2, edges.count()))) + 1
+    while len(steps) <= most:
+        far = steps[-1].select(F.col("at").alias("next"), F.col("next").alias("further"))
+        longer = written(steps[-1].join(far, "next").select("at", F.col("further").alias("next")), "steps")
+        if longer.isEmpty():
+            break
+        steps.append(longer)
+    cyclic = len(steps) > most
+    reached = frontier
+    for k in range(len(steps) - 1, -1, -1):
+        below = reached.withColumnRenamed("id", "at").join(steps[k], "at").select("root", F.col("next").alias("id"), (F.col("depth") + F.lit(1 << k)).cast("int").alias("depth"))
+        reached = union_all(reached, below)
+        if cyclic:
+            reached = reached.groupBy("root", "id").agg(F.min("depth").alias("depth"))
+        reached = written(reached, "reached")
+    return reached.join(seen, ["root", "id"], "left_anti") if cyclic else reached
+
+
 def union_all(first: DataFrame, *more: DataFrame) -> DataFrame:
     """All rows of all parts, repeats included."""
     for part in more:
@@ -53,27 +81,33 @@ def descendant_own_totals(desc: DataFrame, costs: DataFrame) -> DataFrame:
 
 def children_total(desc: DataFrame, costs: DataFrame) -> DataFrame:
     """(root, children_cost): over all descendants, not only children."""
-    return descendant_own_totals(desc, costs).groupBy("root").agg(F.sum("own_cost").cast("decimal(26,10)").alias("children_cost"))
+    return summed_children(descendant_own_totals(desc, costs))
+
+
+def summed_children(own_totals: DataFrame) -> DataFrame:
+    """(root, children_cost) from (root, id, own_cost)."""
+    return own_totals.groupBy("root").agg(F.sum("own_cost").cast("decimal(26,10)").alias("children_cost"))
 
 
-def run_cost_summary(runs: DataFrame, costs: DataFrame, roots: DataFrame) -> DataFrame:
-    """(id, own_cost, children_cost, total_cost) for the ids of roots that are runs."""
+def run_cost_summary(runs: DataFrame, costs: DataFrame, roots: DataFrame, own_totals: DataFrame | None = None) -> DataFrame:
+    """(id, own_cost, children_cost, total_cost) for the ids of roots that are runs. own_totals: of
+    the roots' descendants, where they are known already."""
     known = runs.join(roots.select("id").distinct(), "id", "left_semi").select("id")
-    below = children_total(descendants(runs, known), costs).withColumnRenamed("root", "id")
+    below = summed_children(descendant_own_totals(descendants(runs, known), costs) if own_totals is None else own_totals).withColumnRenamed("root", "id")
     rows = known.join(costs_total(costs).withColumnRenamed("run_id", "id"), "id", "left").join(below, "id", "left")
     rows = rows.select("id", zero_if_no_cost(F.col("own")).alias("own_cost"), zero_if_no_cost(F.col("children_cost")).alias("children_cost"))
     return rows.withColumn("total_cost", (F.col("own_cost") + F.col("children_cost")).cast("decimal(26,10)"))
 
 
-def tree_rollup_all(runs: DataFrame, costs: DataFrame) -> DataFrame:
+def tree_rollup_all(runs: DataFrame, costs: DataFrame, split: int = SPLIT) -> DataFrame:
     """(id, own_cost, children_cost, total_cost) for every run at once, by pointer jumping.
 
     After round k a run knows its 2^k-th ancestor and the sum over descendants closer than
     2^k, itself included; n rows a round, log2 of the depth rounds. Runs that are done (no
-    ancestor left) are dealt out by their id in the join. A parent that isn't a run counts as
-    none. A cycle is an error."""
+    ancestor left), and those of an ancestor that over `split` runs point at, are dealt to
+    many tasks. A parent that isn't a run counts as none. A cycle is an error."""
     known = runs.select("id", F.col("parent_run_id").alias("anc"))
-    known = known.join(runs.select(F.col("id").alias("anc"), F.lit(True).alias("there")), "anc", "left").select("id", F.when(F.col("there"), F.col("anc")).alias("anc"))
+    known = lookup(known, runs.select(F.col("id").alias("anc"), F.lit(True).alias("there")), "anc", F.col("id"), split=split).select("id", F.when(F.col("there"), F.col("anc")).alias("anc"))
     own = zero_if_no_cost(F.col("own"))
     state = written(known.join(costs_total(costs).withColumnRenamed("run_id", "id"), "id", "left").select("id", "anc", own.alias("own_cost"), own.alias("sub")), "rollup")
     left = math.ceil(math.log2(max(2, state.count()))) + 1
@@ -81,10 +115,9 @@ def tree_rollup_all(runs: DataFrame, costs: DataFrame) -> DataFrame:
         if left < 0:
             raise ValueError("runs.parent_run_id has a cycle")
         left -= 1
-        gain = state.where("anc is not null").groupBy(F.col("anc").alias("id")).agg(F.sum("sub").cast("decimal(26,10)").alias("gain"))
-        far = state.select(F.col("id").alias("anc"), F.col("anc").alias("further"), F.lit(0).alias("spread"))
-        spread = F.when(F.col("anc").isNull(), F.pmod(F.xxhash64("id"), F.lit(SPREAD))).otherwise(0).cast("int")
-        new = state.join(gain, "id", "left").withColumn("spread", spread).join(far, ["anc", "spread"], "left")
+        gain = written(state.where("anc is not null").groupBy("anc").agg(F.sum("sub").cast("decimal(26,10)").alias("gain"), F.count("*").alias("n")), "gain")
+        far = state.select(F.col("id").alias("anc"), F.col("anc").alias("further"))
+        new = lookup(state.join(gain.select(F.col("anc").alias("id"), "gain"), "id", "left"), far, "anc", F.col("id"), heavy_keys(gain, "anc", split=split))
         total = (F.col("sub") + F.coalesce("gain", F.lit(0).cast("decimal(26,10)"))).cast("decimal(26,10)")
         state = written(new.select("id", F.col("further").alias("anc"), "own_cost", total.alias("sub")), "rollup")
     return state.select("id", "own_cost", (F.col("sub") - F.col("own_cost")).cast("decimal(26,10)").alias("children_cost"), F.col("sub").alias("total_cost"))

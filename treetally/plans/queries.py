@@ -9,6 +9,7 @@ from ..functions.scalars import coerce_numeric, fixed10, null_if_empty, parse_bo
 from ..operators import document, integrity, keys, lifecycle, listing, pricing, tree, validate
 from ..sources import fixtures as fx
 from ..sources import tables as io
+from ..sources.schemas import TABLES
 from ..sources.shared import new_path, written
 from ..streaming import jobs
 
@@ -180,11 +181,53 @@ def read_requests(spark, d):
     return io.read_requests(spark, path, "runs").groupBy("clerkOrgId", "appId").agg(F.count("*").alias("n"), F.count("parentRunId").alias("parents"))
 
 
+def read_requests_costs(spark, d):
+    """Cost batches from JSON, with what their validation says."""
+    path = new_path(spark, "requests")
+    _items(spark, d).withColumns({"request_id": F.col("request_id").cast("string"), "run_id": F.col("run_id").cast("string")}).write.json(path)
+    good, bad = validate.validate_cost_batches(io.read_requests(spark, path, "costs"))
+    rows = good.withColumn("reason", F.lit(None).cast("string")).unionByName(bad, allowMissingColumns=True)
+    quantity = F.aggregate("items", F.lit(0).cast("decimal(30,6)"), lambda s, x: (s + x["quantity"]).cast("decimal(30,6)"))
+    return rows.select(F.col("request_id").cast("long").alias("request_id"), F.greatest(F.coalesce(F.size("items"), F.lit(0)), F.lit(0)).cast("long").alias("lines"), F.coalesce(quantity, F.lit(0).cast("decimal(30,6)")).alias("quantity"), "reason")
+
+
+def read_price_list_json(spark, d):
+    """A price list from JSON."""
+    path = new_path(spark, "prices")
+    fx.read(spark, d, "part").select(F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("name"), (F.col("p_retailprice") / 10).alias("costPerUnitInUsdCents")).write.json(path)
+    good, bad = io.read_price_list(spark, path)
+    return good.withColumn("reason", F.lit(None).cast("string")).unionByName(bad.select("cost_name", F.lit(None).cast("decimal(12,10)").alias("unit_cost"), "reason"))
+
+
+def scan_tables(spark, d):
+    """The stored ledger, as its declared schemas read it: rows, ids and amounts of each table."""
+    folder, now = new_path(spark, "ledger"), F.col("_at")
+    for name, df in fx.tables(spark, d).items():
+        if name == "runs_costs":
+            df = df.withColumn("id", F.concat_ws("/", "run_id", "cost_name", "quantity"))
+        df = df.withColumn("_at", F.lit("2024-01-01").cast("timestamp")).withColumns({c: now for c in ("created_at", "updated_at")})
+        have = [f for f in TABLES[name].fields if f.name in df.columns]
+        df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in have]).write.parquet(f"{folder}/{name}")
+    out = None
+    for name, df in io.scan_tables(spark, folder).items():
+        amount = F.sum("total_cost_in_usd_cents") if name == "runs_costs" else F.lit(0)
+        one = df.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), amount.cast("decimal(26,10)").alias("amount"), F.count("user_id" if name == "runs" else "id").alias("known"))
+        one = one.select(F.lit(name).alias("name"), "n", "ids", "amount", "known")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def descendants(spark, d):
     runs = written(_runs(spark, d), "runs")
     return tree.descendants(runs, _roots(runs))
 
 
+def descendants_chain(spark, d):
+    """Chains of depth 127."""
+    runs = written(fx.runs(spark, d, fx.CHAIN), "runs")
+    return tree.descendants(runs, _roots(runs))
+
+
 def project_descendant(spark, d):
     runs = written(_runs(spark, d), "runs")
     return document.project_descendant(tree.descendants(runs, _roots(runs)).join(runs, "id"))
@@ -271,7 +314,7 @@ def integrity_report(spark, d):
 
 def scalar_functions(spark, d):
     rows = fx.read(spark, d, "part")
-    return rows.select("p_partkey", null_if_empty(F.when(F.col("p_size") > 25, "").otherwise(F.col("p_brand"))).alias("brand"), fixed10(F.col("p_retailprice").cast("decimal(16,10)") / 3).alias("third"),
+    return rows.select("p_partkey", null_if_empty(F.when(F.col("p_size") > 25, "").otherwise(F.col("p_brand"))).alias("brand"), fixed10(F.col("p_retailprice").cast("decimal(10,2)") * F.lit("0.333").cast("decimal(4,3)")).alias("third"),
                        coerce_numeric(F.col("p_size") * 7, 3, 1).alias("fits"), (parse_bound_ts(AFTER) <= F.lit("1995-01-01").cast("timestamp")).alias("before"))
 
 
@@ -297,6 +340,16 @@ def stream_status_updates(spark, d):
     return lifecycle.apply_status_updates(runs, spark.read.parquet(f"{out}/log")).select("id", "status", "completed_at")
 
 
+def stream_status_json(spark, d):
+    """Status requests from JSON files, as a stream."""
+    source, out = new_path(spark, "requests"), new_path(spark, "stream")
+    fx.status_updates(spark, d).withColumns({"request_id": F.col("request_id").cast("string"), "run_id": F.col("run_id").cast("string")}).write.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(source)
+    runs = _runs(spark, d).withColumn("id", F.col("id").cast("string"))
+    _drained(jobs.stream_status_updates(io.read_requests(spark, source, "status", stream=True), runs, {k: f"{out}/{k}" for k in ("log", "rejects", "checkpoint")}))
+    log = spark.read.parquet(f"{out}/log").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return lifecycle.apply_status_updates(runs, log).select(F.col("id").cast("long").alias("id"), "status", "completed_at")
+
+
 def stream_create_runs(spark, d):
     source, out = new_path(spark, "requests"), new_path(spark, "stream")
     fx.create_requests(spark, d).withColumn("request_id", F.col("request_id").cast("string")).write.parquet(source)
@@ -322,8 +375,8 @@ QUERIES = {f.__name__: f for f in (
     list_runs, list_runs_filtered, filter_tenant, filter_user, filter_dims, filter_parent, filter_started_range, unknown_key_is_empty, page_second,
     runs_with_costs_join, own_cost_per_run, own_total, price_cost_items, priced_rejects, distinct_cost_names, read_price_list, validate_runs,
     validate_status_updates, validate_cost_batches, lookup_runs, check_run_exists, update_target_exists, check_parent_exists, resolve_orgs, resolve_users,
-    apply_run_defaults, append_runs, append_costs, read_requests, descendants, project_descendant, costs_of_descendants, attach_costs_to_descendants,
+    apply_run_defaults, append_runs, append_costs, read_requests, read_requests_costs, read_price_list_json, scan_tables, descendants, descendants_chain, project_descendant, costs_of_descendants, attach_costs_to_descendants,
     descendant_own_totals, children_total, run_cost_summary, tree_rollup_all, tree_rollup_chain, costs_by_run, run_document, write_documents,
-    apply_status_updates, cascade_delete_runs, evolve_add_dims, integrity_report, scalar_functions, stream_price_costs, stream_status_updates,
+    apply_status_updates, cascade_delete_runs, evolve_add_dims, integrity_report, scalar_functions, stream_price_costs, stream_status_updates, stream_status_json,
     stream_create_runs, stream_own_cost,
 )}

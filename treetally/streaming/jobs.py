@@ -9,10 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.keys import apply_run_defaults, check_parent_exists, check_run_exists, resolve_orgs, resolve_users, update_target_exists
 from ..operators.pricing import price_cost_items
 from ..operators.validate import validate_cost_batches, validate_runs, validate_status_updates
+from ..sources.schemas import TABLES
+from ..sources.shared import exists
 
 
 def _store(rows: DataFrame, path: str, batch: int) -> None:
@@ -31,13 +34,11 @@ def stream_create_runs(stream: DataFrame, tables: dict[str, DataFrame], paths: d
 
     def earlier(name: str, batch: int) -> DataFrame:
         spark, base = tables[name].sparkSession, tables[name]
-        try:
-            stored = spark.read.parquet(paths[name]).where(F.col("batch_id") < batch)
-        except Exception as e:  # noqa: BLE001  nothing is stored yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        if not exists(spark, paths[name]):  # nothing is stored yet
             return base
-        return base.select("id", *[c for c in ("external_id", "organization_id") if c in base.columns]).unionByName(stored.select("id", *[c for c in ("external_id", "organization_id") if c in base.columns]))
+        stored = spark.read.schema(StructType([*TABLES[name].fields, StructField("batch_id", LongType())])).parquet(paths[name]).where(F.col("batch_id") < batch)
+        columns = ["id", *[c for c in ("external_id", "organization_id") if c in base.columns]]
+        return base.select(columns).unionByName(stored.select(columns))
 
     def step(batch: DataFrame, n: int) -> None:
         good, bad = validate_runs(batch)
@@ -85,5 +86,3 @@ def stream_status_updates(stream: DataFrame, runs: DataFrame, paths: dict[str, s
 def stream_own_cost(lines: DataFrame) -> DataFrame:
     """Running own cost per run, for output mode update or complete; the state is keyed by run."""
     return lines.groupBy("run_id").agg(F.sum("total_cost_in_usd_cents").cast("decimal(26,10)").alias("own_cost"))
-
-
