@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from treetally.llm import bit_sliced, language, line_dedup, multi_index, packing, pii, quality, queries, simhash, url_rules
+from treetally.llm import language, line_dedup, packing, pii, quality, queries, simhash, url_rules
 from treetally.llm import sentencepiece_sampling as sps
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, _text string, count long, spans string, _id string, dropped int, _lines int, key string"
@@ -191,64 +191,6 @@ def test_url_rules(spark):
         assert all(url_rules.judged(u, every) == url_rules.judged(u, url_rules.filed(rules, {})) for u in urls)
 
 
-def vectors(spark, n=400, seed=1):
-    x = np.random.default_rng(seed).normal(size=(n, 8)).astype(np.float32)
-    x[5] = x[6] = x[7]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [1.0, None]), (902, [float("nan")] * 8), (903, [0.0] * 8), (None, [1.0] * 8), (904, []), (905, [1.0])]
-    return x, spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-
-
-def test_bit_sliced_top(spark):
-    x, frame = vectors(spark)
-    got = {}
-    for r in bit_sliced.top_products(frame, segment=100, block=2, query_every=50).collect():
-        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
-    q = np.floor(1024 * x.astype(np.float64)).astype(np.int64)
-    q, ids = np.vstack([q, np.zeros((1, 8), np.int64)]), np.array([*range(len(x)), 903])
-    for i in range(0, 400, 50):
-        s = q @ q[i]
-        order = [k for k in np.lexsort((ids, -s)) if ids[k] != i][:10]
-        assert [got[i][r + 1] for r in range(10)] == [(ids[k], s[k]) for k in order]
-    assert bit_sliced.top_products(frame.where("vec_id is null")).count() == 0
-
-
-def test_multi_index(spark):
-    x, frame = vectors(spark)
-    rows = multi_index.neighbours(frame, least=10, share=1.0, query_every=40, segment=100).collect()
-    v = x.astype(np.float64)
-    for i in range(0, 400, 40):
-        s = v @ v[i]
-        want = [k for k in np.lexsort((np.arange(400), -s)) if k != i][:20]
-        assert [r["vec_id"] for r in sorted((r for r in rows if r["query_id"] == i), key=lambda r: r["rank"])] == want
-    assert multi_index.neighbours(frame.where("false")).count() == 0
-
-
-def test_multi_index_recall(spark):
-    d = "/root/testdata/sf0.01"
-    rows = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding").collect()
-    ids, v = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
-    got = Counter((r["query_id"], r["vec_id"]) for r in queries.op9_multi_index(spark, d).collect())
-    want = Counter()
-    for q in np.flatnonzero(ids % 20 == 0):
-        s = v @ v[q]
-        want.update((int(ids[q]), int(ids[k])) for k in [k for k in np.lexsort((ids, -s)) if k != q][:20])
-    assert (got & want).total() >= 0.9 * want.total() and got.total() == want.total()
-
-
-def test_multi_index_recall_by_share_alone(spark):
-    rows = spark.read.parquet("/root/testdata/check_s/embeddings.parquet").select("vec_id", "embedding").where("vec_id < 5000")
-    found = rows.collect()
-    ids, v = np.array([r[0] for r in found]), np.array([r[1] for r in found], np.float64)
-    got = Counter((r["query_id"], r["vec_id"]) for r in multi_index.neighbours(rows, least=0).collect())
-    want = Counter()
-    for q in np.flatnonzero(ids % 20 == 0):
-        s = v @ v[q]
-        want.update((int(ids[q]), int(ids[k])) for k in [k for k in np.lexsort((ids, -s)) if k != q][:20])
-    recall = (got & want).total() / want.total()
-    print("recall", len(ids), recall)
-    assert recall >= 0.9
-
-
 def test_packing(docs, empty):
     rows = packing.pack_documents(docs, sizes=(64, 256, 1024), shard=5).collect()
     covered, bins = Counter(), {}
@@ -277,22 +219,6 @@ def test_quality_and_language_edges(spark, docs, empty):
     assert language.fit(empty, F.lit(True)).predict("words here") == ("und", 0.0)
 
 
-def test_rare_languages_are_learned(spark):
-    rng = np.random.default_rng(5)
-    word = lambda letters: "".join(rng.choice(list(letters), 6))
-    of = {x: [word(letters) for _ in range(300)] for x, letters in (("aa", "abcdef"), ("bb", "ghijkl"), ("zz", "mnopqr"))}
-    rows = [(i, " ".join(rng.choice(of[x], 30)) if x in of else "12 + ...", x) for i, x in enumerate(["zz"] * 5 + ["aa"] * 600 + ["bb"] * 595 + ["un"] * 3)]
-    docs = spark.createDataFrame([*rows, *[(None, t, x) for _, t, x in rows[:2]]], "doc_id long, text string, lang string")
-    model = language.fit(docs, F.lit(True), max_docs=100, max_entries=300)
-    assert model.langs == ["aa", "bb", "zz"] and len(model.words) <= 300 and len(model.grams) <= 300
-    zz = {w for _, t, x in rows if x == "zz" for w in t.split()}
-    assert len(zz & set(model.words)) >= 80
-    for x, words in of.items():  # of frequent and rare words, and words that were never seen
-        assert {model.predict(" ".join(words[i : i + 5]))[0] for i in range(0, 300, 5)} == {x}
-    unnamed = docs.withColumn("doc_id", F.lit(None).cast("long"))
-    assert language.fit(unnamed, F.lit(True), max_docs=100).predict(" ".join(of["zz"][:5]))[0] == "zz"
-
-
 def test_additive_model_learns_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, len(quality.FEATURES)))

@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .vectors import best, clean, grouped, is_query, matrix, one_dimension, query_blocks, search
+from .vectors import best, clean, counted, is_query, matrix, of, packed, search
 
-SEGMENT, BLOCK = 8192, 128
+SEGMENT = 8192
 
 
 def pack_bits(rows: np.ndarray) -> np.ndarray:
@@ -101,38 +101,34 @@ class Slices:
         return unpack_bits(more | equal, self.n)
 
 
-def build(t: pa.Table, dropped: int) -> pa.Table:
-    ids = t.column("vec_id").to_numpy()
-    x, at = matrix(t.column("v"), len(ids), np.int64), np.argsort(ids)
-    return pa.table({"seg": pa.array([t.column("seg")[0].as_py()], pa.int32()), "vec_ids": pa.array([ids[at].tobytes()], pa.binary()), "x": pa.array([x[at].tobytes()], pa.binary())})
-
-
-def top_products(vectors: DataFrame, k: int = 10, query_every: int = 100, scale: int = 1024, id_col: str = "vec_id", vec_col: str = "embedding", segment: int = SEGMENT, block: int = BLOCK, dropped: int = 4) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each id divisible by query_every, the k other ids
-    of highest inner product of floor(scale x component), ties to the smaller id.
-
-    See vectors.clean for the rows that take part; further, vectors of another than the
-    commonest dimension don't. Components must stay under 2^28 in absolute value after
-    scaling. Fewer than k others: all of them. Nothing to search: no rows."""
-    rows = clean(vectors, id_col, vec_col, False).withColumn("v", F.transform("v", lambda x: F.floor(x * scale).cast("long")))
-    rows, n = one_dimension(written(rows, "attributes"))
-    queries = rows.where(is_query("vec_id", query_every))
-    parted, parts = grouped(rows, n, segment, "seg")
-    index = written(parted.groupBy("seg").applyInArrow(lambda t: build(t, dropped), "seg int, vec_ids binary, x binary"), "slices")
-
-    def found(row: dict, ids: np.ndarray, q: bytes, opened: dict) -> tuple:
-        if not opened:
-            own = np.frombuffer(row["vec_ids"], np.int64)
-            x = np.frombuffer(row["x"], np.int64).reshape(len(own), -1)
-            opened.update(ids=own, index=Slices(x, dropped))
-        own, index = opened["ids"], opened["index"]
+def top_products(vectors: DataFrame, k: int = 10, query_every: int = 100, scale: int = 1024, id_col: str = "vec_id", vec_col: str = "embedding", segment: int = SEGMENT, dropped: int = 4) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each row whose id is divisible by query_every, the k
+    other rows of highest inner product of floor(scale x component), ties to the smaller id.
+
+    Rows that share an id are queries, and candidates for each other, one by one. A vector
+    meets those of its own length. See vectors.clean for the rows that take part. Components
+    must stay under 2^28 in absolute value after scaling. Fewer than k others: all of them.
+    Nothing to search: no rows. Other columns play no part."""
+    rows = clean(vectors, id_col, vec_col, False, lambda x: F.floor(x * scale).cast("long"))
+    parts, first = {d: -(-n // segment) for d, n in counted(rows).items()}, {}
+    for d in sorted(parts):  # segments are numbered through all dimensions
+        first[d] = sum(parts[x] for x in first)
+    if not parts:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    build = lambda t: packed({"rows": t.column("row").to_numpy(), "vec_ids": t.column("vec_id").to_numpy(), "x": matrix(t.column("v"), t.num_rows, np.int64)}, t.column("seg")[0].as_py())
+    dealt = rows.withColumn("seg", (of("d", first) + F.pmod(F.xxhash64("row"), of("d", parts))).cast("int"))
+    index = written(dealt.groupBy("seg").applyInArrow(build, "seg int, rows binary, vec_ids binary, x binary"), "slices")
+
+    def found(segment_row: dict, queries: pa.Table, opened: dict) -> tuple:
+        row_of, own = np.frombuffer(segment_row["rows"], np.int64), np.frombuffer(segment_row["vec_ids"], np.int64)
+        slices, place = Slices(np.frombuffer(segment_row["x"], np.int64).reshape(len(own), -1), dropped), dict(zip(row_of.tolist(), range(len(own))))
         out = []
-        for i, w in zip(ids, np.frombuffer(q, np.int64).reshape(len(ids), -1)):
-            at = int(np.searchsorted(own, i))
-            rows = index.top(w, k, at if at < len(own) and own[at] == i else None)
-            scores = index.x[rows] @ w
-            rows_best = best(scores, own[rows], k)
-            out.append((np.full(len(rows_best), i), own[rows][rows_best], scores[rows_best]))
+        for q, i, w in zip(queries.column("row").to_pylist(), queries.column("vec_id").to_pylist(), matrix(queries.column("v"), queries.num_rows, np.int64)):
+            at = slices.top(w, k, place.get(q))
+            scores = slices.x[at] @ w
+            top = best(scores, own[at], k)
+            out.append((np.full(len(top), q), np.full(len(top), i), own[at][top], scores[top]))
         return tuple(np.concatenate(c) for c in zip(*out))
 
-    return search(index, query_blocks(queries, max(1, n // query_every), block, parts, np.int64), parts, found, k, "long")
+    queries = rows.where(is_query(query_every)).withColumn("seg", F.explode(F.sequence(of("d", first), of("d", first) + of("d", parts) - 1)))
+    return search(index, queries, found, k, "long", max(8, sum(parts.values())))

@@ -1,85 +1,76 @@
-"""Vectors as segments of rows and blocks of queries, which searches pair in tasks of bounded size."""
+"""Vectors as segments of rows, which searches pair with queries in tasks of bounded size."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
 
-def clean(vectors: DataFrame, id_col: str, vec_col: str, nonzero: bool) -> DataFrame:
-    """(vec_id, v array<double>), one row an id: rows with a null id, a null or empty vector, or
-    a null or non-finite component go, and zero vectors if nonzero. An id that several rows
-    hold counts once, with its smallest vector."""
+#: Queries that one task holds at a time, at most about.
+CHUNK = 32768
+FOUND = ("query", "query_id", "vec_id", "score")
+
+
+def clean(vectors: DataFrame, id_col: str, vec_col: str, nonzero: bool, component: Callable[[Column], Column] = lambda x: x) -> DataFrame:
+    """(row, vec_id, d, v), written: each row is a vector of its own, known by `row`, whatever
+    rows share its id. v has component(x) of each x as double, d is its length. Rows with a
+    null id, a null or empty vector, or a null or non-finite component go, and zero vectors if
+    nonzero: they can't be named, or have no product."""
     v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
     fine = F.forall("v", lambda x: F.coalesce(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
     some = F.exists("v", lambda x: x != 0) if nonzero else F.lit(True)
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0))
-    return rows.where(fine & some).groupBy("vec_id").agg(F.min("v").alias("v"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).where(fine & some)
+    return written(rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.size("v").alias("d"), F.transform("v", component).alias("v")), "vectors")
 
 
-def one_dimension(rows: DataFrame) -> tuple[DataFrame, int]:
-    """The rows of the commonest dimension (of several, the largest), and how many these are."""
-    top = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    return (rows.where(F.size("v") == top["d"]), top["count"]) if top else (rows, 0)
+def counted(rows: DataFrame) -> dict[int, int]:
+    """How many rows each dimension has."""
+    return {r["d"]: r["count"] for r in rows.groupBy("d").count().collect()}
 
 
-def grouped(rows: DataFrame, n: int, size: int, name: str) -> tuple[DataFrame, int]:
-    """rows with column `name`: one of ceil(n / size) even parts, by a hash of the (unique) id."""
-    parts = max(1, -(-n // size))
-    return rows.withColumn(name, F.pmod(F.xxhash64("vec_id", F.lit(name)), F.lit(parts)).cast("int")), parts
+def of(key: str, values: dict[int, int]) -> Column:
+    """What a (small) dict has for a column."""
+    return F.create_map(*map(F.lit, chain(*values.items())))[F.col(key)]
 
 
-def matrix(column: pa.ChunkedArray, rows: int, kind: type) -> np.ndarray:
-    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+def matrix(column: pa.ChunkedArray | pa.Array, rows: int, kind: type) -> np.ndarray:
+    flat = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten().to_numpy(zero_copy_only=False)
     return np.ascontiguousarray(flat, kind).reshape(rows, -1)
 
 
-#: Query blocks that one task holds at a time.
-CHUNK = 32
-
-
-def query_blocks(queries: DataFrame, n: int, size: int, segments: int, kind: type, chunk: int = CHUNK) -> tuple[DataFrame, int]:
-    """(seg, chunk, ids, q): each block of about `size` queries, once for each segment; and the number of chunks."""
-
-    def pack(t: pa.Table) -> pa.Table:
-        ids = t.column("vec_id").to_numpy()
-        q = matrix(t.column("v"), len(ids), kind)
-        at = np.argsort(ids)
-        return pa.table({"block": pa.array([t.column("block")[0].as_py()], pa.int32()), "ids": pa.array([ids[at].tobytes()], pa.binary()), "q": pa.array([q[at].tobytes()], pa.binary())})
-
-    rows, parts = grouped(queries, n, size, "block")
-    blocks = rows.groupBy("block").applyInArrow(pack, "block int, ids binary, q binary")
-    blocks = blocks.withColumn("chunk", F.floor(F.col("block") / chunk).cast("int")).withColumn("seg", F.explode(F.sequence(F.lit(0), F.lit(segments - 1))))
-    return blocks.select("seg", "chunk", "ids", "q"), -(-parts // chunk)
+def packed(arrays: dict[str, np.ndarray], seg: int) -> pa.Table:
+    """One row: seg and each array's bytes."""
+    return pa.table({"seg": pa.array([seg], pa.int32()), **{k: pa.array([a.tobytes()], pa.binary()) for k, a in arrays.items()}})
 
 
-def search(segments: DataFrame, blocks: tuple[DataFrame, int], n_segments: int, found: Callable, k: int, score: str) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best of what `found` yields for each segment and block.
+def search(segments: DataFrame, queries: DataFrame, found: Callable, k: int, score: str, parts: int) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each query row the k best of what `found` yields.
 
-    found(segment row as dict, ids, q bytes, opened) gives arrays (query_id, vec_id, score),
-    at most k a query; so no more than k x segments rows a query meet in the last step.
-    opened is a dict to keep what found makes of the segment. A task holds one segment and
-    at most one chunk of blocks at a time."""
+    segments: one row a seg. queries: (seg, row, vec_id, v ...), a row for each segment that a
+    query is to meet. found(segment row as dict, queries as a table, opened) gives arrays
+    FOUND, at most k rows a query; opened is a dict to keep what found makes of the segment.
+    Queries of a segment go in chunks of at most about CHUNK, with a copy of the segment
+    each, so a task holds one segment and one chunk, and a copy serves very many queries."""
+    chunks = queries.groupBy("seg").count().select("seg", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
+    left = segments.join(chunks, "seg").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+    right = queries.join(chunks, "seg").withColumn("chunk", F.pmod(F.xxhash64("row"), F.col("chunks")).cast("int")).drop("chunks")
+    kinds = dict(zip(FOUND, (pa.int64(), pa.int64(), pa.int64(), pa.float64() if score == "double" else pa.int64())))
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out, opened = [], {}
-        if left.num_rows:
-            row = left.to_pylist()[0]
-            out = [found(row, np.frombuffer(ids.as_py(), np.int64), q.as_py(), opened) for ids, q in zip(right.column("ids"), right.column("q"))]
-        if not out:
-            return pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64() if score == "double" else pa.int64())]).empty_table()
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), (np.concatenate(c) for c in zip(*out)))))
+    def run(one: pa.Table, many: pa.Table) -> pa.Table:
+        if not one.num_rows or not many.num_rows:
+            return pa.schema(list(kinds.items())).empty_table()
+        out = found(one.to_pylist()[0], many, {})
+        return pa.table({name: pa.array(a, kinds[name]) for name, a in zip(FOUND, out)})
 
-    queries, chunks = blocks
-    parts = max(8, n_segments * chunks)
-    segments = segments.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    both = segments.repartition(parts, "seg", "chunk").groupBy("seg", "chunk").cogroup(queries.repartition(parts, "seg", "chunk").groupBy("seg", "chunk"))
-    rows = both.applyInArrow(run, f"query_id long, vec_id long, score {score}")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    both = left.repartition(parts, "seg", "chunk").groupBy("seg", "chunk").cogroup(right.repartition(parts, "seg", "chunk").groupBy("seg", "chunk"))
+    rows = both.applyInArrow(run, f"query long, query_id long, vec_id long, score {score}")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -91,5 +82,5 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def is_query(id_col: str, every: int) -> Column:
-    return F.col(id_col) % every == 0
+def is_query(every: int) -> Column:
+    return F.col("vec_id") % every == 0
