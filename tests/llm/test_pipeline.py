@@ -83,3 +83,18 @@ def test_unlabelled_documents_stay(spark):
         docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
         got = corpus_pipeline.identify_language(spark, docs, "").collect()
         assert Counter(map(tuple, got)) == Counter(r for r in rows if regex.search(r"\p{L}", r[1] or ""))
+
+
+def test_empty_and_clashing_tables(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, lang_pred string, n_lines string, n_dropped string, _text string, _spans string, c0 string"
+    extra = ("a", "b", "c", "d", "e", "f", "g")
+    rows = [(i, t, "en" if i else None, "s", 1, *extra) for i, t in [(1, "first words of a text\nshared line of two"), (2, "other words\nshared line of two"), (2, "other words\nshared line of two"), (None, "no id, mail a@b.org"), (5, None), (6, ""), (7, "12")]]
+    docs = spark.createDataFrame(rows, schema)
+    for name, table in (("full", docs), ("empty", docs.where("false"))):
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        out = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = written(stage(spark, out, ""), "stage")
+            assert out.columns == docs.columns and all(tuple(r)[5:] == extra for r in out.collect())
+        places = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert {r["doc_id"] for r in places} == ({1, 2, None} if name == "full" else set())

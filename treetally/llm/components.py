@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import lookup
 from .common import written
 
 
@@ -13,7 +14,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Each round, every root hooks onto its smallest neighbour, chains are followed to their
     ends by pointer jumping, and edges are renamed to the roots; edges inside a component go.
-    What is left shrinks each round. Nulls and self loops are ignored; no edges, no rows."""
+    What is left shrinks each round. A root that very many nodes or edges have is dealt to
+    several tasks. Nulls and self loops are ignored; no edges, no rows."""
     edges = written(edges.select("a", "b").where("a <> b").distinct(), "edges")
     roots = written(edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct().withColumn("root", F.col("node")), "roots")
     while True:
@@ -28,7 +30,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
             hooks = jumped.select("root", "to")
             if jumped.where("moved").isEmpty():
                 break
-        roots = written(roots.join(hooks, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
+        roots = written(lookup(roots, hooks, "root", F.col("node")).select("node", F.coalesce("to", "root").alias("root")), "roots")
         for side in ("a", "b"):
-            edges = edges.join(hooks.select(F.col("root").alias(side), F.col("to").alias(f"{side}_to")), side, "left").withColumn(side, F.coalesce(f"{side}_to", side)).select("a", "b")
+            other = "b" if side == "a" else "a"
+            edges = lookup(edges, hooks.select(F.col("root").alias(side), F.col("to").alias(f"{side}_to")), side, F.col(other)).withColumn(side, F.coalesce(f"{side}_to", side)).select("a", "b")
         edges = written(edges.where("a <> b").distinct(), "edges")

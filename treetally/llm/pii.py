@@ -301,7 +301,7 @@ def _classified(docs: DataFrame, text_col: str, classifier: SpanClassifier, gaze
 
 
 def detect(docs: DataFrame, classifier: SpanClassifier | None = None, id_col: str = "doc_id", text_col: str = "text", gazetteers: Gazetteers = Gazetteers()) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added), a row for each row.
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans, n_added), a row for each row.
 
     A null text is an empty one: no spans, the hash of an empty string, spans ''. Spans are in
     code points, end exclusive. Added spans never overlap base ones. Ids may be null or
@@ -311,7 +311,7 @@ def detect(docs: DataFrame, classifier: SpanClassifier | None = None, id_col: st
     rows = _classified(docs, "text", classifier or fit(docs, gazetteers=gazetteers), gazetteers)
     count = lambda kind: F.size(F.filter("_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     n = [count(kind) for kind in BASE]
-    return rows.select("doc_id", *n, F.sha2(_as_text(F.col("_base")), 256).alias("base_sha256"), _as_text(F.col("_spans")).alias("spans"), F.size("_added").cast("long").alias("n_added"))
+    return rows.select("doc_id", *n, F.sha2(_as_text(F.col("_base")), 256).alias("base_sha256"), _as_text(F.col("_spans")).alias("spans"), F.size("_spans").cast("long").alias("n_spans"), F.size("_added").cast("long").alias("n_added"))
 
 
 def redact(docs: DataFrame, classifier: SpanClassifier | None = None, text_col: str = "text", gazetteers: Gazetteers = Gazetteers()) -> DataFrame:

@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import heavy_keys, lookup
 from .common import renamed, written
 from .components import connected_components
 
@@ -154,13 +155,13 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     all pairs within 3 bits. An anchor with over `block` entries is cut into blocks, each
     pair of which is compared in a group of its own; no group has over about 2 x block rows
     and each gives fewer links than it has rows."""
-    entries = fps.select("fp").where("fp is not null").distinct().mapInArrow(_anchored, "anchor long, fp long, home boolean")
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    entries = fps.select("fp").where("fp is not null").distinct().repartition(parts, "fp").mapInArrow(_anchored, "anchor long, fp long, home boolean")
     entries = written(entries, "anchors")
     large = entries.groupBy("anchor").count().where(F.col("count") > block).select("anchor", F.ceil(F.col("count") / block).cast("int").alias("k"))
     cut = (entries.join(large, "anchor", "left").withColumn("own", F.coalesce(F.pmod(F.xxhash64("fp"), "k"), F.lit(0)).cast("int"))
            .withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("k"), F.lit(1)) - 1)))
            .select("anchor", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "fp", "home"))
-    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return cut.repartition(parts, "anchor", "low", "high").sortWithinPartitions("anchor", "low", "high").mapInArrow(_compared, "a long, b long")
 
 
@@ -179,12 +180,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _in_components(docs: DataFrame, id_col: str, text_col: str, block: int = BLOCK) -> DataFrame:
     """(doc_id, fp, text_hash, root, component_id), a row for each row of docs; root is the smallest fingerprint of the component."""
     fps = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
     roots = connected_components(links(fps, block)).withColumnRenamed("node", "fp")
     nodes = written(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "nodes")
+    # A text that a third of the rows share, or a component of very many texts, is dealt to many tasks.
     ids = nodes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of = nodes.select("fp", "root").join(ids, "root").select("fp", "root", "component_id")
-    return fps.join(of, "fp").select("doc_id", "fp", "text_hash", "root", "component_id")
+    of = lookup(nodes.select("fp", "root"), ids, "root", F.col("fp"), how="inner").select("fp", "root", "component_id")
+    return lookup(fps, of, "fp", F.monotonically_increasing_id(), heavy_keys(nodes, "fp"), how="inner").select("doc_id", "fp", "text_hash", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

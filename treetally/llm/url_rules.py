@@ -10,11 +10,11 @@ tokens, and only their expressions run.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"[a-z0-9]+")
@@ -43,19 +43,37 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 @dataclass(frozen=True)
 class Rule:
-    """text is host/path for a site rule, else the pattern."""
+    """text is host/path for a site rule, else the pattern. A pattern may begin with || (a host or
+    one of its subdomains starts here) or | (the url starts here), end with | (the url ends
+    here), or be a regular expression between slashes."""
 
     text: str
     verdict: str
     site: bool = True
+    match_case: bool = False
+
+    @property
+    def is_regex(self) -> bool:
+        return not self.site and len(self.text) > 2 and self.text[0] == self.text[-1] == "/"
+
+    def _parts(self) -> tuple[str, str, str]:
+        """What a pattern begins with, its middle, and what it ends with."""
+        body = self.text if self.match_case else ascii_lower(self.text)
+        start = "||" if body.startswith("||") else "|" if body.startswith("|") else ""
+        end = "|" if body.endswith("|") and len(body) > len(start) else ""
+        return start, body[len(start) : len(body) - len(end)], end
 
     @property
     def expression(self) -> str:
-        """To search in host + path of a site rule, in the lower-cased url of a pattern."""
+        """To search in host + path of a site rule, in the url of a pattern (lower-cased but for match_case)."""
         if self.site:
             host, _, path = self.text.partition("/")
             return rf"\A(?:[^/]*\.)?{re.escape(host)}/{re.escape(path)}"
-        return "".join(".*" if c == "*" else SEPARATOR if c == "^" else re.escape(c) for c in ascii_lower(self.text))
+        if self.is_regex:
+            return self.text[1:-1]
+        start, body, end = self._parts()
+        middle = "".join(".*" if c == "*" else SEPARATOR if c == "^" else re.escape(c) for c in body)
+        return {"||": r"\A[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#]*\.)?", "|": r"\A", "": ""}[start] + middle + (r"\Z" if end else "")
 
     @property
     def literals(self) -> list[str]:
@@ -64,7 +82,53 @@ class Rule:
             host, _, path = self.text.partition("/")
             # The last token of the path may go on in the url.
             return sorted({*TOKEN.findall(host), *[m[0] for m in TOKEN.finditer(ascii_lower(path)) if m.end() < len(path)]})
-        return sorted({m[1] for m in re.finditer(r"(?=(?<=[^a-z0-9*])([a-z0-9]+)[^a-z0-9*])", ascii_lower(self.text))})
+        if self.is_regex:
+            return []
+        start, body, end = self._parts()
+        bounded = ("/" if start else "") + ascii_lower(body) + ("/" if end else "")
+        return sorted({m[1] for m in re.finditer(r"(?=(?<=[^a-z0-9*])([a-z0-9]+)[^a-z0-9*])", bounded)})
+
+
+def parse_list(lines: Iterable[str]) -> tuple[list[Rule], list[tuple[str, str]]]:
+    """Rules of a filter list in the common blocker syntax, and (line, reason) of those that a url
+    alone can't decide: hiding rules, and rules with options that ask for what requested it.
+
+    ! and [ begin comments; @@ makes a rule allow; $match-case is kept, $important and $all
+    are as good as none. Null and empty lines are none; repeated rules count once."""
+    rules, skipped = {}, []
+    for given in lines:
+        line = (given or "").strip()
+        if not line or line[0] in "![":
+            continue
+        if re.search(r"#[@?$%]?#", line):
+            skipped.append((line, "hides parts of a page"))
+            continue
+        verdict, body = ("allow", line[2:]) if line.startswith("@@") else ("block", line)
+        options: set[str] = set()
+        if (cut := re.search(r"\$(~?[\w-]+(?:=[^,]*)?(?:,~?[\w-]+(?:=[^,]*)?)*)$", body)) and not (body[0] == "/" and body[-1] == "/"):
+            body, options = body[: cut.start()], set(cut[1].split(","))
+        if other := options - {"match-case", "important", "all"}:
+            skipped.append((line, "asks for " + ", ".join(sorted(other))))
+            continue
+        rule = Rule(body, verdict, False, "match-case" in options)
+        try:
+            re.compile(rule.expression)
+        except re.error:
+            skipped.append((line, "no regular expression"))
+            continue
+        if body.strip("*|^"):
+            rules[rule] = None
+        else:
+            skipped.append((line, "fits everything"))
+    return list(rules), skipped
+
+
+def read_list(spark: SparkSession, path: str) -> tuple[list[Rule], list[tuple[str, str]]]:
+    """parse_list of text files, which Spark reads; of MAX_RULE_BYTES at most."""
+    lines = spark.read.text(path)
+    if (lines.agg(F.sum(F.octet_length("value"))).first()[0] or 0) > MAX_RULE_BYTES:
+        raise ValueError(f"rules of over {MAX_RULE_BYTES} bytes: judge them in parts")
+    return parse_list(r["value"] for r in lines.collect())
 
 
 # The rules of the query.
@@ -99,7 +163,7 @@ def filed(rules: tuple[Rule, ...], counts: dict[str, int]) -> dict[str, list[tup
     out: dict[str, list[tuple[Rule, re.Pattern]]] = {}
     for r in rules:
         rarest = min(r.literals, key=lambda t: (counts.get(t, 0), -len(t), t), default="")
-        out.setdefault(rarest, []).append((r, re.compile(r.expression, re.S)))
+        out.setdefault(rarest, []).append((r, re.compile(r.expression, re.S | (re.I if r.is_regex and not r.match_case else 0))))
     return out
 
 
@@ -116,7 +180,7 @@ def judged(url: str | None, index: dict[str, list[tuple[Rule, re.Pattern]]]) ->
             if rule.site:
                 if pattern.search(place):
                     sites.append(rule)
-            elif pattern.search(low):
+            elif pattern.search(url or "" if rule.match_case else low):
                 verdicts.add(rule.verdict)
     if sites:
         best = min(sites, key=lambda r: (-len(r.text), r.text))
@@ -127,8 +191,10 @@ def judged(url: str | None, index: dict[str, list[tuple[Rule, re.Pattern]]]) ->
 def judge(pages: DataFrame, sites: tuple[Rule, ...] = SITE_RULES, patterns: tuple[Rule, ...] = PATTERN_RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict), a row for each row of pages.
 
-    Null urls and urls without :// have an empty host and path; patterns still see the url.
-    Repeated urls and ids are judged alike; other columns play no part."""
+    sites and patterns: rules, as many as MAX_RULE_BYTES hold (see read_list). Null urls and
+    urls without :// have an empty host and path; patterns still see the url. Repeated urls
+    and ids are judged alike, very long urls whole; an empty table gives no rows; other
+    columns play no part."""
     rules = (*sites, *patterns)
     if sum(len(r.text) for r in rules) > MAX_RULE_BYTES:
         raise ValueError(f"rules of over {MAX_RULE_BYTES} bytes: judge them in parts")
