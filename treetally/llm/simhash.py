@@ -179,14 +179,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _in_components(docs: DataFrame, id_col: str, text_col: str, block: int = BLOCK) -> DataFrame:
     """(doc_id, fp, text_hash, root, component_id), a row for each row of docs; root is the smallest fingerprint of the component."""
-    fps = written(fingerprints(docs, id_col, text_col), "fingerprints")
+    fps = written(fingerprints(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "fingerprints")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
     roots = connected_components(links(fps, block)).withColumnRenamed("node", "fp")
     nodes = written(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "nodes")
     # A text that a third of the rows share, or a component of very many texts, is dealt to many tasks.
     ids = nodes.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of = lookup(nodes.select("fp", "root"), ids, "root", F.col("fp"), how="inner").select("fp", "root", "component_id")
-    return lookup(fps, of, "fp", F.monotonically_increasing_id(), heavy_keys(nodes, "fp"), how="inner").select("doc_id", "fp", "text_hash", "root", "component_id")
+    return lookup(fps, of, "fp", F.col("row"), heavy_keys(nodes, "fp"), how="inner").select("doc_id", "fp", "text_hash", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
