@@ -155,7 +155,10 @@ def sampled(vocabulary: Vocabulary, chunks: list[str], keys: np.ndarray) -> tupl
     rank = dict(zip(distinct, range(len(distinct))))
     lattices = Lattices(vocabulary, distinct)
     first, back, cumulative = lattices.first, lattices.back, lattices.cumulative
-    state = lattices.ends(np.fromiter(map(rank.__getitem__, chunks), np.int64, len(chunks)))
+    # Chunks go in the order of their lattices, so that neighbours read neighbouring entries.
+    ranks = np.fromiter(map(rank.__getitem__, chunks), np.int64, len(chunks))
+    order = np.argsort(ranks, kind="stable")
+    state, keys = lattices.ends(ranks[order]), keys[order]
     live, step, got, steps = np.arange(len(chunks)), 0, [], np.zeros(len(chunks), np.int64)
     while len(live):
         s = state[live]
@@ -168,10 +171,12 @@ def sampled(vocabulary: Vocabulary, chunks: list[str], keys: np.ndarray) -> tupl
         state[live] = back[e]
         live = live[back[e] >= len(distinct)]
         step += 1
-    stop = np.cumsum(steps)
-    ids = np.empty(int(stop[-1]), np.int64)
+    in_order = np.empty_like(steps)
+    in_order[order] = steps
+    steps, stop = in_order, np.cumsum(in_order)
+    last, ids = stop[order] - 1, np.empty(int(stop[-1]), np.int64)
     for k, (where, piece) in enumerate(got):
-        ids[stop[where] - 1 - k] = piece
+        ids[last[where] - k] = piece
     lone = np.flatnonzero(ids < 0)
     if not len(lone):
         return ids.astype(np.int32), steps
