@@ -28,8 +28,8 @@ LETTERS = regex.compile(r"\p{L}+")
 PLAIN = re.compile(r"[a-zß-öø-ÿ]+")
 PLAIN_TEXT = re.compile(r"[\x00-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf-\xff]*")
 UNDECIDED = "und"
-#: Unknown words whose backed-off scores a task remembers, about, and that are scored at a time.
-REMEMBERED, TOGETHER = 100_000, 10_000
+#: Backed-off scores (of a word in a language) that a task makes at a time, and remembers, about.
+ROOM = 1 << 20
 #: Bytes of a (token, language) pair in a broadcast model, and how many bytes may be broadcast.
 #: A larger model is joined to the texts' tokens.
 BYTES_A_PAIR, MAX_BROADCAST = 28, 256 << 20
@@ -115,15 +115,15 @@ class LanguageModel:
         z = self.prior + self.words.summed(at[at >= 0], times[at >= 0])[0]
         unknown = np.flatnonzero(at < 0).tolist()
         if unknown:
-            memory = self.memory
-            if len(memory) > REMEMBERED:
-                memory.clear()
-            new = [words[i] for i in unknown if words[i] not in memory]
-            for a in range(0, len(new), TOGETHER):
-                part = new[a : a + TOGETHER]
-                memory.update(zip(part, self.backed_off(part)))
-            for i in unknown:
-                z = z + times[i] * memory[words[i]]
+            memory, together = self.memory, ROOM // max(8, len(self.langs)) + 1
+            for a in range(0, len(unknown), together):
+                part = unknown[a : a + together]
+                if len(memory) > together:
+                    memory.clear()
+                new = [words[i] for i in part if words[i] not in memory]
+                memory.update(zip(new, self.backed_off(new)))
+                for i in part:
+                    z = z + times[i] * memory[words[i]]
         return self.decided(z)
 
     def decided(self, z: np.ndarray) -> tuple[str, float]:

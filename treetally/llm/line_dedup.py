@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -176,8 +177,8 @@ def repeated_lines(docs: DataFrame, batches: int = 4, buckets: int | None = None
     return spark.read.schema(out.schema).parquet(path)
 
 
-def _kept(lines: Column, dropped: Column) -> Column:
-    """Lines whose place isn't in dropped (ascending), by one flag a line."""
+def _kept(lines: Column, dropped: Column) -> tuple[Column, Callable[[Column], Column]]:
+    """One flag a line, and from flags the lines whose place isn't in dropped (ascending)."""
     flags = F.flatten(F.transform(dropped, lambda p, i: F.concat(
         F.array_repeat(F.lit(True), p - F.when(i == 0, F.lit(-1)).otherwise(F.get(dropped, i - 1)) - 1), F.array(F.lit(False)))))
     return flags, lambda flag: F.filter(lines, lambda _, i: F.coalesce(F.get(flag, i), F.lit(True)))

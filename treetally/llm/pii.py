@@ -187,8 +187,9 @@ def _candidates(kind: str, rank: int, listed: Gazetteers) -> Column:
     return F.transform(f"_{kind}", struct)
 
 
-def _apart(candidates: Column, base: Column) -> Column:
-    """Those candidates that overlap no base span: no base span that starts before a candidate
+def _apart(candidates: Column, base: Column) -> tuple[Column, Callable[[Column, Column], Column]]:
+    """Events, and from events and their reach (the running maximum of their ends) those
+    candidates that overlap no base span: no base span that starts before a candidate
     ends has an end after the candidate's start. Both are merged in one order (a candidate by
     its end, before a base span that starts there) under a running maximum of base ends."""
     none = F.expr("cast(null as struct<start:int,rank:int,end:int,kind:string,votes:array<int>,length:int,varied:int>)")

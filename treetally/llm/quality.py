@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import smallest, written
 
 FEATURES = (
     "log_words", "word_length", "letters", "upper", "digits", "marks", "odd_marks", "distinct_words", "top_word",
@@ -169,8 +169,8 @@ def fit(feats: DataFrame, labels: DataFrame, trainable: Column, label_col: str =
     null. Of an id with several labels the larger share counts, ties as 1; of one with several
     texts the smallest features. max_rows bounds the labelled ids used: those with the smallest hash."""
     chosen = labels.where(trainable & F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.avg(label_col) >= 0.5).cast("int").alias("y"))
-    chosen = chosen.join(feats.where("doc_id is not null").groupBy("doc_id").agg(F.min("x").alias("x")), "doc_id")
-    rows = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select("x", "y").toArrow()
+    chosen = written(chosen.join(feats.where("doc_id is not null").groupBy("doc_id").agg(F.min("x").alias("x")), "doc_id"), "labelled")
+    rows = smallest(chosen, F.xxhash64("doc_id"), chosen.count(), max_rows).select("x", "y").toArrow()
     x = rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, len(FEATURES))
     return fit_arrays(x, rows.column("y").to_numpy().astype(float))
 
