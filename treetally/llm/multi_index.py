@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
-from .vectors import best, clean, is_query, matrix, packed, search
+from .common import smallest, written
+from .vectors import best, clean, counted, is_query, matrix, packed, search
 
 #: Entries of a segment, at most about; centroids of a half, at most.
 SEGMENT, CENTROIDS = 65536, 2048
@@ -73,44 +73,43 @@ class Codebooks:
         cut = x.shape[1] // 2
         return nearest(x[:, :cut], self.halves[0]), nearest(x[:, cut:], self.halves[1])
 
-    def met(self, w: np.ndarray) -> tuple[float, np.ndarray]:
-        """The least summed product of the cells that are met within the budget, and their left centroids.
-
-        The heap has the next cell of each left centroid that could be next; the next
-        centroid joins when its best conceivable cell could be the top."""
+    def scores(self, w: np.ndarray) -> np.ndarray:
+        """The summed product of each cell that holds anything."""
         left, right = self.products(w)
-        order = np.argsort(-left, kind="stable")
-        limits, at = (left[order] + right.max()).tolist(), 0
-        heap: list[tuple[float, int, int]] = []
-        rows: list[tuple[list[float], list[int]]] = []
-        used, seen, last = [], 0, -math.inf
-        while seen < self.budget:
-            while at < len(limits) and (not heap or limits[at] >= -heap[0][0]):
-                a = order[at]
-                own = slice(self.starts[a], self.starts[a + 1])
-                scores = left[a] + right[self.right[own]]
-                by = np.argsort(-scores, kind="stable")
-                rows.append((scores[by].tolist(), self.counts[own][by].tolist()))
-                if len(by):
-                    heapq.heappush(heap, (-rows[-1][0][0], at, 0))
-                at += 1
-            if not heap:
-                break
-            top, r, j = heap[0]
-            scores, counts = rows[r]
-            last, seen = -top, seen + counts[j]
-            if j == 0:
-                used.append(order[r])
-            if j + 1 < len(scores):
-                heapq.heapreplace(heap, (-scores[j + 1], r, j + 1))
+        return np.repeat(left, np.diff(self.starts)) + right[self.right]
+
+    def met(self, w: np.ndarray) -> tuple[float, np.ndarray]:
+        """The least summed product of the cells that are met within the budget, and the left
+        centroids that have such cells.
+
+        Each left centroid's cells are a falling list, and the heap has the next cell of each
+        list. As every cell holds an entry, no more than `budget` cells can be met, so only
+        so many, the best ones, are put in lists."""
+        scores = self.scores(w)
+        if not self.budget or not len(scores):
+            return math.inf, np.zeros(0, np.int64)
+        few = np.argpartition(-scores, self.budget - 1)[: self.budget] if self.budget < len(scores) else np.arange(len(scores))
+        row = np.searchsorted(self.starts, few, "right") - 1
+        few = few[np.lexsort((-scores[few], row))]
+        row = np.searchsorted(self.starts, few, "right") - 1
+        first = np.concatenate([[True], row[1:] != row[:-1]])
+        keys, counts, more = (-scores[few]).tolist(), self.counts[few].tolist(), np.append(~first[1:], False).tolist()
+        heap = [(keys[i], i) for i in np.flatnonzero(first).tolist()]
+        heapq.heapify(heap)
+        seen, budget, last = 0, self.budget, math.inf
+        while seen < budget and heap:
+            last, i = heap[0]
+            seen += counts[i]
+            if more[i]:
+                heapq.heapreplace(heap, (keys[i + 1], i + 1))
             else:
                 heapq.heappop(heap)
-        return last, np.array(used, np.int64)
+        own = np.flatnonzero(np.diff(self.starts))
+        return -last, own[np.maximum.reduceat(scores, self.starts[own]) >= -last]
 
     def before(self, w: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """How many entries lie in cells that are met before each given cell."""
-        a, b = self.products(w)
-        scores = np.repeat(a, np.diff(self.starts)) + b[self.right]
+        (a, b), scores = self.products(w), self.scores(w)
         by = np.argsort(-scores, kind="stable")
         total = np.concatenate([[0], np.cumsum(self.counts[by])])
         return total[np.searchsorted(-scores[by], -(a[left] + b[right]), "left")]
@@ -129,10 +128,10 @@ def reranked(v: np.ndarray, short: np.ndarray | None, at: np.ndarray, own: np.nd
 
 
 def codebooks_of(rows: DataFrame, sample: int, centroids: int) -> dict[int, Codebooks]:
-    """By length of the vectors, from the `sample` rows with the smallest hash; a length that
-    has none of these has one cell, so that all of its entries are met."""
-    lengths = [r["d"] for r in rows.select("d").distinct().collect()]
-    fitted, out = rows.select("d", "v").orderBy(F.xxhash64("vec_id", "v")).limit(sample).toArrow(), {}
+    """By length of the vectors, from the `sample` rows with the smallest hash of their number; a
+    length that has none of these has one cell, so that all of its entries are met."""
+    lengths = counted(rows)
+    fitted, out = smallest(rows, F.xxhash64("row"), sum(lengths.values()), sample).select("d", "v").toArrow(), {}
     of = fitted.column("d").to_numpy()
     for d in lengths:
         some = fitted.filter(pa.array(of == d)).column("v")
@@ -213,8 +212,7 @@ def exact(cells: DataFrame, queries: DataFrame, k: int) -> list:
 def learn_budgets(books: dict[int, Codebooks], cells: DataFrame, queries: DataFrame, k: int, recall: float, asked: int) -> None:
     """Sets each budget to what meets `recall` of the exact neighbours of the `asked` queries with
     the smallest hash; all entries where no such query has the length."""
-    some = queries.select("row", "vec_id", "d", "v").orderBy(F.xxhash64("vec_id", "v"), "row").limit(asked).select("row", "d", "v")
-    some = written(some, "asked")
+    some = written(smallest(queries, F.xxhash64("row"), queries.count(), asked).select("row", "d", "v"), "asked")
     near: dict[int, list] = {}
     for r in exact(cells, some, k):
         near.setdefault(r["q"], []).append((r["a"], r["b"]))
