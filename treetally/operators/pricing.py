@@ -20,8 +20,8 @@ def price_cost_items(items: DataFrame, prices: DataFrame, request: str = "reques
     prices once and a name that very many lines have is one row there. The joins are planned
     from the sizes of list and rejects: small ones are broadcast, large ones shuffled. Totals
     come from the quantity as given; what is stored is rounded to 6 places."""
-    unknown = distinct_cost_names(items).join(prices, "cost_name", "left_anti")
-    bad = items.join(unknown, items["cost_name"].eqNullSafe(unknown["cost_name"]), "left_semi").groupBy(request).agg(F.sort_array(F.collect_set("cost_name")).alias("unknown_names"))
+    unknown = distinct_cost_names(items).join(prices, "cost_name", "left_anti").withColumnRenamed("cost_name", "unknown_name")
+    bad = items.join(unknown, F.col("cost_name").eqNullSafe(F.col("unknown_name")), "left_semi").groupBy(request).agg(F.sort_array(F.collect_set("cost_name")).alias("unknown_names"))
     lines = items.withColumn("quantity", F.col("quantity").cast(RAW_QUANTITY)).join(prices, "cost_name")
     good = lines.join(bad.select(request), request, "left_anti")
     total = line_total(F.col("quantity"), F.col("unit_cost"))
