@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bit_sliced, language, line_dedup, multi_index, packing, pii, quality, sentencepiece_sampling, simhash, url_rules
+from . import bit_sliced, language, line_dedup, multi_index, packing, pii, prefix_trie, quality, sentencepiece_sampling, simhash, url_rules
 from .common import table
 
 
@@ -58,7 +58,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_sentencepiece, op3_url_rules, op4_bit_sliced_topk, op5_best_fit_packing, op6_line_dedup, op7_simhash, op8_quality, op9_multi_index, op10_language)}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(prefix_trie.sequences(table(spark, sf_dir, "conversations")))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_sentencepiece, op3_url_rules, op4_bit_sliced_topk, op5_best_fit_packing, op6_line_dedup, op7_simhash, op8_quality, op9_multi_index, op10_language, op13_prefix_trie)}
 
 ORACLE_SQL = {
     "op3_url_rules": r"""
@@ -92,5 +96,21 @@ o AS (SELECT k, min(doc_id) AS first_doc FROM l WHERE length(k) >= 10 GROUP BY k
 m AS (SELECT l.*, coalesce(l.doc_id <> o.first_doc, false) AS gone FROM l LEFT JOIN o USING (k))
 SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id
+""",
+    "op13_prefix_trie": r"""
+WITH t AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, md5(concat(CAST(strlen(role) AS VARCHAR), ':', role, text))) AS own FROM t GROUP BY conv_id),
+c AS (SELECT conv_id, own, conv_id - conv_id % 5 AS base, CAST(xor(list_reduce(list_concat([4294967295], flatten([[CAST(ascii(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1] FOR x IN string_split(CAST(conv_id AS VARCHAR), '')])),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295) % 9 AS INTEGER) AS h FROM o),
+r AS MATERIALIZED (SELECT c.conv_id, list_concat(CASE WHEN b.own IS NULL OR c.h = 0 THEN [] ELSE b.own[1:c.h] END, c.own[c.h + 1:]) AS seq FROM c LEFT JOIN o b ON b.conv_id = c.base),
+m AS (SELECT conv_id, seq, d, CASE WHEN d = 0 THEN [] ELSE seq[1:d] END AS node FROM (SELECT conv_id, seq, unnest(range(0, len(seq) + 1)) AS d FROM r)),
+n AS MATERIALIZED (SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, CASE WHEN d = 0 THEN 0 ELSE strlen(node[d].text) END AS bytes,
+  sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE len(seq) = d), '')) AS ends FROM m GROUP BY node, d),
+k AS (SELECT CASE WHEN d = 1 THEN [] ELSE node[1:d - 1] END AS node, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+f AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM n LEFT JOIN k USING (node)),
+s AS (SELECT CASE WHEN e = 0 THEN [] ELSE node[1:e] END AS node, count(*) FILTER (WHERE n_children = 0) AS n_leaves, CAST(sum((n_convs - 1) * bytes) AS BIGINT) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM f) GROUP BY 1)
+SELECT f.conv_id, f.d AS depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves, s.saved_tokens, f.ends AS ends_sha256
+FROM f JOIN s USING (node) LEFT JOIN n p ON f.d > 0 AND p.d = f.d - 1 AND p.node = CASE WHEN f.d = 1 THEN [] ELSE f.node[1:f.d - 1] END
 """,
 }
