@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bit_sliced, language, line_dedup, multi_index, packing, pii, prefix_trie, quality, sentencepiece_sampling, simhash, url_rules
+from . import bit_sliced, hard_negatives, language, line_dedup, multi_index, packing, pii, prefix_trie, quality, sentencepiece_sampling, simhash, url_rules
 from .common import table
 
 
@@ -58,11 +58,15 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(prefix_trie.sequences(table(spark, sf_dir, "conversations")))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_sentencepiece, op3_url_rules, op4_bit_sliced_topk, op5_best_fit_packing, op6_line_dedup, op7_simhash, op8_quality, op9_multi_index, op10_language, op13_prefix_trie)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_sentencepiece, op3_url_rules, op4_bit_sliced_topk, op5_best_fit_packing, op6_line_dedup, op7_simhash, op8_quality, op9_multi_index, op10_language, op11_hard_negatives, op13_prefix_trie)}
 
 ORACLE_SQL = {
     "op3_url_rules": r"""
@@ -96,6 +100,16 @@ o AS (SELECT k, min(doc_id) AS first_doc FROM l WHERE length(k) >= 10 GROUP BY k
 m AS (SELECT l.*, coalesce(l.doc_id <> o.first_doc, false) AS gone FROM l LEFT JOIN o USING (k))
 SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id
+""",
+    "op11_hard_negatives": """
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS MATERIALIZED (SELECT a.r AS a, a.vec_id AS anchor_id, c.r AS c, c.vec_id, a.label = c.label AS same, CAST(list_sum([z[1] * z[2] FOR z IN list_zip(a.e, c.e)]) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id % 50 = 0 AND c.r <> a.r AND len(c.e) = len(a.e)),
+p AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id, c) AS n FROM s WHERE same),
+f AS (SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.n ORDER BY s.score DESC, s.vec_id, s.c) AS INTEGER) AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s ON s.a = p.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score WHERE p.n <= 5)
+SELECT * FROM f WHERE rank <= 3
 """,
     "op13_prefix_trie": r"""
 WITH t AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),

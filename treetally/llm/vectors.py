@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -17,16 +18,16 @@ CHUNK = 32768
 FOUND = ("query", "query_id", "vec_id", "score")
 
 
-def clean(vectors: DataFrame, id_col: str, vec_col: str, nonzero: bool, component: Callable[[Column], Column] = lambda x: x) -> DataFrame:
+def clean(vectors: DataFrame, id_col: str, vec_col: str, nonzero: bool, component: Callable[[Column], Column] = lambda x: x, **kept: Column) -> DataFrame:
     """(row, vec_id, d, v), written: each row is a vector of its own, known by `row`, whatever
     rows share its id. v has component(x) of each x as double, d is its length. Rows with a
     null id, a null or empty vector, or a null or non-finite component go, and zero vectors if
-    nonzero: they can't be named, or have no product."""
+    nonzero: they can't be named, or have no product. kept: further columns, none of them null."""
     v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
     fine = F.forall("v", lambda x: F.coalesce(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
     some = F.exists("v", lambda x: x != 0) if nonzero else F.lit(True)
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).where(fine & some)
-    return written(rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.size("v").alias("d"), F.transform("v", component).alias("v")), "vectors")
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), *[c.alias(n) for n, c in kept.items()]).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).where(fine & some).where(reduce(lambda a, n: a & F.col(n).isNotNull(), kept, F.lit(True)))
+    return written(rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.size("v").alias("d"), F.transform("v", component).alias("v"), *kept), "vectors")
 
 
 def counted(rows: DataFrame) -> dict[int, int]:
