@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bit_sliced, hard_negatives, language, line_dedup, multi_index, packing, pii, prefix_trie, quality, sentencepiece_sampling, simhash, url_rules
+from . import bit_sliced, hard_negatives, language, line_dedup, multi_index, packing, pii, prefix_trie, quality, sentencepiece_sampling, simhash, substring_dedup, url_rules
 from .common import table
 
 
@@ -62,11 +62,16 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring_dedup.remove_repeated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(prefix_trie.sequences(table(spark, sf_dir, "conversations")))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_sentencepiece, op3_url_rules, op4_bit_sliced_topk, op5_best_fit_packing, op6_line_dedup, op7_simhash, op8_quality, op9_multi_index, op10_language, op11_hard_negatives, op13_prefix_trie)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_sentencepiece, op3_url_rules, op4_bit_sliced_topk, op5_best_fit_packing, op6_line_dedup, op7_simhash, op8_quality, op9_multi_index, op10_language, op11_hard_negatives, op12_substring_dedup, op13_prefix_trie)}
 
 ORACLE_SQL = {
     "op3_url_rules": r"""
@@ -110,6 +115,16 @@ p AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id, c
 f AS (SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.n ORDER BY s.score DESC, s.vec_id, s.c) AS INTEGER) AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
   FROM p JOIN s ON s.a = p.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score WHERE p.n <= 5)
 SELECT * FROM f WHERE rank <= 3
+""",
+    "op12_substring_dedup": r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x09-\x0D\x20]+') AS w FROM documents),
+k AS MATERIALIZED (SELECT r, p, md5(array_to_string(w[p:p + 34], ' ')) AS h FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS p FROM d WHERE len(w) >= 35)),
+g AS (SELECT DISTINCT r, unnest(range(p, p + 35)) AS p FROM k WHERE h IN (SELECT h FROM k GROUP BY h HAVING count(*) > 1)),
+c AS (SELECT r, list(p) AS gone FROM g GROUP BY r),
+x AS (SELECT d.r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d WHERE r IN (SELECT r FROM c)),
+y AS (SELECT x.r, string_agg(word, ' ' ORDER BY x.p) AS kept FROM x ANTI JOIN g ON g.r = x.r AND g.p = x.p GROUP BY x.r)
+SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed, sha256(CASE WHEN gone IS NULL THEN array_to_string(w, ' ') ELSE coalesce(kept, '') END) AS kept_sha256
+FROM d LEFT JOIN c USING (r) LEFT JOIN y USING (r)
 """,
     "op13_prefix_trie": r"""
 WITH t AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
