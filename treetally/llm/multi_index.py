@@ -1,10 +1,10 @@
 """Approximate nearest neighbours by an inverted multi-index.
 
 Both halves of the vectors have their own centroids; a cell is a pair of them, and the index
-lists entries by cell. A query meets cells in falling order of the summed inner products of
-its halves with the pair's centroids, by a heap over the cells that hold anything, until a
-budget of entries is met; the entries of the cells met are reranked by their exact inner
-products.
+lists entries by cell. A query sorts the centroids of each half by their inner product with its own
+half and walks pairs in falling order of the sum, by a heap that holds the next pair of each
+left centroid reached, until a budget of entries and as many as it is to return are met; the
+entries of the cells met are reranked by their exact inner products.
 
 The budget is learned: for a bounded sample of queries, exact neighbours over all rows tell
 how many entries must be met for a wanted share of neighbours. Entries lie in segments by
@@ -17,6 +17,7 @@ import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,8 @@ from .vectors import best, clean, counted, is_query, matrix, packed, search
 
 #: Entries of a segment, at most about; centroids of a half, at most.
 SEGMENT, CENTROIDS = 65536, 2048
-#: Sampled rows that one centroid stands for, at least.
-PER_CENTROID = 4
+#: Sampled rows that one centroid stands for, at least. Entries of an average cell, about: as many pairs are walked.
+PER_CENTROID, PER_CELL = 4, 4
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 6, seed: int = 7) -> np.ndarray:
@@ -78,34 +79,34 @@ class Codebooks:
         left, right = self.products(w)
         return np.repeat(left, np.diff(self.starts)) + right[self.right]
 
-    def met(self, w: np.ndarray) -> tuple[float, np.ndarray]:
-        """The least summed product of the cells that are met within the budget, and the left
-        centroids that have such cells.
-
-        Each left centroid's cells are a falling list, and the heap has the next cell of each
-        list. As every cell holds an entry, no more than `budget` cells can be met, so only
-        so many, the best ones, are put in lists."""
-        scores = self.scores(w)
-        if not self.budget or not len(scores):
-            return math.inf, np.zeros(0, np.int64)
-        few = np.argpartition(-scores, self.budget - 1)[: self.budget] if self.budget < len(scores) else np.arange(len(scores))
-        row = np.searchsorted(self.starts, few, "right") - 1
-        few = few[np.lexsort((-scores[few], row))]
-        row = np.searchsorted(self.starts, few, "right") - 1
-        first = np.concatenate([[True], row[1:] != row[:-1]])
-        keys, counts, more = (-scores[few]).tolist(), self.counts[few].tolist(), np.append(~first[1:], False).tolist()
-        heap = [(keys[i], i) for i in np.flatnonzero(first).tolist()]
-        heapq.heapify(heap)
-        seen, budget, last = 0, self.budget, math.inf
-        while seen < budget and heap:
-            last, i = heap[0]
-            seen += counts[i]
-            if more[i]:
-                heapq.heapreplace(heap, (keys[i + 1], i + 1))
+    @cached_property
+    def held(self) -> np.ndarray:
+        """Entries by left and right centroid."""
+        out = np.zeros((len(self.halves[0]), len(self.halves[1])), np.int32)
+        out[np.repeat(np.arange(len(out)), np.diff(self.starts)), self.right] = self.counts
+        return out
+
+    def met(self, w: np.ndarray, k: int = 0) -> tuple[float, np.ndarray]:
+        """The least summed product of the cells that are met, and the left centroids that have such
+        cells with entries. The walk goes on until the budget and k + 1 entries are met (one may
+        be the query's own row), or all."""
+        products, total = self.products(w), int(self.counts.sum())
+        (a, left), (b, right) = ((at, x[at].tolist()) for x in products for at in [np.argsort(-x, kind="stable")])
+        want, seen, last, used = min(total, max(self.budget, k + 1)), 0, -math.inf, set()
+        rows, heap = [self.held[a[0], b].tolist()], [(-(left[0] + right[0]), 0, 0)]
+        while seen < want:
+            last, i, j = heap[0]
+            if n := rows[i][j]:
+                seen += n
+                used.add(i)
+            if j + 1 < len(right):
+                heapq.heapreplace(heap, (-(left[i] + right[j + 1]), i, j + 1))
             else:
                 heapq.heappop(heap)
-        own = np.flatnonzero(np.diff(self.starts))
-        return -last, own[np.maximum.reduceat(scores, self.starts[own]) >= -last]
+            if not j and i + 1 < len(left):
+                rows.append(self.held[a[i + 1], b].tolist())
+                heapq.heappush(heap, (-(left[i + 1] + right[0]), i + 1, 0))
+        return -last, np.sort(a[list(used)])
 
     def before(self, w: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """How many entries lie in cells that are met before each given cell."""
@@ -129,14 +130,15 @@ def reranked(v: np.ndarray, short: np.ndarray | None, at: np.ndarray, own: np.nd
 
 def codebooks_of(rows: DataFrame, sample: int, centroids: int) -> dict[int, Codebooks]:
     """By length of the vectors, from the `sample` rows with the smallest hash of their number; a
-    length that has none of these has one cell, so that all of its entries are met."""
+    length that has none of these has one cell, so that all of its entries are met. `centroids` a
+    half at most, and so few that an average cell holds PER_CELL entries."""
     lengths = counted(rows)
     fitted, out = smallest(rows, F.xxhash64("row"), sum(lengths.values()), sample).select("d", "v").toArrow(), {}
     of = fitted.column("d").to_numpy()
-    for d in lengths:
+    for d, n in lengths.items():
         some = fitted.filter(pa.array(of == d)).column("v")
         x = matrix(some, len(some), np.float64) if len(some) else np.zeros((1, d))
-        k, cut = max(1, min(centroids, len(some) // PER_CENTROID)), d // 2
+        k, cut = max(1, min(centroids, len(some) // PER_CENTROID, math.ceil((n / PER_CELL) ** 0.5))), d // 2
         out[d] = Codebooks(tuple(kmeans(h, k) if h.shape[1] else np.zeros((1, 0)) for h in (x[:, :cut], x[:, cut:])))
     return out
 
@@ -232,8 +234,8 @@ def neighbours(vectors: DataFrame, k: int = 20, query_every: int = 20, recall: f
     Centroids are fitted on `sample` rows, the budget on `asked` queries so that the `recall`
     of exact neighbours is met; every row is in the index. Rows that share an id are queries,
     and candidates for each other, one by one. A vector meets those of its own length. See
-    vectors.clean for the rows that take part (zero vectors don't). Fewer than k others: all
-    that were met. Nothing to search: no rows. Other columns play no part."""
+    vectors.clean for the rows that take part (zero vectors don't). Every query gets k rows, or
+    all others where they are fewer. Nothing to search: no rows. Other columns play no part."""
     spark = vectors.sparkSession
     rows = clean(vectors, id_col, vec_col, True)
     books = codebooks_of(rows, sample, centroids)
@@ -269,8 +271,8 @@ def neighbours(vectors: DataFrame, k: int = 20, query_every: int = 20, recall: f
             least, segs_of = [], []
             for d, v in zip(b.column(2).to_pylist(), b.column(3)):
                 book = shared.value[d]
-                bound, left = book.met(np.array(v.as_py(), np.float64))
-                least.append(bound)
+                bound, left = book.met(np.array(v.as_py(), np.float64), k)
+                least.append(bound - 1e-9 * abs(bound))  # another machine may add in another order
                 spans = [np.arange(book.first_seg[x], book.first_seg[x] + book.pieces[x]) for x in left.tolist()]
                 segs_of.append(np.unique(np.concatenate(spans)).tolist() if spans else [])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(least, pa.float64()), pa.array(segs_of, pa.list_(pa.int32()))], ["row", "vec_id", "d", "v", "least", "segs"])
