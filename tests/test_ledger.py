@@ -1,5 +1,6 @@
 """Golden values of small ledgers, and trees against a plain walk."""
 
+import random
 from decimal import Decimal
 
 import pytest
@@ -108,10 +109,47 @@ def test_descendants_of_deep_trees_stars_and_cycles(spark, shallow):
     assert len(got) == len(plain_descendants(rows, roots))
 
 
-def test_rollup_of_a_star_is_spread(spark):
-    rows = [("s", None), *[(f"s{i}", "s") for i in range(300)], *[(f"t{i}", f"s{i}") for i in range(100)]]
-    got = {r["id"]: r["total_cost"] for r in tree.tree_rollup_all(spark.createDataFrame(rows, RUN), costs(spark, *[(i, 1) for i, _ in rows]), split=20).collect()}
-    assert got["s"] == 401 and got["s5"] == 2 and got["s200"] == got["t5"] == 1 and len(got) == len(rows)
+def grown(shape, n=400, seed=2):
+    """(id, parent) of trees of a shape."""
+    rng = random.Random(seed)
+    parent = {
+        "star": lambda i: 0, "chain": lambda i: i - 1, "random": lambda i: rng.randrange(i), "caterpillar": lambda i: i - 1 if i % 2 else max(0, i - 2),
+        "recent": lambda i: max(0, i - rng.choice([1, 1, 1, 2, 5])), "two chains over a fork": lambda i: max(0, i - 2) if i > 100 else i - 1,
+    }[shape]
+    return [("n0", None), *[(f"n{i}", f"n{parent(i)}") for i in range(1, n)], ("lost", "nobody"), ("below", "lost")]
+
+
+@pytest.mark.parametrize("shape", ["star", "chain", "random", "caterpillar", "recent", "two chains over a fork"])
+def test_rollup_by_contraction(spark, shape):
+    rows = grown(shape)
+    parent, want = dict(rows), dict.fromkeys(dict(rows), 0)
+    for i in parent:
+        at = i
+        while at in parent:
+            want[at] += 1
+            at = parent[at]
+    got = tree.tree_rollup_all(spark.createDataFrame(rows, RUN), costs(spark, *[(i, 1) for i, _ in rows])).collect()
+    assert {r["id"]: (r["own_cost"], r["children_cost"], r["total_cost"]) for r in got} == {i: (1, n - 1, n) for i, n in want.items()} and len(got) == len(rows)
+
+
+def test_rollup_state_shrinks(spark, monkeypatch):
+    """What is written over all rounds of a bushy forest is a few times its rows, and for a chain the logarithm of its length."""
+    sizes = []
+    keep = tree.written
+    monkeypatch.setattr(tree, "written", lambda df, label: (out := keep(df, label), sizes.append(out.count()))[0])
+    rows = [(str(i), None if i % 64 == 0 else str(i & (i - 1))) for i in range(1, 1024)]
+    tree.tree_rollup_all(spark.createDataFrame(rows, RUN), costs(spark, ("1", 1)))
+    assert sum(sizes) < 2.5 * len(rows) and sizes == sorted(sizes, reverse=True)
+    sizes.clear()
+    tree.tree_rollup_all(spark.createDataFrame(grown("chain", 200), RUN), costs(spark, ("n1", 1)))
+    assert len(sizes) <= 10
+
+
+def test_rollup_with_a_cycle_below_trees(spark):
+    rows = [("a", "b"), ("b", "c"), ("c", "a"), ("x", "a"), ("y", "x"), ("r", None), ("s", "r")]
+    with pytest.raises(ValueError, match="cycle"):
+        tree.tree_rollup_all(spark.createDataFrame(rows, RUN), costs(spark, ("a", 1)))
+    assert tree.tree_rollup_all(spark.createDataFrame([], RUN), costs(spark, ("a", 1))).count() == 0
 
 
 def test_lookup_spreads_heavy_keys_and_nulls(spark):

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from ..functions.scalars import zero_if_no_cost
 from ..sources.shared import written
 from .listing import costs_total
-from .skew import SPLIT, heavy_keys, lookup
-
 
 #: Levels that are walked one by one; what lies deeper is reached by doubling steps.
 SHALLOW = 8
@@ -99,25 +98,96 @@ def run_cost_summary(runs: DataFrame, costs: DataFrame, roots: DataFrame, own_to
     return rows.withColumn("total_cost", (F.col("own_cost") + F.col("children_cost")).cast("decimal(26,10)"))
 
 
-def tree_rollup_all(runs: DataFrame, costs: DataFrame, split: int = SPLIT) -> DataFrame:
-    """(id, own_cost, children_cost, total_cost) for every run at once, by pointer jumping.
-
-    After round k a run knows its 2^k-th ancestor and the sum over descendants closer than
-    2^k, itself included; n rows a round, log2 of the depth rounds. Runs that are done (no
-    ancestor left), and those of an ancestor that over `split` runs point at, are dealt to
-    many tasks. A parent that isn't a run counts as none. A cycle is an error."""
-    known = runs.select("id", F.col("parent_run_id").alias("anc"))
-    known = lookup(known, runs.select(F.col("id").alias("anc"), F.lit(True).alias("there")), "anc", F.col("id"), split=split).select("id", F.when(F.col("there"), F.col("anc")).alias("anc"))
-    own = zero_if_no_cost(F.col("own"))
-    state = written(known.join(costs_total(costs).withColumnRenamed("run_id", "id"), "id", "left").select("id", "anc", own.alias("own_cost"), own.alias("sub")), "rollup")
-    left = math.ceil(math.log2(max(2, state.count()))) + 1
-    while not state.where("anc is not null").isEmpty():
-        if left < 0:
+def tree_rollup_all(runs: DataFrame, costs: DataFrame) -> DataFrame:
+    """(id, own_cost, children_cost, total_cost) for every run at once.
+
+    A parent that isn't a run counts as none. A cycle is an error."""
+    own = costs_totalled(runs, costs).select("id", F.col("parent_run_id").alias("parent"), F.col("own_cost").alias("value"))
+    rows = contracted(own)
+    return rows.select("id", F.col("value").alias("own_cost"), (F.col("total") - F.col("value")).cast("decimal(26,10)").alias("children_cost"), F.col("total").cast("decimal(26,10)").alias("total_cost"))
+
+
+def costs_totalled(runs: DataFrame, costs: DataFrame) -> DataFrame:
+    """runs with own_cost, 0 where a run has no lines."""
+    return runs.join(costs_total(costs).withColumnRenamed("run_id", "id"), "id", "left").withColumn("own_cost", zero_if_no_cost(F.col("own"))).drop("own")
+
+
+def contracted(nodes: DataFrame) -> DataFrame:
+    """(id, value, total): for each of nodes (id, parent, value) the sum of value over its subtree,
+    by tree contraction; other columns of nodes come along.
+
+    The state has the nodes that aren't done, and shrinks. Raking: nodes without open children
+    are done, and their totals are added to their parents. Once that takes under a fifth of the
+    state, chains of nodes with one open child are compressed: such nodes leave the state with
+    the sum from there to the node below their chain, which takes the place of the chain and
+    carries what it holds; when all else is done they are given their totals, last chains first.
+
+    Children are added up before they are shuffled and no join has a parent as its key, so
+    very many children of one parent never meet. A parent that isn't a node counts as none; a
+    cycle is an error."""
+    kind = nodes.schema["value"].dataType
+    total = f"decimal(38,{kind.scale})" if isinstance(kind, DecimalType) else kind.simpleString()
+    key, none = nodes.schema["id"].dataType.simpleString(), F.lit(0).cast(total)
+    known = ["id", *[c for c in nodes.columns if c not in ("id", "parent")]]
+    open_ = F.col("kids") > 0
+
+    def kept(rows: DataFrame) -> tuple[DataFrame, int, int]:
+        seen = Observation()
+        out = written(rows.observe(seen, F.count_if(open_).alias("open"), F.count_if(~open_).alias("done")), "rollup")
+        return out, seen.get["open"], seen.get["done"]
+
+    counts = nodes.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("kids"), F.min(F.struct("id", none.alias("carry"))).alias("only"))
+    rows = nodes.join(counts, "id", "left").withColumns({"kids": F.coalesce("kids", F.lit(0)), "total": F.col("value").cast(total), "carry": none})
+    state, left, done = kept(rows)
+    finished, aside = [state.where(~open_)], []
+    while left:
+        if 4 * done < left:
+            state, chains = _compressed(state, known, total, key)
+            aside.append(chains)
+            state, left, done = kept(state)
+            finished.append(state.where(~open_))
+            finished.pop(-2)  # the same nodes, under the parents they had
+            if not left:
+                break
+            if not done:
+                raise ValueError("runs.parent_run_id has a cycle")
+        heard = state.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(
+            F.sum(F.when(~open_, F.col("total") + F.col("carry"))).cast(total).alias("gain"), F.count_if(open_).alias("still"), F.min(F.when(open_, F.struct("id", "carry"))).alias("only"))
+        mine = state.where(open_).drop("only").join(heard, "id", "left")
+        mine = mine.withColumns({"total": (F.col("total") + F.coalesce("gain", none)).cast(total), "kids": F.coalesce("still", F.lit(0))})
+        state, left, done = kept(mine.drop("gain", "still"))
+        finished.append(state.where(~open_))
+    out = union_all(*[f.select(*known, "total") for f in finished])
+    for n, chains in enumerate(reversed(aside), 1):
+        below = out.select(F.col("id").alias("down"), F.col("total").alias("below"))
+        given = chains.join(below, "down").select(*known, (F.col("sum") + F.col("below")).cast(total).alias("total"))
+        out = union_all(out, given if n == len(aside) else written(given, "rollup"))
+    return out
+
+
+def _compressed(state: DataFrame, known: list[str], total: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """state without its chains, and their nodes with `down`, the node below the chain, and `sum`,
+    what they have more than it. Pointers down the chain double until they leave it; no two that
+    still move point at one node."""
+    chain = F.col("kids") == 1
+    steps = state.where(chain).select("id", F.col("only.id").cast(key).alias("down"), (F.col("total") + F.col("only.carry")).cast(total).alias("sum"), F.lit(False).alias("fixed"))
+    reach, most = 1, None
+    while True:
+        there = steps.select(F.col("id").alias("down"), F.col("down").alias("further"), F.col("sum").alias("more"), F.col("fixed").alias("ends"))
+        moved = steps.where("not fixed").join(there, "down", "left").select(
+            "id", F.coalesce("further", "down").alias("down"), (F.col("sum") + F.coalesce("more", F.lit(0).cast(total))).cast(total).alias("sum"), F.coalesce("ends", F.lit(True)).alias("fixed"))
+        seen = Observation()
+        moving = F.count_if(~F.col("fixed")).alias("moving")
+        steps = written((moved if reach == 1 else union_all(steps.where("fixed"), moved)).observe(seen, moving, F.count(F.lit(1)).alias("n")), "chains")
+        if not seen.get["moving"]:
+            break
+        reach, most = 2 * reach, most or seen.get["n"]
+        if reach > 2 * most:
             raise ValueError("runs.parent_run_id has a cycle")
-        left -= 1
-        gain = written(state.where("anc is not null").groupBy("anc").agg(F.sum("sub").cast("decimal(26,10)").alias("gain"), F.count("*").alias("n")), "gain")
-        far = state.select(F.col("id").alias("anc"), F.col("anc").alias("further"))
-        new = lookup(state.join(gain.select(F.col("anc").alias("id"), "gain"), "id", "left"), far, "anc", F.col("id"), heavy_keys(gain, "anc", split=split))
-        total = (F.col("sub") + F.coalesce("gain", F.lit(0).cast("decimal(26,10)"))).cast("decimal(26,10)")
-        state = written(new.select("id", F.col("further").alias("anc"), "own_cost", total.alias("sub")), "rollup")
-    return state.select("id", "own_cost", (F.col("sub") - F.col("own_cost")).cast("decimal(26,10)").alias("children_cost"), F.col("sub").alias("total_cost"))
+    held = state.where(chain).select(*known, "parent", "carry").join(steps.drop("fixed"), "id")
+    inside = held.select(F.col("id").alias("parent"))
+    tops = held.join(inside, "parent", "left_anti").select(F.col("down").alias("id"), F.col("parent").alias("above"), (F.col("sum") + F.col("carry")).cast(total).alias("carried"), F.lit(True).alias("moves"))
+    rest = state.where(~chain).join(tops, "id", "left")
+    moves = F.coalesce("moves", F.lit(False))
+    rest = rest.withColumns({"parent": F.when(moves, F.col("above")).otherwise(F.col("parent")), "carry": F.when(moves, F.col("carried")).otherwise(F.col("carry"))})
+    return rest.drop("above", "carried", "moves"), held.select(*known, "down", "sum")
