@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import fixed10
-from ..sources.shared import written
-from .tree import costs_of_descendants, descendant_own_totals, descendants, run_cost_summary
+from ..functions.scalars import fixed10, zero_if_no_cost
+from .intervals import running_sums
+from .tree import costs_of_descendants, descendants, union_all
 
 
 def costs_by_run(costs: DataFrame) -> DataFrame:
     """(run_id, costs): a run's lines in order of time and id, amounts as text."""
-    line = F.struct(F.col("created_at").alias("createdAt"), "id", F.col("cost_name").alias("costName"), F.col("quantity").cast("string").alias("quantity"),
+    return costs.groupBy("run_id").agg(F.sort_array(F.collect_list(_line())).alias("costs"))
+
+
+def _line() -> Column:
+    return F.struct(F.col("created_at").alias("createdAt"), "id", F.col("cost_name").alias("costName"), F.col("quantity").cast("string").alias("quantity"),
                     F.col("unit_cost_in_usd_cents").cast("string").alias("unitCostInUsdCents"), F.col("total_cost_in_usd_cents").cast("string").alias("totalCostInUsdCents"))
-    return costs.groupBy("run_id").agg(F.sort_array(F.collect_list(line)).alias("costs"))
 
 
 def attach_costs_to_descendants(desc: DataFrame, costs: DataFrame) -> DataFrame:
@@ -29,22 +32,43 @@ def project_descendant(rows: DataFrame) -> DataFrame:
     return rows.select("root", "depth", *[F.col(a).alias(b) for a, b in names.items()])
 
 
+def _entries(runs: DataFrame, costs: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, depth, entry, own_cost, costs) for the runs of roots, at depth 0, and all below them: one
+    join to the runs and one to their lines, which are grouped once for list and sum."""
+    heads = runs.join(roots.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"))
+    every = union_all(heads, descendants(runs, heads.select("id")).select("root", "id", "depth"))
+    lines = costs.groupBy("run_id").agg(F.sort_array(F.collect_list(_line())).alias("costs"), F.sum("total_cost_in_usd_cents").alias("own")).withColumnRenamed("run_id", "id")
+    rows = project_descendant(every.join(runs, "id")).join(lines, "id", "left")
+    rows = rows.withColumns({"costs": F.coalesce("costs", F.array().cast(lines.schema["costs"].dataType)), "own_cost": zero_if_no_cost(F.col("own"))})
+    entry = F.struct("depth", "startedAt", "id", "parentRunId", "serviceName", "taskName", "status", "completedAt", "costs", fixed10(F.col("own_cost")).alias("ownCostInUsdCents"))
+    return rows.select("root", "depth", "id", "startedAt", entry.alias("entry"), "own_cost", "costs")
+
+
 def run_document(runs: DataFrame, costs: DataFrame, roots: DataFrame) -> DataFrame:
     """A document a root: its columns, costs, three totals and its descendants, flat with parent pointers.
 
-    One row holds a whole tree, so roots are for the caller to choose; for large trees use the
-    flat rows of descendants and attach_costs_to_descendants."""
-    desc = descendants(runs, roots)
-    own = written(descendant_own_totals(desc, costs), "own")
-    below = project_descendant(desc.join(runs, "id"))
-    below = below.join(attach_costs_to_descendants(desc, costs).select("root", "id", "costs"), ["root", "id"]).join(own, ["root", "id"])
-    entry = F.struct("depth", "startedAt", "id", "parentRunId", "serviceName", "taskName", "status", "completedAt", "costs", fixed10(F.col("own_cost")).alias("ownCostInUsdCents"))
-    nested = below.groupBy(F.col("root").alias("id")).agg(F.sort_array(F.collect_list(entry)).alias("descendantRuns"))
-    totals = run_cost_summary(runs, costs, roots, own)
-    lines = costs_by_run(costs.join(roots.select(F.col("id").alias("run_id")).distinct(), "run_id", "left_semi")).withColumnRenamed("run_id", "id")
-    rows = runs.join(totals, "id").join(lines, "id", "left").join(nested, "id", "left")
+    One row holds a whole tree, so roots are for the caller to choose; run_document_parts has
+    documents of any size, in parts."""
+    rows = _entries(runs, costs, roots)
+    below = F.col("depth") > 0
+    docs = rows.groupBy(F.col("root").alias("id")).agg(
+        F.sort_array(F.collect_list(F.when(below, F.col("entry")))).alias("descendantRuns"), F.max(F.when(~below, F.struct("own_cost", "costs"))).alias("head"),
+        F.coalesce(F.sum(F.when(below, F.col("own_cost"))), F.lit(0)).cast("decimal(26,10)").alias("children"))
+    rows = runs.join(docs, "id")
     return rows.select(
-        *runs.columns, F.coalesce("costs", F.array().cast(lines.schema["costs"].dataType)).alias("costs"), fixed10(F.col("own_cost")).alias("ownCostInUsdCents"),
-        fixed10(F.col("children_cost")).alias("childrenCostInUsdCents"), fixed10(F.col("total_cost")).alias("totalCostInUsdCents"),
-        F.coalesce("descendantRuns", F.array().cast(nested.schema["descendantRuns"].dataType)).alias("descendantRuns"),
+        *runs.columns, F.col("head.costs").alias("costs"), fixed10(F.col("head.own_cost")).alias("ownCostInUsdCents"), fixed10(F.col("children")).alias("childrenCostInUsdCents"),
+        fixed10(F.col("head.own_cost") + F.col("children")).alias("totalCostInUsdCents"), "descendantRuns",
     )
+
+
+def run_document_parts(runs: DataFrame, costs: DataFrame, roots: DataFrame, limit: int = 1 << 24) -> DataFrame:
+    """(id, part, descendantRuns): the descendants of each document in parts, from 0, of about `limit`
+    bytes as JSON and one entry at most. Parts in order have what run_document's list has.
+
+    Entries are dealt by ranges of their order and the bytes before each are summed there, so a
+    tree of any size is no group of its own."""
+    rows = _entries(runs, costs, roots).where("depth > 0").withColumn("_bytes", F.octet_length(F.to_json("entry")).cast("long"))
+    rows = running_sums(rows, ["root", "depth", "startedAt", "id"], "_bytes", "_at").withColumn("_block", F.call_function("div", F.col("_at"), F.lit(limit)))
+    parts = rows.groupBy("root", "_block").agg(F.sort_array(F.collect_list("entry")).alias("descendantRuns"))
+    number = F.row_number().over(Window.partitionBy("root").orderBy("_block")) - 1  # parts of one document, not entries
+    return parts.select(F.col("root").alias("id"), number.alias("part"), "descendantRuns")

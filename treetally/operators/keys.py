@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import null_if_empty
-from .skew import lookup
+from .skew import SPLIT, heavy_keys, lookup
 
 
 def _stamped(rows: DataFrame, new_id: Column | None) -> DataFrame:
@@ -33,24 +33,28 @@ def resolve_users(requests: DataFrame, users: DataFrame, new_id: Column | None =
     return lookup(requests, keys.withColumnRenamed("external_id", "clerkUserId"), "clerkUserId", F.col("request_id")), new
 
 
-def _exists(rows: DataFrame, runs: DataFrame, key: str, reason: Column) -> tuple[DataFrame, DataFrame]:
-    known = runs.select(F.col("id").alias(key)).distinct()
-    return rows.join(known, key, "left_semi"), rows.join(known, key, "left_anti").withColumn("reason", reason)
+def _exists(rows: DataFrame, runs: DataFrame, key: str, reason: Column, split: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct keys are checked, with how many rows each has; rows are then joined to what was
+    found, those of a key that over `split` rows have dealt to many tasks."""
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    there = counts.join(runs.select(F.col("id").alias(key)), key, "left_semi").select(key, F.lit(True).alias("_there"))
+    told = lookup(rows, there, key, F.xxhash64("request_id"), heavy_keys(counts, key, split=split))
+    return told.where("_there").drop("_there"), told.where("_there is null").drop("_there").withColumn("reason", reason)
 
 
-def check_parent_exists(requests: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def check_parent_exists(requests: DataFrame, runs: DataFrame, split: int = SPLIT) -> tuple[DataFrame, DataFrame]:
     """A parent must be stored already; requests without one pass."""
     given = requests.where(F.col("parentRunId").isNotNull())
-    good, bad = _exists(given, runs, "parentRunId", F.concat(F.lit("parentRunId "), F.col("parentRunId").cast("string"), F.lit(" does not exist")))
+    good, bad = _exists(given, runs, "parentRunId", F.concat(F.lit("parentRunId "), F.col("parentRunId").cast("string"), F.lit(" does not exist")), split)
     return good.unionByName(requests.where(F.col("parentRunId").isNull())), bad
 
 
-def check_run_exists(requests: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return _exists(requests, runs, "run_id", F.lit("run not found"))
+def check_run_exists(requests: DataFrame, runs: DataFrame, split: int = SPLIT) -> tuple[DataFrame, DataFrame]:
+    return _exists(requests, runs, "run_id", F.lit("run not found"), split)
 
 
-def update_target_exists(updates: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return _exists(updates, runs, "run_id", F.lit("run not found"))
+def update_target_exists(updates: DataFrame, runs: DataFrame, split: int = SPLIT) -> tuple[DataFrame, DataFrame]:
+    return _exists(updates, runs, "run_id", F.lit("run not found"), split)
 
 
 def apply_run_defaults(requests: DataFrame, new_id: Column | None = None) -> DataFrame:

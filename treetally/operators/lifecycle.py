@@ -6,6 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def last_updates(log: DataFrame) -> DataFrame:
+    """(run_id, status, ts, seq): the last update of each run. Itself a log, with the same fold: a
+    snapshot of what went before, to which later updates are added."""
+    last = F.max_by(F.struct("status", "ts", "seq"), F.struct("ts", "seq"))
+    return log.groupBy("run_id").agg(last.alias("last")).select("run_id", "last.status", "last.ts", "last.seq")
+
+
 def apply_status_updates(runs: DataFrame, log: DataFrame) -> DataFrame:
     """runs with the last update of the log (run_id, status, ts, seq) in place; any status may
     follow any other, and both times become the update's."""

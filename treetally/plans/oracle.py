@@ -76,6 +76,9 @@ _BODIES = {
     "append_costs": "SELECT run_id, count(*) AS lines, CAST(sum(total) AS DECIMAL(26,10)) AS total FROM priced GROUP BY run_id",
     "read_requests": "SELECT org AS clerkOrgId, app AS appId, count(*) AS n, count(parent) AS parents FROM requests GROUP BY org, app",
     "descendants": "SELECT root, id, depth FROM below",
+    "descendants_by_interval": "SELECT root, id, depth FROM below",
+    "descendants_by_interval_chain": "SELECT root, id, depth FROM below",
+    "is_below": "SELECT event_id, e.user_id AS id, e.user_id - e.user_id % 16 AS other, CASE WHEN a.id IS NOT NULL AND r.id IS NOT NULL THEN b.id IS NOT NULL END AS below FROM events e LEFT JOIN runs a ON a.id = e.user_id LEFT JOIN runs r ON r.id = e.user_id - e.user_id % 16 LEFT JOIN below b ON b.root = e.user_id - e.user_id % 16 AND b.id = e.user_id",
     "project_descendant": "SELECT root, depth, id, parent_run_id AS parentRunId, service_name AS serviceName, task_name AS taskName, status, started_at AS startedAt, completed_at AS completedAt FROM below JOIN runs USING (id)",
     "costs_of_descendants": "SELECT run_id, cost_name, quantity, unit_cost AS unit_cost_in_usd_cents, total AS total_cost_in_usd_cents FROM priced WHERE run_id IN (SELECT id FROM below)",
     "attach_costs_to_descendants": "SELECT b.root, b.id, b.depth, CAST(count(p.run_id) AS INTEGER) AS lines, coalesce(string_agg(p.cost_name, ',' ORDER BY p.cost_name), '') AS names FROM below b LEFT JOIN priced p ON p.run_id = b.id GROUP BY ALL",
@@ -86,6 +89,7 @@ _BODIES = {
     "tree_rollup_chain": _SUMS + _SUMMARY,
     "costs_by_run": "SELECT run_id, CAST(count(*) AS INTEGER) AS lines, string_agg(concat(cost_name, '=', CAST(total AS STRING)), ',' ORDER BY cost_name, CAST(quantity AS STRING)) AS lines_text FROM priced GROUP BY run_id",
     "run_document": _SUMS + f", s AS ({_SUMMARY}) SELECT s.id, CAST(s.own_cost AS STRING) AS ownCostInUsdCents, CAST(s.children_cost AS STRING) AS childrenCostInUsdCents, CAST(s.total_cost AS STRING) AS totalCostInUsdCents, CAST((SELECT count(*) FROM priced p WHERE p.run_id = s.id) AS INTEGER) AS lines, b.id AS descendant, CAST(o.own_cost AS STRING) AS descendant_own FROM s JOIN runs r ON r.id = s.id LEFT JOIN below b ON b.root = s.id LEFT JOIN own_cost o ON o.id = b.id WHERE r.parent_run_id IS NULL",
+    "run_document_parts": "SELECT b.root AS id, b.id AS descendant, CAST(o.own_cost AS STRING) AS descendant_own, CAST((SELECT count(*) FROM priced p WHERE p.run_id = b.id) AS INTEGER) AS lines FROM below b JOIN own_cost o ON o.id = b.id",
     "write_documents": _SUMS + f", s AS ({_SUMMARY}) SELECT id, CAST(own_cost AS STRING) AS own_cost, CAST(children_cost AS STRING) AS children_cost, CAST(total_cost AS STRING) AS total_cost FROM s",
     "apply_status_updates": _STATUS,
     "stream_status_updates": _STATUS,
@@ -96,6 +100,7 @@ _BODIES = {
     "scan_tables": "SELECT 'organizations' AS name, count(*) AS n, count(DISTINCT id) AS ids, CAST(0 AS DECIMAL(26,10)) AS amount, count(id) AS known FROM organizations UNION ALL SELECT 'users', count(*), count(DISTINCT id), 0, count(id) FROM users UNION ALL SELECT 'runs', count(*), count(DISTINCT id), 0, count(user_id) FROM runs UNION ALL SELECT 'runs_costs', count(*), count(DISTINCT concat(run_id, '/', cost_name, '/', quantity)), CAST(sum(total) AS DECIMAL(26,10)), count(*) FROM priced",
     "descendants_chain": "SELECT root, id, depth FROM below",
     "stream_status_json": _STATUS,
+    "stream_status_snapshot": _STATUS,
     "stream_price_costs": _BATCHES + ", lines AS (SELECT request_id, CAST(sum(total) AS DECIMAL(26,10)) AS total FROM batch_verdicts JOIN priced ON run_id = request_id WHERE reason IS NULL GROUP BY request_id) SELECT request_id, total, CAST(NULL AS STRING) AS reason FROM lines UNION ALL SELECT request_id, NULL, coalesce(reason, concat('unknown cost: ', replace(unknown_names, ',', ', '))) FROM batch_verdicts LEFT JOIN rejected ON run_id = request_id WHERE reason IS NOT NULL OR run_id IS NOT NULL",
     "stream_create_runs": "SELECT CAST(request_id AS STRING) AS request_id, CASE WHEN bad THEN NULL WHEN CAST(replace(org, 'org-', '') AS INTEGER) < 25 THEN replace(org, 'org-', '') ELSE concat('new-', org) END AS organization_id, CASE WHEN bad OR usr IS NULL THEN NULL WHEN u.id IS NOT NULL THEN CAST(u.id AS STRING) ELSE concat('new-', usr) END AS user_id, CASE WHEN reason IS NOT NULL THEN reason WHEN parent IS NOT NULL THEN concat('parentRunId ', parent, ' does not exist') END AS reason FROM (SELECT *, reason IS NOT NULL OR parent IS NOT NULL AS bad FROM judged) LEFT JOIN users u ON u.external_id = usr",
     "stream_own_cost": "SELECT run_id, own AS own_cost FROM own",

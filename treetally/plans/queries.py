@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import coerce_numeric, fixed10, null_if_empty, parse_bound_ts
-from ..operators import document, integrity, keys, lifecycle, listing, pricing, tree, validate
+from ..operators import document, integrity, intervals, keys, lifecycle, listing, pricing, tree, validate
 from ..sources import fixtures as fx
 from ..sources import tables as io
 from ..sources.schemas import TABLES
@@ -228,6 +228,24 @@ def descendants_chain(spark, d):
     return tree.descendants(runs, _roots(runs))
 
 
+def descendants_by_interval(spark, d):
+    """Descendants of all roots from stored labels."""
+    labels = written(intervals.labelled(_runs(spark, d)), "labels")
+    return intervals.descendants_within(labels, labels.where("depth = 0").select("id"))
+
+
+def descendants_by_interval_chain(spark, d):
+    labels = written(intervals.labelled(fx.runs(spark, d, fx.CHAIN)), "labels")
+    return intervals.descendants_within(labels, labels.where("depth = 0").select("id"))
+
+
+def is_below(spark, d):
+    """For each event with a run, whether that is below the run whose number has its last 4 bits clear."""
+    labels = written(intervals.labelled(_runs(spark, d)), "labels")
+    pairs = fx.read(spark, d, "events").select("event_id", F.col("user_id").alias("id"), F.expr("user_id - user_id % 16").alias("other"))
+    return intervals.is_below(pairs, labels)
+
+
 def project_descendant(spark, d):
     runs = written(_runs(spark, d), "runs")
     return document.project_descendant(tree.descendants(runs, _roots(runs)).join(runs, "id"))
@@ -283,6 +301,14 @@ def run_document(spark, d):
     return rows.select("id", "ownCostInUsdCents", "childrenCostInUsdCents", "totalCostInUsdCents", "lines", F.col("d.id").alias("descendant"), F.col("d.ownCostInUsdCents").alias("descendant_own"))
 
 
+def run_document_parts(spark, d):
+    """The descendants in the parts of documents of at most 2 kB a part, one a row."""
+    runs = written(_runs(spark, d), "runs")
+    costs = fx.runs_costs(spark, d).withColumns({"id": F.col("cost_name"), "created_at": F.lit(0)})
+    parts = document.run_document_parts(runs, costs, _roots(runs), limit=2000)
+    return parts.select("id", F.explode("descendantRuns").alias("d")).select("id", F.col("d.id").alias("descendant"), F.col("d.ownCostInUsdCents").alias("descendant_own"), F.size("d.costs").alias("lines"))
+
+
 def write_documents(spark, d):
     path = new_path(spark, "documents")
     totals = tree_rollup_all(spark, d).select("id", *[fixed10(F.col(c)).alias(c) for c in ("own_cost", "children_cost", "total_cost")])
@@ -350,6 +376,18 @@ def stream_status_json(spark, d):
     return lifecycle.apply_status_updates(runs, log).select(F.col("id").cast("long").alias("id"), "status", "completed_at")
 
 
+def stream_status_snapshot(spark, d):
+    """The state from the levels that a stream of small batches leaves, without the log."""
+    source, out = new_path(spark, "requests"), new_path(spark, "stream")
+    fx.status_updates(spark, d).repartition(5, "request_id").write.parquet(source)
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 1).parquet(source)
+    runs = _runs(spark, d)
+    query = jobs.stream_status_updates(stream, runs, {k: f"{out}/{k}" for k in ("log", "rejects", "checkpoint", "snapshot")}, fan=2)
+    _drained(query)
+    held = jobs.status_levels(spark, f"{out}/snapshot", stream.schema, fan=2).read(query.lastProgress["batchId"] + 1)
+    return lifecycle.apply_status_updates(runs, held).select("id", "status", "completed_at")
+
+
 def stream_create_runs(spark, d):
     source, out = new_path(spark, "requests"), new_path(spark, "stream")
     fx.create_requests(spark, d).withColumn("request_id", F.col("request_id").cast("string")).write.parquet(source)
@@ -366,8 +404,7 @@ def stream_own_cost(spark, d):
     source, out = new_path(spark, "lines"), new_path(spark, "stream")
     fx.runs_costs(spark, d).write.parquet(source)
     stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
-    write = jobs.stream_own_cost(stream).writeStream.outputMode("update").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True)
-    _drained(write.foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{out}/costs/batch_id={n}")).start())
+    _drained(jobs.start_own_cost(stream, {k: f"{out}/{k}" for k in ("costs", "checkpoint")}))
     return spark.read.parquet(f"{out}/costs").groupBy("run_id").agg(F.max_by("own_cost", "batch_id").alias("own_cost"))
 
 
@@ -375,8 +412,8 @@ QUERIES = {f.__name__: f for f in (
     list_runs, list_runs_filtered, filter_tenant, filter_user, filter_dims, filter_parent, filter_started_range, unknown_key_is_empty, page_second,
     runs_with_costs_join, own_cost_per_run, own_total, price_cost_items, priced_rejects, distinct_cost_names, read_price_list, validate_runs,
     validate_status_updates, validate_cost_batches, lookup_runs, check_run_exists, update_target_exists, check_parent_exists, resolve_orgs, resolve_users,
-    apply_run_defaults, append_runs, append_costs, read_requests, read_requests_costs, read_price_list_json, scan_tables, descendants, descendants_chain, project_descendant, costs_of_descendants, attach_costs_to_descendants,
-    descendant_own_totals, children_total, run_cost_summary, tree_rollup_all, tree_rollup_chain, costs_by_run, run_document, write_documents,
-    apply_status_updates, cascade_delete_runs, evolve_add_dims, integrity_report, scalar_functions, stream_price_costs, stream_status_updates, stream_status_json,
+    apply_run_defaults, append_runs, append_costs, read_requests, read_requests_costs, read_price_list_json, scan_tables, descendants, descendants_chain, descendants_by_interval, descendants_by_interval_chain, is_below, project_descendant, costs_of_descendants, attach_costs_to_descendants,
+    descendant_own_totals, children_total, run_cost_summary, tree_rollup_all, tree_rollup_chain, costs_by_run, run_document, run_document_parts, write_documents,
+    apply_status_updates, cascade_delete_runs, evolve_add_dims, integrity_report, scalar_functions, stream_price_costs, stream_status_updates, stream_status_snapshot, stream_status_json,
     stream_create_runs, stream_own_cost,
 )}

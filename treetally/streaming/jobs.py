@@ -6,16 +6,17 @@ named by batch id, so that a batch that is tried again replaces what it wrote be
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from ..operators.keys import apply_run_defaults, check_parent_exists, check_run_exists, resolve_orgs, resolve_users, update_target_exists
+from ..operators.lifecycle import last_updates
 from ..operators.pricing import price_cost_items
 from ..operators.validate import validate_cost_batches, validate_runs, validate_status_updates
 from ..sources.schemas import TABLES
-from ..sources.shared import exists
+from .levels import FAN, Levels
 
 
 def _store(rows: DataFrame, path: str, batch: int) -> None:
@@ -26,30 +27,37 @@ def _started(stream: DataFrame, step, paths: dict[str, str]) -> StreamingQuery:
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", paths["checkpoint"]).trigger(availableNow=True).start()
 
 
-def stream_create_runs(stream: DataFrame, tables: dict[str, DataFrame], paths: dict[str, str], new_id=None) -> StreamingQuery:
+def stream_create_runs(stream: DataFrame, tables: dict[str, DataFrame], paths: dict[str, str], new_id=None, fan: int = FAN) -> StreamingQuery:
     """Validated requests become organizations, users and runs under paths. Keys persist though
     their run is then rejected for its parent. New ids are random unless new_id(kind) gives a
-    column for organizations, users or runs."""
-    make = new_id or (lambda kind: None)
+    column for organizations, users or runs.
 
-    def earlier(name: str, batch: int) -> DataFrame:
-        spark, base = tables[name].sparkSession, tables[name]
-        if not exists(spark, paths[name]):  # nothing is stored yet
-            return base
-        stored = spark.read.schema(StructType([*TABLES[name].fields, StructField("batch_id", LongType())])).parquet(paths[name]).where(F.col("batch_id") < batch)
-        columns = ["id", *[c for c in ("external_id", "organization_id") if c in base.columns]]
-        return base.select(columns).unionByName(stored.select(columns))
+    Keys of earlier batches are kept beside each table (`..._keys`) in levels of merged runs, so
+    that a batch reads few files and no other columns, however many batches went before."""
+    make, spark = new_id or (lambda kind: None), stream.sparkSession
+
+    def held(name: str) -> Levels:
+        columns = ["id", *[c for c in ("external_id", "organization_id") if c in tables[name].columns]]
+        return Levels(spark, f"{paths[name]}_keys", StructType([TABLES[name][c] for c in columns]), fan)
+
+    keys = {name: held(name) for name in ("organizations", "users", "runs")}
+
+    def known(name: str, batches: int) -> DataFrame:
+        return tables[name].select(keys[name].schema.names).unionByName(keys[name].read(batches))
+
+    def put(name: str, rows: DataFrame, n: int) -> None:
+        _store(rows, paths[name], n)
+        stored = spark.read.schema(rows.schema).parquet(f"{paths[name]}/batch_id={n}")  # random ids are those written
+        keys[name].add(stored, n)
 
     def step(batch: DataFrame, n: int) -> None:
         good, bad = validate_runs(batch)
-        with_org, orgs = resolve_orgs(good, earlier("organizations", n), make("organizations"))
-        _store(orgs, paths["organizations"], n)
-        with_org = resolve_orgs(good, earlier("organizations", n + 1))[0]
-        with_user, users = resolve_users(with_org, earlier("users", n), make("users"))
-        _store(users, paths["users"], n)
-        with_user = resolve_users(with_org, earlier("users", n + 1))[0]
-        known, orphans = check_parent_exists(with_user, earlier("runs", n))
-        _store(apply_run_defaults(known, make("runs")), paths["runs"], n)
+        put("organizations", resolve_orgs(good, known("organizations", n), make("organizations"))[1], n)
+        with_org = resolve_orgs(good, known("organizations", n + 1))[0]
+        put("users", resolve_users(with_org, known("users", n), make("users"))[1], n)
+        with_user = resolve_users(with_org, known("users", n + 1))[0]
+        fine, orphans = check_parent_exists(with_user, known("runs", n))
+        put("runs", apply_run_defaults(fine, make("runs")), n)
         _store(bad.select("request_id", "reason").unionByName(orphans.select("request_id", "reason")), paths["rejects"], n)
 
     return _started(stream, step, paths)
@@ -71,13 +79,23 @@ def stream_price_costs(stream: DataFrame, runs: DataFrame, prices: DataFrame, pa
     return _started(stream, step, paths)
 
 
-def stream_status_updates(stream: DataFrame, runs: DataFrame, paths: dict[str, str]) -> StreamingQuery:
-    """Valid updates of known runs are appended to the log; the state is its fold."""
+def status_levels(spark: SparkSession, path: str, log: StructType, fan: int = FAN) -> Levels:
+    """The last update of each run, in levels whose merges keep one update a run. log: its schema."""
+    return Levels(spark, path, StructType([log[c] for c in ("run_id", "status", "ts", "seq")]), fan, last_updates)
+
+
+def stream_status_updates(stream: DataFrame, runs: DataFrame, paths: dict[str, str], fan: int = FAN) -> StreamingQuery:
+    """Valid updates of known runs are appended to the log; the state is its fold. With a path for
+    `snapshot`, the fold is also kept there in levels (status_levels), so that the state after any
+    batch is read from few runs with one row for each run that changed, not from the log."""
 
     def step(batch: DataFrame, n: int) -> None:
         good, bad = validate_status_updates(batch)
         known, lost = update_target_exists(good, runs)
-        _store(known.select("request_id", "run_id", "status", "ts", "seq"), paths["log"], n)
+        log = known.select("request_id", "run_id", "status", "ts", "seq")
+        _store(log, paths["log"], n)
+        if "snapshot" in paths:
+            status_levels(stream.sparkSession, paths["snapshot"], log.schema, fan).add(last_updates(log), n)
         _store(bad.select("request_id", "reason").unionByName(lost.select("request_id", "reason")), paths["rejects"], n)
 
     return _started(stream, step, paths)
@@ -86,3 +104,14 @@ def stream_status_updates(stream: DataFrame, runs: DataFrame, paths: dict[str, s
 def stream_own_cost(lines: DataFrame) -> DataFrame:
     """Running own cost per run, for output mode update or complete; the state is keyed by run."""
     return lines.groupBy("run_id").agg(F.sum("total_cost_in_usd_cents").cast("decimal(26,10)").alias("own_cost"))
+
+
+def start_own_cost(lines: DataFrame, paths: dict[str, str]) -> StreamingQuery:
+    """stream_own_cost into folders by batch under `costs`. State is in RocksDB, on the executors'
+    disks and in the checkpoint, with changes alone written each batch; a query that is started again
+    goes on from there."""
+    spark = lines.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    write = stream_own_cost(lines).writeStream.outputMode("update").option("checkpointLocation", paths["checkpoint"]).trigger(availableNow=True)
+    return write.foreachBatch(lambda rows, n: _store(rows, paths["costs"], n)).start()
