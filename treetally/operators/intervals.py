@@ -61,8 +61,8 @@ def labelled(runs: DataFrame, split: int = SPLIT) -> DataFrame:
 
 
 def descendants_within(labels: DataFrame, roots: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(root, id, depth) for all runs below each id of roots, from labels: intervals are cut into
-    blocks of numbers and joined by these. A block has `block` runs at most, whatever the tree."""
+    """(root, id, depth) for all runs below each id of roots, from labels; an id that is no run has
+    none. Intervals are cut into blocks of numbers and joined by these. A block has `block` runs at most, whatever the tree."""
     tops = labels.join(roots.select("id").distinct(), "id", "left_semi").where("last > pre")
     tops = tops.select(F.col("id").alias("root"), F.col("pre").alias("from"), F.col("last").alias("to"), F.col("depth").alias("top"))
     tops = tops.withColumn("_block", F.explode(F.sequence(F.call_function("div", F.col("from") + 1, F.lit(block)), F.call_function("div", F.col("to"), F.lit(block)))))

@@ -17,6 +17,9 @@ RUN_COLUMNS = (
 )
 #: A decimal number as requests write it.
 NUMBER = re.compile(r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]{1,2})?")
+BASED = re.compile(r"0(?:[xX][0-9a-fA-F]+|[oO][0-7]+|[bB][01]+)")
+#: As many rows as can be skipped or asked for.
+LARGEST = (1 << 31) - 1
 DIMENSIONS = ("app_id", "brand_id", "campaign_id", "service_name", "task_name", "status")
 
 
@@ -52,7 +55,8 @@ def filter_started_range(runs: DataFrame, after: str | None = None, before: str
 
 
 def compose_filters(parent_run_id=None, started_after: str | None = None, started_before: str | None = None, **dims: str | None) -> Column:
-    """All given conditions together; an empty text is as good as none. Bounds are inclusive."""
+    """All given conditions together; an empty text is as good as none. Bounds are inclusive. A filter
+    of another name is an error: to leave it out silently would list what was not asked for."""
     if unknown := set(dims) - set(DIMENSIONS):
         raise ValueError(f"no such filter: {sorted(unknown)}")
     parts = [F.col(k) == v for k, v in dims.items() if v]
@@ -109,11 +113,18 @@ def page_offset(offset: int | str | None = None) -> int:
 
 
 def _number(text: int | float | str | None) -> int:
-    """0 for what is no number; "1e2" is 100, a large one stays large. A fraction raises."""
+    """0 for what is no number; "1e2" is 100, "0x10" is 16, "Infinity" and what is beyond LARGEST is
+    LARGEST. A fraction raises."""
     given = "" if text is None else str(text).strip()
+    if BASED.fullmatch(given):
+        return min(int(given, 0), LARGEST)
+    if given in ("Infinity", "+Infinity", "-Infinity"):
+        return -LARGEST if given[0] == "-" else LARGEST
     if not NUMBER.fullmatch(given):
         return 0
     n = float(given)
+    if abs(n) > LARGEST:
+        return LARGEST if n > 0 else -LARGEST
     if n != n // 1:
         raise ValueError(f"no whole number: {given}")
     return int(n)

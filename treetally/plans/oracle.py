@@ -105,6 +105,7 @@ _BODIES = {
     "stream_create_runs": "SELECT CAST(request_id AS STRING) AS request_id, CASE WHEN bad THEN NULL WHEN CAST(replace(org, 'org-', '') AS INTEGER) < 25 THEN replace(org, 'org-', '') ELSE concat('new-', org) END AS organization_id, CASE WHEN bad OR usr IS NULL THEN NULL WHEN u.id IS NOT NULL THEN CAST(u.id AS STRING) ELSE concat('new-', usr) END AS user_id, CASE WHEN reason IS NOT NULL THEN reason WHEN parent IS NOT NULL THEN concat('parentRunId ', parent, ' does not exist') END AS reason FROM (SELECT *, reason IS NOT NULL OR parent IS NOT NULL AS bad FROM judged) LEFT JOIN users u ON u.external_id = usr",
     "stream_own_cost": "SELECT run_id, own AS own_cost FROM own",
 }
+_BODIES["list_runs_stored"] = _BODIES["list_runs_filtered"]
 _BODIES["read_price_list_json"] = _BODIES["read_price_list"]
 
 ORACLE_SQL = {name: _ledger(CHAIN if name.endswith("_chain") else FOREST) + body for name, body in _BODIES.items()}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import coerce_numeric, fixed10, null_if_empty, parse_bound_ts
 from ..operators import document, integrity, intervals, keys, lifecycle, listing, pricing, tree, validate
 from ..sources import fixtures as fx
+from ..sources import layout
 from ..sources import tables as io
 from ..sources.schemas import TABLES
 from ..sources.shared import new_path, written
@@ -47,6 +48,14 @@ def list_runs_filtered(spark, d):
     return listing.list_runs(fx.tables(spark, d), ORG, limit="200", offset="2", status="completed", app_id="1-URGENT", brand_id="", started_after=AFTER, started_before=BEFORE)
 
 
+def list_runs_stored(spark, d):
+    """The same page from runs that are stored by tenant and month."""
+    tables, path = fx.tables(spark, d), new_path(spark, "runs")
+    layout.store_runs(tables["runs"], path)
+    runs = layout.runs_of(spark, path, tables["organizations"], ORG, AFTER, BEFORE)
+    return listing.list_runs(tables | {"runs": runs}, ORG, limit="200", offset="2", status="completed", app_id="1-URGENT", started_after=AFTER, started_before=BEFORE)
+
+
 def filter_tenant(spark, d):
     return listing.filter_tenant(_runs(spark, d), fx.organizations(spark, d), ORG)
 
@@ -409,7 +418,7 @@ def stream_own_cost(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    list_runs, list_runs_filtered, filter_tenant, filter_user, filter_dims, filter_parent, filter_started_range, unknown_key_is_empty, page_second,
+    list_runs, list_runs_filtered, list_runs_stored, filter_tenant, filter_user, filter_dims, filter_parent, filter_started_range, unknown_key_is_empty, page_second,
     runs_with_costs_join, own_cost_per_run, own_total, price_cost_items, priced_rejects, distinct_cost_names, read_price_list, validate_runs,
     validate_status_updates, validate_cost_batches, lookup_runs, check_run_exists, update_target_exists, check_parent_exists, resolve_orgs, resolve_users,
     apply_run_defaults, append_runs, append_costs, read_requests, read_requests_costs, read_price_list_json, scan_tables, descendants, descendants_chain, descendants_by_interval, descendants_by_interval_chain, is_below, project_descendant, costs_of_descendants, attach_costs_to_descendants,
