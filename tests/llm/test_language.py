@@ -59,14 +59,14 @@ TRAIN = [(1, "the cat and the dog ran", "en"), (2, "le chat et le chien", "fr"),
 ASKED = ["the cats", "chats", "Hunde und Katzen", "", None, "123", "zzz", "слово", "x" * 5000 + " the", "dogs chien", "THE dog " * 300]
 
 
-@pytest.mark.parametrize("most", [language.MAX_BROADCAST, 0])
-def test_equals_a_plain_scorer(spark, most):
+@pytest.mark.parametrize("most,split", [(language.MAX_BROADCAST, 10**6), (0, 10**6), (0, 2)])
+def test_equals_a_plain_scorer(spark, most, split):
     """Broadcast and joined models give the same."""
     model = language.fit(frame(spark, TRAIN), F.lit(True), max_broadcast=most)
     plain = Plain(TRAIN)
     assert model.langs == plain.langs
     asked = frame(spark, [*((i, t, None) for i, t in enumerate(ASKED)), (None, "the cats", None), (0, "the cats", None)])
-    rows = language.identify(asked, model, max_broadcast=most).collect()
+    rows = language.identify(asked, model, max_broadcast=most, split=split).collect()
     assert len(rows) == len(ASKED) + 2 and all(r["token"] == "token" and r["_text"] == "clash" and r["n"] == 1 for r in rows)
     for r in rows:
         lang, score = plain.predict(r["text"])

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.skew import SPLIT, lookup
 from .common import written
 
 LONGEST = 5
@@ -30,9 +31,9 @@ PLAIN_TEXT = re.compile(r"[\x00-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf-\xff]*")
 UNDECIDED = "und"
 #: Backed-off scores (of a word in a language) that a task makes at a time, and remembers, about.
 ROOM = 1 << 20
-#: Bytes of a (token, language) pair in a broadcast model, and how many bytes may be broadcast.
-#: A larger model is joined to the texts' tokens.
-BYTES_A_PAIR, MAX_BROADCAST = 28, 256 << 20
+#: Bytes of a (token, language) pair in a broadcast model, and how many bytes may be broadcast: each
+#: Python worker of an executor holds a copy. A larger model is joined to the texts' tokens.
+BYTES_A_PAIR, MAX_BROADCAST = 28, 64 << 20
 HASH = xxhash.xxh64_intdigest
 
 
@@ -236,16 +237,17 @@ def _weights(counted: DataFrame, langs: list[str], base: np.ndarray, added: np.n
     return Weights(base, keys, np.append(starts, len(key)), lang[order].astype(np.int32), np.log1p(n[order] / added[lang[order]]))
 
 
-def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: list[str] | None = None, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: list[str] | None = None, max_broadcast: int = MAX_BROADCAST, split: int = SPLIT) -> DataFrame:
     """docs (or its columns `keep`) with lang_pred and score, the posterior of lang_pred.
 
     A text that is null or has no letter is `und` with score 0, as is any text if the model
     has no languages. Whole texts count. Ties go to the first language by name. Repeated rows
     are judged alike. Columns named lang_pred or score are replaced. A model of over
-    max_broadcast bytes is joined to the tokens of the texts, with the same result."""
+    max_broadcast bytes is joined to the tokens of the texts, with the same result; a token that
+    over `split` texts have is dealt to many tasks."""
     names = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
     if model.pairs * BYTES_A_PAIR > max_broadcast:
-        return _joined(docs, model, text_col, names)
+        return _joined(docs, model, text_col, names, split)
     rows = docs.select(*names, F.col(text_col).cast("string")).toDF(*[f"c{i}" for i in range(len(names) + 1)])
     shared = docs.sparkSession.sparkContext.broadcast(LanguageModel(model.langs, model.prior, words=model.words, grams=model.grams))
 
@@ -259,7 +261,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep
     return rows.mapInArrow(run, T.StructType([*docs.select(*names).schema.fields, *added]))
 
 
-def _joined(docs: DataFrame, model: LanguageModel, text_col: str, names: list[str]) -> DataFrame:
+def _joined(docs: DataFrame, model: LanguageModel, text_col: str, names: list[str], split: int) -> DataFrame:
     """identify by joins: (row, token, n) with the words; what is in no word, with its n-grams."""
     docs = docs.select(*names, F.col(text_col).cast("string").alias("_text")).toDF(*[f"c{i}" for i in range(len(names))], "_text")
     docs = written(docs.withColumn("_row", F.monotonically_increasing_id()), "texts")
@@ -277,14 +279,15 @@ def _joined(docs: DataFrame, model: LanguageModel, text_col: str, names: list[st
             yield pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(size, pa.int32()), pa.array(gram, pa.string())], ["word", "size", "token"])
 
     listed = {k: t.groupBy("token").agg(F.collect_list(F.struct("i", "v")).alias("adds")) for k, t in model.tables.items()}  # at most a struct a language
-    found = written(docs.select("_row", "_text").mapInArrow(tokens, "_row long, token string, n long").join(listed["words"], "token", "left"), "found")
+    each = written(docs.select("_row", "_text").mapInArrow(tokens, "_row long, token string, n long"), "texts_tokens")
+    found = written(lookup(each, listed["words"], "token", F.col("_row"), split=split), "found")
     grams = found.where("adds is null").select("token").distinct().mapInArrow(pieces, "word string, size int, token string")
     grams = written(grams.groupBy("word", "size", "token").agg(F.count("*").alias("times")).join(listed["grams"], "token"), "grams")
     longest = grams.groupBy("word", "size").agg(F.sum("times").alias("all")).groupBy("word").agg(F.max_by("all", "size").alias("all"), F.max("size").alias("size"))
     each = grams.join(longest, ["word", "size"]).select("word", "all", "times", F.explode("adds").alias("a"))
     unknown = each.groupBy("word", F.col("a.i").alias("i")).agg(F.sum(F.col("a.v") * F.col("times") / F.col("all")).alias("v"))
     unknown = unknown.groupBy(F.col("word").alias("token")).agg(F.collect_list(F.struct("i", "v")).alias("adds"))
-    kinds = found.where("adds is not null").withColumn("word", F.lit(1)).unionByName(found.where("adds is null").drop("adds").join(unknown, "token").withColumn("word", F.lit(0)))
+    kinds = found.where("adds is not null").withColumn("word", F.lit(1)).unionByName(lookup(found.where("adds is null").drop("adds"), unknown, "token", F.col("_row"), how="inner", split=split).withColumn("word", F.lit(0)))
     sums = kinds.select("_row", F.explode("adds").alias("a"), "n").groupBy("_row", F.col("a.i").alias("i")).agg(F.sum(F.col("a.v") * F.col("n")).alias("s"))
     sums = sums.groupBy("_row").agg(F.collect_list("i").alias("i"), F.collect_list("s").alias("s"))
     counts = kinds.groupBy("_row").agg(F.sum(F.col("n") * F.col("word")).alias("words"), F.sum(F.col("n") * (1 - F.col("word"))).alias("grams"))

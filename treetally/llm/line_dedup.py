@@ -158,7 +158,9 @@ def repeated_lines(docs: DataFrame, batches: int = 4, buckets: int | None = None
         lines = (texts.select("batch", "_id", "_row", line)
                  .select("batch", "_id", "_row", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= MIN_KEY)
                  .withColumn("key", F.unhex(F.md5("key"))))
-        lines = written(lines, "lines")
+        place = new_path(spark, "lines")
+        lines.write.partitionBy("batch").parquet(place)  # a batch reads its own lines alone
+        lines = spark.read.schema(lines.schema).parquet(place)
         runs = runs or LineRuns(spark, buckets or buckets_for(spark, lines.count(), batches), fan_out)
         for b in range(batches):
             runs.add(lines.where(F.col("batch") == b).select("key", F.col("_id").alias("owner")))
