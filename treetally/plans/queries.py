@@ -51,8 +51,8 @@ def list_runs_filtered(spark, d):
 def list_runs_stored(spark, d):
     """The same page from runs that are stored by tenant and month."""
     tables, path = fx.tables(spark, d), new_path(spark, "runs")
-    layout.store_runs(tables["runs"], path)
-    runs = layout.runs_of(spark, path, tables["organizations"], ORG, AFTER, BEFORE)
+    layout.store_runs(tables["runs"], path, tenants=4)  # a few organizations
+    runs = layout.runs_of(spark, path, tables["organizations"], ORG, AFTER, BEFORE, tenants=4)
     return listing.list_runs(tables | {"runs": runs}, ORG, limit="200", offset="2", status="completed", app_id="1-URGENT", started_after=AFTER, started_before=BEFORE)
 
 
