@@ -8,13 +8,16 @@ a piece that ends here is drawn by its share of that total. Draws come from a ha
 key, chunk and step, so a row's segmentation depends on nothing but its key and text.
 
 The filters of the distinct chunks of a batch are tables made together, place by place, and
-all its chunks step back together.
+all its chunks step back together; where few chunks are long enough, one by one. Weights are
+added and multiplied as fractions with exponents of two, in one order, and shares are whole
+numbers, so a draw is the same whatever other chunks are in the batch.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +30,21 @@ SPACE = "▁"
 CHUNK = re.compile(r" *[^ ]+| +")
 #: Chunks that are filtered and sampled at a time.
 TOGETHER = 1 << 19
+#: So few chunks at a place are gone through one by one.
+FEW = 16
+#: Shares of a place's total are in units of 2 ** -BITS.
+BITS = 32
 MASK = (1 << 64) - 1
 #: Stands for a U+2581 of the text itself, which no piece may take for a space.
 OWN_MARK = 0x110000
 
 
+def powers(logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp(logs) as (f, k): f * 2 ** k, f from 1 up to 2."""
+    k = np.floor(logs / math.log(2))
+    return np.exp2(logs / math.log(2) - k), k.astype(np.int64)
+
+
 class Vocabulary:
     """Pieces of a SentencePiece model with byte fallback, as a trie. A piece of rank r (its
     place by score) weighs (r + 1) ** -sharpness, each byte as little as the last piece, squared."""
@@ -47,6 +60,8 @@ class Vocabulary:
         for r, i in enumerate(sorted(plain, key=lambda i: (-sp.get_score(i), i))):
             self.weights[i] = -sharpness * math.log(r + 1)
         self.byte_weight = -2 * sharpness * math.log(len(plain) + 1)
+        self.fractions, self.exponents = powers(self.weights)
+        self.byte_fractions, self.byte_exponents = powers(self.byte_weight * np.arange(5))
         self.bytes, self.decoded = [0] * 256, [b""] * n
         for i in range(n):
             if sp.is_byte(i):
@@ -81,7 +96,8 @@ class Lattices:
 
     Place (j, r) is before character j of chunk r; places are numbered by j, then r. Edges
     are sorted by the place they end at: first[p] to first[p + 1]. cumulative[e] is p plus the share, up
-    to and with e, of the total weight that reaches p. A piece below 0 is character -1 - piece in bytes."""
+    to and with e, of the total weight that reaches p, in units of 2 ** -BITS. A piece below 0 is
+    character -1 - piece in bytes."""
 
     def __init__(self, vocabulary: Vocabulary, chunks: list[str]):
         n = len(chunks)
@@ -102,40 +118,61 @@ class Lattices:
             end = column[at + length] + row
             node = vocabulary.step(node, char[end])
             piece = np.where(node < 0, -1, vocabulary.ends[node])
-            weight = vocabulary.weights[piece]
+            fraction, exponent = vocabulary.fractions[piece], vocabulary.exponents[piece]
             if length == 1:
                 lone = np.flatnonzero(piece < 0)
                 known, where = np.unique(char[end[lone]], return_inverse=True)
                 bytes_of = np.array([len(vocabulary.byte_ids(c)) for c in known.tolist()], np.int64)
-                weight[lone] = vocabulary.byte_weight * bytes_of[where] if len(lone) else 0
+                if len(lone):
+                    fraction[lone], exponent[lone] = vocabulary.byte_fractions[bytes_of[where]], vocabulary.byte_exponents[bytes_of[where]]
                 piece[lone] = -1 - char[end[lone]]
                 new = slice(None)
             else:
                 new = np.flatnonzero(piece >= 0)
-            found.append((end[new], count[end[new]], start[new], piece[new], weight[new]))
+            found.append((end[new], count[end[new]], start[new], piece[new], fraction[new], exponent[new]))
             count[end[new]] += 1
             on = np.flatnonzero((node >= 0) & (at + length < sizes[row]))
             row, at, node, start = row[on], at[on], node[on], start[on]
         self.first = first = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
-        slot = np.concatenate([first[e] + k for e, k, _, _, _ in found])
+        slot = np.concatenate([first[e] + k for e, k, *_ in found])
         put = lambda i: (out := np.empty(len(slot), found[0][i].dtype), out.__setitem__(slot, np.concatenate([f[i] for f in found])))[0]
-        self.back, self.piece, weight = put(2), put(3), put(4)
-        total, share = np.zeros(column[-1]), np.empty(len(slot))
-        for j in range(1, len(columns)):
+        self.back, self.piece, fraction, exponent = put(2), put(3), put(4), put(5)
+        total, power, share = np.ones(column[-1]), np.zeros(column[-1], np.int64), np.empty(len(slot))
+        few = int(np.searchsorted(-columns, -FEW))  # from this column on
+        for j in range(1, few):
             p, q = column[j], column[j + 1]
             a, b = first[p], first[q]
-            z = total[self.back[a:b]] + weight[a:b]
-            begin, n_edges = first[p:q] - a, count[p:q]
-            top = np.maximum.reduceat(z, begin)
-            x = np.exp(z - np.repeat(top, n_edges))
-            whole = np.add.reduceat(x, begin)
-            total[p:q] = top + np.log(whole)
+            back, n_edges = self.back[a:b], count[p:q]
+            k = power[back] + exponent[a:b]
+            top = np.maximum.reduceat(k, first[p:q] - a)
+            x = np.ldexp(total[back] * fraction[a:b], k - np.repeat(top, n_edges))
+            whole = np.bincount(np.repeat(np.arange(q - p), n_edges), x)  # adds in order
+            total[p:q], up = np.frexp(whole)
+            power[p:q] = top + up
             share[a:b] = x / np.repeat(whole, n_edges)
-        running = np.cumsum(share)
+        self._one_by_one(int(column[max(few, 1)]) if few < len(columns) else len(total), fraction, exponent, total, power, share)
+        for k in range(1, int(count.max())):
+            at = first[np.flatnonzero(count > k)] + k
+            share[at] += share[at - 1]
         has = np.flatnonzero(count)
-        before = running[first[has]] - share[first[has]]
-        self.cumulative = running - np.repeat(before - has, count[has])
-        self.cumulative[first[has + 1] - 1] = has + 1.0
+        self.cumulative = np.floor(share * 2.0**BITS).astype(np.int64) + (np.repeat(has, count[has]) << BITS)
+        self.cumulative[first[has + 1] - 1] = has + 1 << BITS
+
+    def _one_by_one(self, start: int, fraction: np.ndarray, exponent: np.ndarray, total: np.ndarray, power: np.ndarray, share: np.ndarray) -> None:
+        """The same sums for places from start on, whose columns are too short for arrays."""
+        first, back, f, k, t, power, share = map(memoryview, (self.first, self.back, fraction, exponent, total, power, share))
+        for p in range(start, len(t)):
+            edges = range(first[p], first[p + 1])
+            ks = [power[back[e]] + k[e] for e in edges]
+            top = max(ks)
+            xs = [math.ldexp(t[back[e]] * f[e], n - top) for e, n in zip(edges, ks)]
+            whole = 0.0
+            for x in xs:
+                whole += x
+            t[p], up = math.frexp(whole)
+            power[p] = top + up
+            for e, x in zip(edges, xs):
+                share[e] = x / whole
 
     def ends(self, ranks: np.ndarray) -> np.ndarray:
         return self.column[self.sizes[ranks]] + ranks
@@ -149,6 +186,28 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def mixed_one(x: int) -> int:
+    """mixed of one value."""
+    x = x + 0x9E3779B97F4A7C15 & MASK
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & MASK
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & MASK
+    return x ^ x >> 31
+
+
+def walked(lattices: Lattices, state: int, key: int, step: int, chunks: int) -> np.ndarray:
+    """The pieces from place state back to the start of its chunk, last one first."""
+    first, back, cumulative, piece = map(memoryview, (lattices.first, lattices.back, lattices.cumulative, lattices.piece))
+    got = []
+    while state >= chunks:
+        a, b = first[state], first[state + 1]
+        if b - a > 1:
+            a = min(bisect_right(cumulative, (state << BITS) + (mixed_one(key ^ mixed_one(step)) >> 64 - BITS), a, b), b - 1)
+        got.append(piece[a])
+        state = back[a]
+        step += 1
+    return np.array(got, np.int64)
+
+
 def sampled(vocabulary: Vocabulary, chunks: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of all chunks in order, and how many each has. keys: a uint64 for each chunk."""
     distinct = sorted(dict.fromkeys(chunks), key=len, reverse=True)
@@ -160,23 +219,28 @@ def sampled(vocabulary: Vocabulary, chunks: list[str], keys: np.ndarray) -> tupl
     order = np.argsort(ranks, kind="stable")
     state, keys = lattices.ends(ranks[order]), keys[order]
     live, step, got, steps = np.arange(len(chunks)), 0, [], np.zeros(len(chunks), np.int64)
-    while len(live):
+    while len(live) > FEW:
         s = state[live]
         e = first[s]
         many = np.flatnonzero(first[s + 1] - e > 1)
-        u = (mixed(keys[live[many]] ^ mixed(np.full(1, step, np.uint64))) >> np.uint64(11)) * 2.0**-53
-        e[many] = np.clip(np.searchsorted(cumulative, s[many] + u, "right"), e[many], first[s[many] + 1] - 1)
+        u = (mixed(keys[live[many]] ^ mixed(np.full(1, step, np.uint64))) >> np.uint64(64 - BITS)).astype(np.int64)
+        e[many] = np.clip(np.searchsorted(cumulative, (s[many] << BITS) + u, "right"), e[many], first[s[many] + 1] - 1)
         got.append((live, lattices.piece[e]))
         steps[live] += 1
         state[live] = back[e]
         live = live[back[e] >= len(distinct)]
         step += 1
+    rest = [(i, walked(lattices, int(state[i]), int(keys[i]), step, len(distinct))) for i in live.tolist()]
+    for i, pieces in rest:
+        steps[i] += len(pieces)
     in_order = np.empty_like(steps)
     in_order[order] = steps
     steps, stop = in_order, np.cumsum(in_order)
     last, ids = stop[order] - 1, np.empty(int(stop[-1]), np.int64)
     for k, (where, piece) in enumerate(got):
         ids[last[where] - k] = piece
+    for i, pieces in rest:
+        ids[last[i] - step - len(pieces) + 1 : last[i] - step + 1] = pieces[::-1]
     lone = np.flatnonzero(ids < 0)
     if not len(lone):
         return ids.astype(np.int32), steps
@@ -231,7 +295,9 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     ids is a sampled segmentation of the whole text; equal (seed, id, text) give equal ids,
     wherever and in whatever order rows are read. lossless says that decoding ids gave the
     text back. A null text has null ids, an empty one no ids; both are lossless. A null id
-    is a key like any other. The model's file is read once, by the driver."""
+    is a key like any other, and an empty table gives no rows. Other columns play no part. A
+    text of any length is one row, in time proportional to its length, with spaces or without.
+    The model's file is read once, by the driver."""
     with open(model_path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary, not data
 
