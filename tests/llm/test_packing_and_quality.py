@@ -94,3 +94,19 @@ def test_quality_ties_and_repeats(spark):
     labels = spark.createDataFrame([(2, 0), (2, 0), (2, 1), (3, 1), (3, 1), (5, 1)], "doc_id long, quality int")
     got = quality.score(docs, labels, F.lit(False)).collect()
     assert len(got) == 6 and len({r["score"] for r in got if r["doc_id"] in (2, 3)}) == 1
+
+
+def test_quality_sample_reaches_the_labelled_texts(spark, monkeypatch):
+    """Most labelled ids have no text: the hash bound rises until max_rows have one, or none is left."""
+    docs = spark.createDataFrame([(i, f"word {i} " * (i % 9 + 1), "clash") for i in range(0, 4000, 40)], "doc_id long, text string, y string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4000)] + [(None, 1), (3, None)], "doc_id long, quality int")
+    feats = quality.features(docs)
+    seen = []
+    monkeypatch.setattr(quality, "fit_arrays", lambda x, y: seen.append((x.tolist(), y.tolist())))
+    hashed = [r[0] for r in docs.select("doc_id").orderBy(F.xxhash64("doc_id")).collect()]
+    of = {r["doc_id"]: list(r["x"]) for r in feats.collect()}
+    for small in (200_000, 0):
+        monkeypatch.setattr(quality, "SMALL", small)
+        for k in (1, 7, 100, 500):
+            quality.fit(feats, labels, F.lit(True), max_rows=k)
+            assert seen.pop() == ([of[i] for i in hashed[:k]], [float(i % 2) for i in hashed[:k]])

@@ -23,11 +23,15 @@ def renamed(docs: DataFrame, *cols: str) -> tuple[DataFrame, list[str]]:
     return docs.toDF(*[f"c{i}" for i in range(len(names))]), [f"c{names.index(c)}" for c in cols]
 
 
+def hash_bound(n: int, k: int) -> int:
+    """A bound that at least k of n hashes (long, evenly spread) lie at or below, and not many more."""
+    return min((1 << 63) - 1, int((k + 6 * k**0.5 + 20) / max(1, n) * 2.0**64) - (1 << 63))
+
+
 def smallest(rows: DataFrame, key: Column, n: int, k: int) -> DataFrame:
     """The k rows with the smallest key (long, evenly spread as hashes of distinct values are), of n.
     Only about k rows lie below a bound on the key, so no task sorts more."""
-    bound = min((1 << 63) - 1, int((k + 6 * k**0.5 + 20) / max(1, n) * 2.0**64) - (1 << 63))
-    return rows.where(key <= bound).orderBy(key).limit(k)
+    return rows.where(key <= hash_bound(n, k)).orderBy(key).limit(k)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -18,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import smallest, written
+from .common import hash_bound, written
 
 FEATURES = (
     "log_words", "word_length", "letters", "upper", "digits", "marks", "odd_marks", "distinct_words", "top_word",
     "repeated_word", "distinct_pairs", "distinct_lines", "words_per_line", "short_words", "no_letter_words", "sentence_ends",
 )
 BINS, PAIR_BINS = 32, 8
+#: Labelled ids (16 bytes each) that may be broadcast.
+SMALL = 200_000
 
 _KIND = np.zeros(256, np.uint8)  # 1 lower, 2 upper, 3 digit, 4 mark of prose, 5 odd mark, 6 space; other bytes are letters
 _KIND[ord("a") : ord("z") + 1], _KIND[128:] = 1, 1
@@ -167,10 +169,20 @@ def fit_arrays(x: np.ndarray, y: np.ndarray, rounds: int = 120, pair_rounds: int
 def fit(feats: DataFrame, labels: DataFrame, trainable: Column, label_col: str = "quality", max_rows: int = 20_000) -> AdditiveModel:
     """Learns from rows of labels (doc_id, label_col) where trainable holds and the label isn't
     null. Of an id with several labels the larger share counts, ties as 1; of one with several
-    texts the smallest features. max_rows bounds the labelled ids used: those with the smallest hash."""
+    texts the smallest features. max_rows bounds the labelled ids used: of those that have a text
+    the ones with the smallest hash. Hashes are cut before texts are looked for, at a bound
+    that rises until enough have one, so that only chosen ids' features are shuffled."""
     chosen = labels.where(trainable & F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.avg(label_col) >= 0.5).cast("int").alias("y"))
-    chosen = written(chosen.join(feats.where("doc_id is not null").groupBy("doc_id").agg(F.min("x").alias("x")), "doc_id"), "labelled")
-    rows = smallest(chosen, F.xxhash64("doc_id"), chosen.count(), max_rows).select("x", "y").toArrow()
+    chosen, key = written(chosen, "labels"), F.xxhash64("doc_id")
+    n, k = chosen.count(), 2 * max_rows
+    while True:
+        low = chosen.where(key <= hash_bound(n, k))
+        met = feats.join(F.broadcast(low) if k <= SMALL else low, "doc_id").groupBy("doc_id").agg(F.min("x").alias("x"), F.first("y").alias("y"))
+        met = written(met, "labelled")
+        if k >= n or met.count() >= max_rows:
+            break
+        k *= 8
+    rows = met.orderBy(key).limit(max_rows).select("x", "y").toArrow()
     x = rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, len(FEATURES))
     return fit_arrays(x, rows.column("y").to_numpy().astype(float))
 
@@ -180,7 +192,8 @@ def score(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "d
 
     held_out is an expression of doc_id; rows where it holds are never learned from. Null
     and empty texts have zero features and get a score as any other. Other columns of docs
-    play no part."""
+    play no part. A text of any length counts whole. A score of 0.5 is predicted as 1. Without
+    docs: no rows; without labels to learn from: 0.5 for all."""
     feats = written(features(docs, id_col, text_col), "features")
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
     model = fit(feats, labels, ~held_out, "quality", max_rows)
