@@ -101,3 +101,21 @@ def test_estimation_equals_a_loop_over_candidates():
     for j, name in enumerate(pii.LABELERS):
         for truth in (0, 1):
             assert model.reliability[name][truth] == pytest.approx(rel[j, truth])
+
+
+def test_gazetteers_from_a_table(spark):
+    rows = [("First_Names ", " Xanthippe"), ("first_names", "xanthippe"), ("person_words", "Gezeichnet \t von"), ("other_words", None), (None, "x"), ("id_words", " ")]
+    table = spark.createDataFrame([(*r, 1) for r in rows], "list string, entry string, kind int")
+    alone, added = pii.read_gazetteers(table, base=None), pii.read_gazetteers(table)
+    assert alone == pii.Gazetteers((), (), ("gezeichnet von",), (), ("xanthippe",))
+    assert set(added.first_names) == {*pii.FIRST_NAMES, "xanthippe"} and set(added.id_words) == set(pii.ID_WORDS)
+    assert pii.read_gazetteers(table.where("false"), base=None) == pii.Gazetteers((), (), (), (), ())
+    docs = spark.createDataFrame([(1, "gezeichnet von Frau Xanthippe")], "doc_id long, text string")
+    name = lambda g: [s[2] for s in spans_of(pii.detect(docs, PLAIN, gazetteers=g).first()["spans"])]
+    assert name(alone) == ["name"] and name(pii.Gazetteers(first_names=(), person_words=())) == []
+    for bad, why in (([("names", "x")], "no such lists"), ([("id_words", "x" * 25)], "longer than")):
+        with pytest.raises(ValueError, match=why):
+            pii.read_gazetteers(spark.createDataFrame(bad, "list string, entry string"))
+    many = spark.range(pii.MAX_ENTRIES + 1).selectExpr("'first_names' AS list", "concat('n', id) AS entry")
+    with pytest.raises(ValueError, match="more than"):
+        pii.read_gazetteers(many)

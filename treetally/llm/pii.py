@@ -14,7 +14,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -88,6 +88,32 @@ class Gazetteers:
     first_names: tuple[str, ...] = FIRST_NAMES
 
 
+#: Entries of all lists that read_gazetteers takes: they are part of each task's plan.
+MAX_ENTRIES = 20_000
+
+
+def read_gazetteers(entries: DataFrame, list_col: str = "list", entry_col: str = "entry", base: Gazetteers | None = Gazetteers()) -> Gazetteers:
+    """The gazetteers that a table of (list, entry) names, added to those of base (None: alone).
+
+    list is the name of a list of Gazetteers, in any case; another name raises. Entries are
+    lower-cased and trimmed, white space within counts as one space; null and empty ones and
+    repeats are nothing, and an entry longer than WINDOW could never match, so it raises, but for
+    first names, which aren't looked for in the window. More than MAX_ENTRIES distinct entries
+    raise. Other columns play no part; an empty table gives base."""
+    entry = F.btrim(F.regexp_replace(F.lower(F.col(entry_col).cast("string")), r"\s+", " "))
+    rows = entries.select(F.lower(F.btrim(F.col(list_col).cast("string"))).alias("list"), entry.alias("entry")).where("list is not null and entry <> ''")
+    rows = rows.distinct().limit(MAX_ENTRIES + 1).collect()
+    if len(rows) > MAX_ENTRIES:
+        raise ValueError(f"more than {MAX_ENTRIES} entries")
+    names = [f.name for f in fields(Gazetteers)]
+    if unknown := sorted({r["list"] for r in rows} - set(names)):
+        raise ValueError(f"no such lists: {', '.join(unknown)}")
+    if long := sorted(r["entry"] for r in rows if len(r["entry"]) > WINDOW and r["list"] != "first_names"):
+        raise ValueError(f"longer than {WINDOW} code points: {', '.join(long[:10])}")
+    own = {n: {r["entry"] for r in rows if r["list"] == n} for n in names}
+    return Gazetteers(**{n: tuple(sorted(own[n] | set(getattr(base, n) if base else ()))) for n in names})
+
+
 #: Code points before a candidate that labelers see.
 WINDOW = 24
 LABELERS = ("form", "malformed", "listed", "listed_other", "cue", "counter_cue")
