@@ -152,3 +152,10 @@ def test_registered_query_recall(spark):
     assert (got & want).total() >= 0.9 * want.total() and got.total() == want.total()
     at = dict(zip(ids.tolist(), v))
     assert all(abs(r["score"] - at[r["query_id"]] @ at[r["vec_id"]]) < 1e-12 for r in found)
+
+
+def test_bit_sliced_fails_rather_than_wrap(spark):
+    ok, large = [(0, [3e4, -3e4]), (1, [3e4, 3e4]), (2, [-2e4, 1.0])], [(0, [3e6, 1.0]), (100, [1.0, -3e6])]
+    assert as_counter(bit_sliced.top_products(frame(spark, ok))) == plain_top(ok, 10, 100, True)
+    with pytest.raises(Exception, match="may not fit a long"):
+        bit_sliced.top_products(frame(spark, large)).collect()

@@ -106,8 +106,9 @@ def top_products(vectors: DataFrame, k: int = 10, query_every: int = 100, scale:
     other rows of highest inner product of floor(scale x component), ties to the smaller id.
 
     Rows that share an id are queries, and candidates for each other, one by one. A vector
-    meets those of its own length. See vectors.clean for the rows that take part. Components
-    must stay under 2^28 in absolute value after scaling. Fewer than k others: all of them.
+    meets those of its own length. See vectors.clean for the rows that take part. Where
+    length x (largest scaled component)^2 reaches 2^63, a sum might not fit a long: the job
+    fails rather than wrap. Fewer than k others: all of them.
     Nothing to search: no rows. Other columns play no part."""
     rows = clean(vectors, id_col, vec_col, False, lambda x: F.floor(x * scale).cast("long"))
     parts, first = {d: -(-n // segment) for d, n in counted(rows).items()}, {}
@@ -115,7 +116,13 @@ def top_products(vectors: DataFrame, k: int = 10, query_every: int = 100, scale:
         first[d] = sum(parts[x] for x in first)
     if not parts:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    build = lambda t: packed({"rows": t.column("row").to_numpy(), "vec_ids": t.column("vec_id").to_numpy(), "x": matrix(t.column("v"), t.num_rows, np.int64)}, t.column("seg")[0].as_py())
+
+    def build(t: pa.Table) -> pa.Table:
+        x = matrix(t.column("v"), t.num_rows, np.int64)
+        if x.shape[1] * max(int(x.max()), -int(x.min())) ** 2 >= 1 << 63:  # so for no pair, whatever its segments
+            raise OverflowError("inner products of these components may not fit a long; take a smaller scale")
+        return packed({"rows": t.column("row").to_numpy(), "vec_ids": t.column("vec_id").to_numpy(), "x": x}, t.column("seg")[0].as_py())
+
     dealt = rows.withColumn("seg", (of("d", first) + F.pmod(F.xxhash64("row"), of("d", parts))).cast("int"))
     index = written(dealt.groupBy("seg").applyInArrow(build, "seg int, rows binary, vec_ids binary, x binary"), "slices")
 

@@ -83,7 +83,8 @@ def pack_documents(docs: DataFrame, length: Column | None = None, id_col: str =
     end). Pieces of a document have start 0, max(sizes), 2 x max(sizes) ... and cover it.
     Every row of docs is packed, repeated rows as copies 1, 2 ...; a null text has length 1
     (its end), a null or negative length counts as 0 and still gets a place. bin_id is
-    unique; a bin's pieces lie one after another from bin_offset 0 and fit bin_size. Shards
+    unique; no rows give no bins, a text of any length is cut into pieces, and other columns of
+    docs play no part. A bin's pieces lie one after another from bin_offset 0 and fit bin_size. Shards
     follow from ids, texts and counts, not from how rows are stored."""
     sizes = tuple(sorted(sizes))
     text = F.coalesce(F.col(text_col), F.lit(""))

@@ -171,7 +171,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id is the smallest id that can be reached over links. Null and empty texts
     have fingerprint zero and link like any other. A null id is never a component_id unless
     its whole component has null ids (then null). Rows that share an id are nodes of their
-    own. Other columns of docs play no part. Copies share a fingerprint and are one node, so
+    own. Other columns of docs play no part. A text of any length counts whole; no rows give
+    no rows. Copies share a fingerprint and are one node, so
     groups of copies of any size make no links among themselves."""
     rows = _in_components(docs, id_col, text_col, block)
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
