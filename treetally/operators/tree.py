@@ -14,6 +14,8 @@ from .listing import costs_total
 
 #: Levels that are walked one by one; what lies deeper is reached by doubling steps.
 SHALLOW = 8
+#: Joins of one job that follows the pointers of a chain.
+HOPS = 3
 
 
 def descendants(runs: DataFrame, roots: DataFrame, shallow: int = SHALLOW) -> DataFrame:
@@ -167,22 +169,29 @@ def contracted(nodes: DataFrame) -> DataFrame:
 
 def _compressed(state: DataFrame, known: list[str], total: str, key: str) -> tuple[DataFrame, DataFrame]:
     """state without its chains, and their nodes with `down`, the node below the chain, and `sum`,
-    what they have more than it. Pointers down the chain double until they leave it; no two that
-    still move point at one node."""
+    what they have more than it. Each job follows the pointers of the one before HOPS times, so a
+    reach of r becomes (HOPS + 1) * r, and the pointers that are followed are shuffled once. A
+    pointer that has left the chain looks up its own node from then on: no two rows of a join
+    have the same key, though all nodes of a chain end at one."""
     chain = F.col("kids") == 1
     steps = state.where(chain).select("id", F.col("only.id").cast(key).alias("down"), (F.col("total") + F.col("only.carry")).cast(total).alias("sum"), F.lit(False).alias("fixed"))
     reach, most = 1, None
     while True:
-        there = steps.select(F.col("id").alias("down"), F.col("down").alias("further"), F.col("sum").alias("more"), F.col("fixed").alias("ends"))
-        moved = steps.where("not fixed").join(there, "down", "left").select(
-            "id", F.coalesce("further", "down").alias("down"), (F.col("sum") + F.coalesce("more", F.lit(0).cast(total))).cast(total).alias("sum"), F.coalesce("ends", F.lit(True)).alias("fixed"))
+        there = steps.select(F.col("id").alias("key"), F.col("down").alias("further"), F.col("sum").alias("more"), F.col("fixed").alias("ends"))
+        moved = steps.where("not fixed")
+        for _ in range(HOPS):
+            goes = ~F.col("fixed")
+            moved = moved.withColumn("key", F.when(goes, F.col("down")).otherwise(F.col("id"))).join(there, "key", "left").select(
+                "id", F.when(goes, F.coalesce("further", "down")).otherwise(F.col("down")).alias("down"),
+                (F.col("sum") + F.when(goes, F.coalesce("more", F.lit(0).cast(total))).otherwise(F.lit(0).cast(total))).cast(total).alias("sum"),
+                (F.col("fixed") | F.coalesce("ends", F.lit(True))).alias("fixed"))
         seen = Observation()
         moving = F.count_if(~F.col("fixed")).alias("moving")
         steps = written((moved if reach == 1 else union_all(steps.where("fixed"), moved)).observe(seen, moving, F.count(F.lit(1)).alias("n")), "chains")
         if not seen.get["moving"]:
             break
-        reach, most = 2 * reach, most or seen.get["n"]
-        if reach > 2 * most:
+        reach, most = (HOPS + 1) * reach, most or seen.get["n"]
+        if reach > (HOPS + 1) * most:
             raise ValueError("runs.parent_run_id has a cycle")
     held = state.where(chain).select(*known, "parent", "carry").join(steps.drop("fixed"), "id")
     inside = held.select(F.col("id").alias("parent"))
