@@ -171,8 +171,8 @@ def _compressed(state: DataFrame, known: list[str], total: str, key: str) -> tup
     """state without its chains, and their nodes with `down`, the node below the chain, and `sum`,
     what they have more than it. Each job follows the pointers of the one before HOPS times, so a
     reach of r becomes (HOPS + 1) * r, and the pointers that are followed are shuffled once. A
-    pointer that has left the chain looks up its own node from then on: no two rows of a join
-    have the same key, though all nodes of a chain end at one."""
+    pointer that has left the chain looks up its own node from then on: no key has over two rows
+    in a join, though all nodes of a chain end at one."""
     chain = F.col("kids") == 1
     steps = state.where(chain).select("id", F.col("only.id").cast(key).alias("down"), (F.col("total") + F.col("only.carry")).cast(total).alias("sum"), F.lit(False).alias("fixed"))
     reach, most = 1, None
