@@ -182,3 +182,19 @@ def test_stored_runs_are_pruned(spark):
 def test_numbers_of_pages():
     assert [listing.page_limit(x) for x in ("0x10", "Infinity", "1e30", "0b11", "nonsense")] == [16, 200, 200, 3, 50]
     assert listing.page_offset("1e30") == listing.LARGEST
+
+
+def test_small_documents_are_cut_without_ranges(spark, monkeypatch):
+    full = "id string, parent_run_id string, service_name string, task_name string, status string, started_at int, completed_at int"
+    runs = spark.createDataFrame([(i, p, "s", "t", "running", 1, None) for i, p in grown("recent", 120)], full)
+    lines = spark.createDataFrame([(f"c{i}", f"n{i % 60}", "x", Decimal(1), Decimal(2), Decimal(i), 0) for i in range(100)],
+                                  "id string, run_id string, cost_name string, quantity decimal(20,6), unit_cost_in_usd_cents decimal(12,10), total_cost_in_usd_cents decimal(16,10), created_at int")
+    roots = ids(spark, ["n0", "n3", "n60", "lost", "below", "nobody"])
+
+    def listed(parts):
+        rows = sorted(parts.collect(), key=lambda r: (r["id"], r["part"]))
+        return {i: [x for r in rows if r["id"] == i for x in r["descendantRuns"]] for i in {r["id"] for r in rows}}
+
+    ranged = listed(document.run_document_parts(runs, lines, roots, limit=3000, large=3))  # small and large documents
+    monkeypatch.setattr(document, "running_sums", None)
+    assert ranged == listed(document.run_document_parts(runs, lines, roots, limit=3000)) and len(ranged["n0"]) > 100
