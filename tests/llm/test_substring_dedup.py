@@ -92,3 +92,12 @@ def test_a_span_that_does_not_fit_is_an_error():
     h = np.arange(200).astype(np.uint64)
     with pytest.raises(ValueError):
         sd.covered(h, [{"start": 0, "n": 166, "check": 5}])
+
+
+def test_texts_are_read_three_times(spark, monkeypatch):
+    """For pieces, for the windows of branches and for what is kept."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i % 3) * 7 + j}" for j in range(60))) for i in range(9)], "doc_id long, text string")
+    calls, real = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, *a, **k: calls.append(f.__name__) or real(self, f, *a, **k))
+    assert sd.remove_repeated(docs).where("n_removed > 0").count() == 9
+    assert len(calls) == 3

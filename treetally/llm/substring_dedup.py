@@ -141,13 +141,6 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*map(pa.array, longs), pa.array(p["start"].astype(np.int32)), pa.array(p["n"].astype(np.int32))], ["id", "mark", "gram", "content", "before", "after", "start", "n"])
 
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache = WordHashes()
-    for b in batches:
-        for p in pieces_of([cache.of(t.as_py()) for t in b.column(0)]):
-            yield pa.RecordBatch.from_arrays([pa.array(p["gram"].view(np.int64))], ["gram"])
-
-
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, mark, text, wanted pieces) to a row a window of these."""
     cache = WordHashes()
@@ -173,9 +166,13 @@ def repeated_spans(keyed: DataFrame) -> DataFrame:
     spark = keyed.sparkSession
     texts, path = keyed.select("_id", "_mark", "_text"), new_path(spark, "spans")
     with temporary(spark):
-        twice = texts.select("_text").mapInArrow(_grams, "gram long").groupBy("gram").count().where("count > 1").select("gram")
-        pieces = texts.mapInArrow(_pieces, "id long, mark long, gram long, content long, before long, after long, start int, n int")
-        pieces = written(pieces.join(written(twice, "grams"), "gram", "left_semi"), "pieces")
+        held = new_path(spark, "pieces")
+        with temporary(spark):  # all pieces, made in one reading of the texts; most go at once
+            pieces = written(texts.mapInArrow(_pieces, "id long, mark long, gram long, content long, before long, after long, start int, n int"), "all")
+            twice = written(pieces.groupBy("gram").count().where("count > 1").select("gram"), "grams")
+            pieces = pieces.join(twice, "gram", "left_semi")
+            pieces.write.parquet(held)
+        pieces = spark.read.schema(pieces.schema).parquet(held)
         ends = [f(c).alias(f"{a}_{c}") for c in ("before", "after") for a, f in (("least", F.min), ("most", F.max))]
         kinds = pieces.groupBy("gram", "content").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("id", "mark", "start")).alias("source"), F.first("n").alias("n"), *ends)
         kinds = written(kinds.select("gram", "content", "times", "source.*", "n", *[f"{a}_{c}" for c in ("before", "after") for a in ("least", "most")]), "kinds")
