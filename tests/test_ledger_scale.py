@@ -198,3 +198,18 @@ def test_small_documents_are_cut_without_ranges(spark, monkeypatch):
     ranged = listed(document.run_document_parts(runs, lines, roots, limit=3000, large=3))  # small and large documents
     monkeypatch.setattr(document, "running_sums", None)
     assert ranged == listed(document.run_document_parts(runs, lines, roots, limit=3000)) and len(ranged["n0"]) > 100
+
+
+def test_cost_batches_are_joined_to_runs_once(spark, monkeypatch):
+    """Each kind of reject, and a batch that is written once after its one check of runs."""
+    source, out = new_path(spark, "requests"), new_path(spark, "stream")
+    item = "items array<struct<costName: string, quantity: decimal(24,10)>>"
+    rows = [("ok", "r1", [("a", Decimal(2))]), ("lost", "gone", [("a", Decimal(1))]), ("none", "gone", []), ("null", None, None), ("bad", "r1", [("a", Decimal(0))]), ("new", "r2", [("z", Decimal(1)), ("a", Decimal(1))])]
+    spark.createDataFrame(rows, f"request_id string, run_id string, {item}").write.parquet(source)
+    runs, prices = ids(spark, ["r1", "r2"]), spark.createDataFrame([("a", Decimal("0.5"))], "cost_name string, unit_cost decimal(12,10)")
+    made, real = [], jobs.written
+    monkeypatch.setattr(jobs, "written", lambda df, label: made.append(label) or real(df, label))
+    jobs.stream_price_costs(spark.readStream.schema(spark.read.parquet(source).schema).parquet(source), runs, prices, {k: f"{out}/{k}" for k in ("costs", "rejects", "checkpoint")}).awaitTermination()
+    assert made == ["judged"] and [r["request_id"] for r in spark.read.parquet(f"{out}/costs").collect()] == ["ok"]
+    want = {"lost": "run not found", "none": "items required", "null": "items required", "bad": "bad item", "new": "unknown cost: z"}
+    assert {r["request_id"]: r["reason"] for r in spark.read.parquet(f"{out}/rejects").collect()} == want

@@ -33,12 +33,17 @@ def resolve_users(requests: DataFrame, users: DataFrame, new_id: Column | None =
     return lookup(requests, keys.withColumnRenamed("external_id", "clerkUserId"), "clerkUserId", F.col("request_id")), new
 
 
-def _exists(rows: DataFrame, runs: DataFrame, key: str, reason: Column, split: int) -> tuple[DataFrame, DataFrame]:
-    """Distinct keys are checked, with how many rows each has; rows are then joined to what was
-    found, those of a key that over `split` rows have dealt to many tasks."""
+def _told(rows: DataFrame, runs: DataFrame, key: str, split: int) -> DataFrame:
+    """rows with _there, true where key is a run and else null. Distinct keys are checked, with how
+    many rows each has; rows are then joined to what was found, those of a key that over `split`
+    rows have dealt to many tasks."""
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     there = counts.join(runs.select(F.col("id").alias(key)), key, "left_semi").select(key, F.lit(True).alias("_there"))
-    told = lookup(rows, there, key, F.xxhash64("request_id"), heavy_keys(counts, key, split=split))
+    return lookup(rows, there, key, F.xxhash64("request_id"), heavy_keys(counts, key, split=split))
+
+
+def _exists(rows: DataFrame, runs: DataFrame, key: str, reason: Column, split: int) -> tuple[DataFrame, DataFrame]:
+    told = _told(rows, runs, key, split)
     return told.where("_there").drop("_there"), told.where("_there is null").drop("_there").withColumn("reason", reason)
 
 
@@ -53,6 +58,12 @@ def check_run_exists(requests: DataFrame, runs: DataFrame, split: int = SPLIT) -
     return _exists(requests, runs, "run_id", F.lit("run not found"), split)
 
 
+def judged_run_exists(requests: DataFrame, runs: DataFrame, split: int = SPLIT) -> DataFrame:
+    """requests (with reason) with the reason of check_run_exists where they had none."""
+    missing = F.when(F.col("_there").isNull(), "run not found")
+    return _told(requests, runs, "run_id", split).withColumn("reason", F.coalesce("reason", missing)).drop("_there")
+
+
 def update_target_exists(updates: DataFrame, runs: DataFrame, split: int = SPLIT) -> tuple[DataFrame, DataFrame]:
     return _exists(updates, runs, "run_id", F.lit("run not found"), split)
 

@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.scalars import UUID
 
 
+def _marked(rows: DataFrame, problems: list[Column]) -> DataFrame:
+    return rows.withColumn("errors", F.array_compact(F.array(*problems)))
+
+
 def _split(rows: DataFrame, problems: list[Column]) -> tuple[DataFrame, DataFrame]:
-    marked = rows.withColumn("errors", F.array_compact(F.array(*problems)))
+    marked = _marked(rows, problems)
     good = marked.where(F.size("errors") == 0).drop("errors")
     return good, marked.where(F.size("errors") > 0).withColumn("reason", F.array_join("errors", "; ")).drop("errors")
 
@@ -27,8 +31,18 @@ def validate_status_updates(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     return _split(requests, [F.when(~F.coalesce(F.col("status").isin("completed", "failed"), F.lit(False)), "status not allowed")])
 
 
-def validate_cost_batches(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """At least one item, each with a name and a positive quantity; one bad item rejects its request."""
+def _batch_problems() -> list[Column]:
     fine = lambda x: F.coalesce((F.length(x["costName"]) >= 1) & (x["quantity"] > 0), F.lit(False))
     none = F.coalesce(F.size("items") < 1, F.lit(True))
-    return _split(requests, [F.when(none, "items required"), F.when(~none & ~F.forall("items", fine), "bad item")])
+    return [F.when(none, "items required"), F.when(~none & ~F.forall("items", fine), "bad item")]
+
+
+def judged_cost_batches(requests: DataFrame) -> DataFrame:
+    """requests with reason, as validate_cost_batches rejects them; null where a request is accepted."""
+    marked = _marked(requests, _batch_problems())
+    return marked.withColumn("reason", F.when(F.size("errors") > 0, F.array_join("errors", "; "))).drop("errors")
+
+
+def validate_cost_batches(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """At least one item, each with a name and a positive quantity; one bad item rejects its request."""
+    return _split(requests, _batch_problems())

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..operators.keys import apply_run_defaults, check_parent_exists, check_run_exists, resolve_orgs, resolve_users, update_target_exists
+from ..operators.keys import apply_run_defaults, check_parent_exists, judged_run_exists, resolve_orgs, resolve_users, update_target_exists
 from ..operators.lifecycle import last_updates
 from ..operators.pricing import price_cost_items
-from ..operators.validate import validate_cost_batches, validate_runs, validate_status_updates
+from ..operators.validate import judged_cost_batches, validate_runs, validate_status_updates
 from ..sources.schemas import TABLES
+from ..sources.shared import temporary, written
 from .levels import FAN, Levels
 
 
@@ -65,16 +66,18 @@ def stream_create_runs(stream: DataFrame, tables: dict[str, DataFrame], paths: d
 
 def stream_price_costs(stream: DataFrame, runs: DataFrame, prices: DataFrame, paths: dict[str, str]) -> StreamingQuery:
     """Cost batches, each a row with its items, become priced lines and rejects with one reason each:
-    invalid, then run not found, then unknown cost."""
+    invalid, then run not found, then unknown cost. A batch is judged and joined to the runs once;
+    lines and rejects are read from what that left, which goes when the batch ends."""
 
     def step(batch: DataFrame, n: int) -> None:
-        good, bad = validate_cost_batches(batch)
-        known, lost = check_run_exists(good, runs)
-        items = known.select("request_id", "run_id", F.posexplode("items").alias("pos", "item")).select("request_id", "run_id", "pos", F.col("item.costName").alias("cost_name"), F.col("item.quantity").alias("quantity"))
-        priced, unknown = price_cost_items(items, prices)
-        _store(priced, paths["costs"], n)
-        rejects = bad.select("request_id", "reason").unionByName(lost.select("request_id", "reason"))
-        _store(rejects.unionByName(unknown.select("request_id", F.concat(F.lit("unknown cost: "), F.array_join("unknown_names", ", ")).alias("reason"))), paths["rejects"], n)
+        with temporary(batch.sparkSession):
+            judged = judged_run_exists(judged_cost_batches(batch.select("request_id", "run_id", "items")), runs)
+            judged = written(judged.select("request_id", "run_id", F.when(F.col("reason").isNull(), F.col("items")).alias("items"), "reason"), "judged")
+            items = judged.where("reason is null").select("request_id", "run_id", F.posexplode("items").alias("pos", "item")).select("request_id", "run_id", "pos", F.col("item.costName").alias("cost_name"), F.col("item.quantity").alias("quantity"))
+            priced, unknown = price_cost_items(items, prices)
+            _store(priced, paths["costs"], n)
+            rejects = judged.where("reason is not null").select("request_id", "reason")
+            _store(rejects.unionByName(unknown.select("request_id", F.concat(F.lit("unknown cost: "), F.array_join("unknown_names", ", ")).alias("reason"))), paths["rejects"], n)
 
     return _started(stream, step, paths)
 
