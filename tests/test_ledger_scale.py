@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from test_ledger import COST, RUN, grown, plain_descendants
-from treetally.operators import document, integrity, intervals, keys, lifecycle, listing, pricing
+from treetally.operators import document, integrity, intervals, keys, lifecycle, listing, pricing, tree
 from treetally.plans import queries
-from treetally.sources import layout
+from treetally.sources import layout, shared
 from treetally.sources import fixtures as fx
 from treetally.sources.shared import new_path
 from treetally.streaming import jobs
@@ -43,6 +43,20 @@ def test_intervals_hold_descendants(spark, shape):
     assert {(r["id"], r["other"]): r["below"] for r in below} == {(a, b): (b, a) in plain_descendants(rows, [b]) if {a, b} <= known else None for a, b in pairs}
 
 
+def test_labels_of_a_chain_take_no_rounds(spark, monkeypatch):
+    """A chain of 200 with a leaf on each node: the steps of the contraction are taken back, each by
+    one join, and no label is followed upwards round by round."""
+    tables = []
+    keep = lambda df, label, by=None: tables.append(label) or shared.written(df, label, **({"by": by} if by else {}))
+    for module in (intervals, tree):
+        monkeypatch.setattr(module, "written", keep)
+    rows = [(f"n{i}", f"n{i - 1}" if i else None) for i in range(200)] + [(f"leaf{i}", f"n{i}") for i in range(200)]
+    labels = {r["id"]: r for r in intervals.labelled(spark.createDataFrame(rows, RUN)).collect()}
+    assert all(labels[f"n{i}"]["depth"] == i and labels[f"leaf{i}"]["depth"] == i + 1 for i in range(200))
+    assert all(labels[p]["pre"] < labels[i]["pre"] <= labels[i]["last"] <= labels[p]["last"] for i, p in rows if p)
+    assert tables.count("labels") <= 3
+
+
 def test_intervals_refuse_cycles(spark):
     with pytest.raises(ValueError, match="cycle"):
         intervals.labelled(spark.createDataFrame([("a", "b"), ("b", "a"), ("c", None)], RUN))

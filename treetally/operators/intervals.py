@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import written
 from .skew import SPLIT, lookup
-from .tree import contracted, union_all
+from .tree import CHAINS, RAKED, contraction, union_all
 
 #: Numbers of a block, by which intervals are joined.
 BLOCK = 1 << 12
@@ -33,31 +33,37 @@ def labelled(runs: DataFrame, split: int = SPLIT) -> DataFrame:
     """(id, parent, pre, last, depth) for every run: depth 0 for a run without a parent, or whose parent
     isn't a run (parent is null then). Numbers are unique but may have gaps.
 
-    Subtree sizes come by contraction. In the order of parent and id, the running sum of sizes
-    gives each run its distance from the first of its siblings, and each root a range of its
-    own; numbers are the sums of these distances along the way up, which doubles each round.
-    Runs that are finished leave the rounds. Siblings of a parent with over `split` children
-    are dealt to many tasks. A cycle is an error."""
-    nodes = runs.select("id", F.col("parent_run_id").alias("parent"), F.lit(1).cast("long").alias("value"))
-    parents = runs.select("id", F.col("parent_run_id").alias("parent"))
-    sized = contracted(nodes).select("id", F.col("total").alias("size")).join(parents, "id")
-    sized = written(running_sums(sized, ["parent", "id"], "size", "at"), "sizes")
-    first = sized.where("parent is not null").groupBy("parent").agg(F.min("at").alias("first"))
-    first = first.join(runs.select(F.col("id").alias("parent")), "parent")  # parents that are runs
-    rows = lookup(sized, first, "parent", F.col("id"), split=split)
-    inner = F.col("first").isNotNull()
-    rows = rows.select("id", F.when(inner, F.col("parent")).alias("parent"), "size", F.when(inner, F.col("at") - F.col("first") + 1).otherwise(F.col("at")).alias("pre"), F.when(inner, 1).otherwise(0).alias("depth"))
-    rows = written(rows.withColumn("up", F.col("parent")), "labels")
-    done, moving = [rows.where("up is null")], rows.where("up is not null")
-    while not moving.isEmpty():
-        there = union_all(*[d.select("id", "pre", "depth", "up") for d in done], moving.select("id", "pre", "depth", "up"))
-        there = there.toDF("up", "more", "deeper", "further")
-        state = lookup(moving, there, "up", F.col("id"), how="inner", split=split)
-        state = state.select("id", "parent", "size", (F.col("pre") + F.col("more")).alias("pre"), (F.col("depth") + F.col("deeper")).alias("depth"), F.col("further").alias("up"))
-        state = written(state, "labels")
-        done.append(state.where("up is null"))
-        moving = state.where("up is not null")
-    return union_all(*done).select("id", "parent", "pre", (F.col("pre") + F.col("size") - 1).alias("last"), F.col("depth").cast("int").alias("depth"))
+    The steps of one contraction are taken back, last first. A run that was raked gets its place
+    behind its parent's number from the running sum of sizes in the order of parent and id, and a
+    root a range of its own; what is left of a subtree when its top is in a chain comes after all
+    that was raked into it, so that a run of a chain is just as many numbers before the run below
+    the chain as the chain's sum says. Each run is joined to its parent's, or that run's, label
+    once, however deep it lies. Children of a parent with over `split` are dealt to many tasks. A
+    cycle is an error."""
+    nodes = written(runs.select("id", F.col("parent_run_id").alias("parent")), "nodes")
+    steps = contraction(nodes.select("id", "parent", F.col("parent").alias("given"), F.lit(1).cast("long").alias("value")), deep=True)
+    raked = union_all(*[rows.select("id", "parent", "given", "total", "carry", "skip", (F.col("total") + F.col("carry")).alias("block"), F.lit(n).alias("step")) for n, (what, rows) in enumerate(steps) if what == RAKED])
+    raked = running_sums(raked, ["parent", "id"], "block", "at")
+    raked = written(raked.drop("block"), "places")
+    first = raked.where("parent is not null").groupBy("parent").agg(F.min("at").alias("first"))
+    raked = written(lookup(raked, first, "parent", F.col("id"), split=split), "places", by="step")
+    done = []
+    for n in range(len(steps) - 1, -1, -1):
+        there = union_all(*done).select("id", F.col("pre").alias("base"), F.col("depth").alias("level"), F.col("total").alias("below")) if done else None
+        if steps[n][0] == CHAINS:
+            rows = steps[n][1].join(there.withColumnRenamed("id", "down"), "down")
+            rows = rows.select("id", "given", (F.col("sum") + F.col("below")).alias("total"), (F.col("base") - F.col("sum")).alias("pre"), (F.col("level") - F.col("hops")).alias("depth"))
+        else:
+            rows = raked.where(F.col("step") == n)
+            if there is None:
+                rows = rows.withColumns({"base": F.lit(None).cast("long"), "level": F.lit(None).cast("int")})
+            else:
+                rows = lookup(rows, there.drop("below").withColumnRenamed("id", "parent"), "parent", F.col("id"), split=split)
+            inner = F.col("base").isNotNull()
+            pre = F.when(inner, F.col("base") + 1 + F.col("at") - F.col("first")).otherwise(F.col("at")) + F.col("carry")
+            rows = rows.select("id", "given", "total", pre.alias("pre"), (F.when(inner, F.col("level") + 1).otherwise(0) + F.col("skip")).alias("depth"))
+        done.append(written(rows, "labels") if n else rows)
+    return union_all(*done).select("id", F.when(F.col("depth") > 0, F.col("given")).alias("parent"), "pre", (F.col("pre") + F.col("total") - 1).alias("last"), F.col("depth").cast("int").alias("depth"))
 
 
 def descendants_within(labels: DataFrame, roots: DataFrame, block: int = BLOCK) -> DataFrame:

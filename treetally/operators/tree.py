@@ -16,6 +16,8 @@ from .listing import costs_total
 SHALLOW = 8
 #: Joins of one job that follows the pointers of a chain.
 HOPS = 3
+#: What a step of a contraction took away.
+RAKED, CHAINS = "raked", "chains"
 
 
 def descendants(runs: DataFrame, roots: DataFrame, shallow: int = SHALLOW) -> DataFrame:
@@ -116,13 +118,32 @@ def costs_totalled(runs: DataFrame, costs: DataFrame) -> DataFrame:
 
 def contracted(nodes: DataFrame) -> DataFrame:
     """(id, value, total): for each of nodes (id, parent, value) the sum of value over its subtree,
-    by tree contraction; other columns of nodes come along.
+    by tree contraction; other columns of nodes come along."""
+    kind = nodes.schema["value"].dataType
+    total = f"decimal(38,{kind.scale})" if isinstance(kind, DecimalType) else kind.simpleString()
+    known = ["id", *[c for c in nodes.columns if c not in ("id", "parent")]]
+    steps = contraction(nodes)
+    out = union_all(*[rows.select(*known, "total") for what, rows in steps if what == RAKED])
+    aside = [rows for what, rows in steps if what == CHAINS]
+    for n, chains in enumerate(reversed(aside), 1):
+        below = out.select(F.col("id").alias("down"), F.col("total").alias("below"))
+        given = chains.join(below, "down").select(*known, (F.col("sum") + F.col("below")).cast(total).alias("total"))
+        out = union_all(out, given if n == len(aside) else written(given, "rollup"))
+    return out
+
+
+def contraction(nodes: DataFrame, deep: bool = False) -> list[tuple[str, DataFrame]]:
+    """The steps in which nodes (id, parent, value) are taken away until none is left, each node in
+    one of them; other columns of nodes come along.
 
     The state has the nodes that aren't done, and shrinks. Raking: nodes without open children
     are done, and their totals are added to their parents. Once that takes under a fifth of the
     state, chains of nodes with one open child are compressed: such nodes leave the state with
     the sum from there to the node below their chain, which takes the place of the chain and
     carries what it holds; when all else is done they are given their totals, last chains first.
+    RAKED rows have `parent`, the node they were added to, `total` and `carry`, what chains between
+    the two hold; CHAINS have `down` and `sum`. With deep, `skip` and `hops` count the nodes of
+    chains that `carry` and `sum` pass.
 
     Children are added up before they are shuffled and no join has a parent as its key, so
     very many children of one parent never meet. A parent that isn't a node counts as none; a
@@ -131,59 +152,53 @@ def contracted(nodes: DataFrame) -> DataFrame:
     total = f"decimal(38,{kind.scale})" if isinstance(kind, DecimalType) else kind.simpleString()
     key, none = nodes.schema["id"].dataType.simpleString(), F.lit(0).cast(total)
     known = ["id", *[c for c in nodes.columns if c not in ("id", "parent")]]
-    open_ = F.col("kids") > 0
+    open_, carried = F.col("kids") > 0, {"carry": none} | ({"skip": F.lit(0)} if deep else {})
 
     def kept(rows: DataFrame) -> tuple[DataFrame, int, int]:
         seen = Observation()
         out = written(rows.observe(seen, F.count_if(open_).alias("open"), F.count_if(~open_).alias("done")), "rollup")
         return out, seen.get["open"], seen.get["done"]
 
-    counts = nodes.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("kids"), F.min(F.struct("id", none.alias("carry"))).alias("only"))
-    rows = nodes.join(counts, "id", "left").withColumns({"kids": F.coalesce("kids", F.lit(0)), "total": F.col("value").cast(total), "carry": none})
+    counts = nodes.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("kids"), F.min(F.struct("id", *[v.alias(c) for c, v in carried.items()])).alias("only"))
+    rows = nodes.join(counts, "id", "left").withColumns({"kids": F.coalesce("kids", F.lit(0)), "total": F.col("value").cast(total)} | carried)
     state, left, done = kept(rows)
-    finished, aside = [state.where(~open_)], []
+    steps = [(RAKED, state.where(~open_))]
     while left:
         if 4 * done < left:
-            state, chains = _compressed(state, known, total, key)
-            aside.append(chains)
+            state, chains = _compressed(state, known, total, key, deep)
             state, left, done = kept(state)
-            finished.append(state.where(~open_))
-            finished.pop(-2)  # the same nodes, under the parents they had
+            steps[-1:] = [(CHAINS, chains), (RAKED, state.where(~open_))]  # the same nodes, under the parents they have now
             if not left:
                 break
             if not done:
                 raise ValueError("runs.parent_run_id has a cycle")
         heard = state.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(
-            F.sum(F.when(~open_, F.col("total") + F.col("carry"))).cast(total).alias("gain"), F.count_if(open_).alias("still"), F.min(F.when(open_, F.struct("id", "carry"))).alias("only"))
+            F.sum(F.when(~open_, F.col("total") + F.col("carry"))).cast(total).alias("gain"), F.count_if(open_).alias("still"), F.min(F.when(open_, F.struct("id", *carried))).alias("only"))
         mine = state.where(open_).drop("only").join(heard, "id", "left")
         mine = mine.withColumns({"total": (F.col("total") + F.coalesce("gain", none)).cast(total), "kids": F.coalesce("still", F.lit(0))})
         state, left, done = kept(mine.drop("gain", "still"))
-        finished.append(state.where(~open_))
-    out = union_all(*[f.select(*known, "total") for f in finished])
-    for n, chains in enumerate(reversed(aside), 1):
-        below = out.select(F.col("id").alias("down"), F.col("total").alias("below"))
-        given = chains.join(below, "down").select(*known, (F.col("sum") + F.col("below")).cast(total).alias("total"))
-        out = union_all(out, given if n == len(aside) else written(given, "rollup"))
-    return out
+        steps.append((RAKED, state.where(~open_)))
+    return steps
 
 
-def _compressed(state: DataFrame, known: list[str], total: str, key: str) -> tuple[DataFrame, DataFrame]:
+def _compressed(state: DataFrame, known: list[str], total: str, key: str, deep: bool) -> tuple[DataFrame, DataFrame]:
     """state without its chains, and their nodes with `down`, the node below the chain, and `sum`,
-    what they have more than it. Each job follows the pointers of the one before HOPS times, so a
-    reach of r becomes (HOPS + 1) * r, and the pointers that are followed are shuffled once. A
-    pointer that has left the chain looks up its own node from then on: no key has over two rows
-    in a join, though all nodes of a chain end at one."""
+    what they have more than it (with deep also `hops`, how many nodes). Each job follows the pointers
+    of the one before HOPS times, so a reach of r becomes (HOPS + 1) * r, and the pointers that are
+    followed are shuffled once. A pointer that has left the chain looks up its own node from then on:
+    no key has over two rows in a join, though all nodes of a chain end at one."""
     chain = F.col("kids") == 1
-    steps = state.where(chain).select("id", F.col("only.id").cast(key).alias("down"), (F.col("total") + F.col("only.carry")).cast(total).alias("sum"), F.lit(False).alias("fixed"))
+    sums = {"sum": (F.col("total"), "carry", total)} | ({"hops": (F.lit(1), "skip", "int")} if deep else {})
+    steps = state.where(chain).select("id", F.col("only.id").cast(key).alias("down"), *[(own + F.col(f"only.{c}")).cast(t).alias(s) for s, (own, c, t) in sums.items()], F.lit(False).alias("fixed"))
     reach, most = 1, None
     while True:
-        there = steps.select(F.col("id").alias("key"), F.col("down").alias("further"), F.col("sum").alias("more"), F.col("fixed").alias("ends"))
+        there = steps.select(F.col("id").alias("key"), F.col("down").alias("further"), *[F.col(s).alias(f"more_{s}") for s in sums], F.col("fixed").alias("ends"))
         moved = steps.where("not fixed")
         for _ in range(HOPS):
             goes = ~F.col("fixed")
             moved = moved.withColumn("key", F.when(goes, F.col("down")).otherwise(F.col("id"))).join(there, "key", "left").select(
                 "id", F.when(goes, F.coalesce("further", "down")).otherwise(F.col("down")).alias("down"),
-                (F.col("sum") + F.when(goes, F.coalesce("more", F.lit(0).cast(total))).otherwise(F.lit(0).cast(total))).cast(total).alias("sum"),
+                *[(F.col(s) + F.when(goes, F.coalesce(f"more_{s}", F.lit(0).cast(t))).otherwise(F.lit(0).cast(t))).cast(t).alias(s) for s, (_, _, t) in sums.items()],
                 (F.col("fixed") | F.coalesce("ends", F.lit(True))).alias("fixed"))
         seen = Observation()
         moving = F.count_if(~F.col("fixed")).alias("moving")
@@ -193,10 +208,11 @@ def _compressed(state: DataFrame, known: list[str], total: str, key: str) -> tup
         reach, most = (HOPS + 1) * reach, most or seen.get["n"]
         if reach > (HOPS + 1) * most:
             raise ValueError("runs.parent_run_id has a cycle")
-    held = state.where(chain).select(*known, "parent", "carry").join(steps.drop("fixed"), "id")
-    inside = held.select(F.col("id").alias("parent"))
-    tops = held.join(inside, "parent", "left_anti").select(F.col("down").alias("id"), F.col("parent").alias("above"), (F.col("sum") + F.col("carry")).cast(total).alias("carried"), F.lit(True).alias("moves"))
+    carried = [c for _, c, _ in sums.values()]
+    held = state.where(chain).select(*known, "parent", *carried).join(steps.drop("fixed"), "id")
+    inside = state.where(chain).select(F.col("only.id").cast(key).alias("id"))  # those whose parent is in a chain
+    tops = held.join(inside, "id", "left_anti").select(F.col("down").alias("id"), F.col("parent").alias("above"), *[(F.col(s) + F.col(c)).cast(t).alias(f"new_{c}") for s, (_, c, t) in sums.items()], F.lit(True).alias("moves"))
     rest = state.where(~chain).join(tops, "id", "left")
     moves = F.coalesce("moves", F.lit(False))
-    rest = rest.withColumns({"parent": F.when(moves, F.col("above")).otherwise(F.col("parent")), "carry": F.when(moves, F.col("carried")).otherwise(F.col("carry"))})
-    return rest.drop("above", "carried", "moves"), held.select(*known, "down", "sum")
+    rest = rest.withColumns({"parent": F.when(moves, F.col("above")).otherwise(F.col("parent"))} | {c: F.when(moves, F.col(f"new_{c}")).otherwise(F.col(c)) for c in carried})
+    return rest.drop("above", "moves", *[f"new_{c}" for c in carried]), held.select(*known, "down", *sums)
