@@ -150,6 +150,21 @@ def test_create_runs_in_many_batches(spark):
     assert runs.join(orgs.select(F.col("id").alias("organization_id")), "organization_id", "left_anti").count() == 0
 
 
+def test_create_runs_reads_a_batch_once(spark):
+    """Each request is read and judged once, whatever is written of it."""
+    source, out, d = new_path(spark, "requests"), new_path(spark, "stream"), "/root/testdata/sf0.001"
+    requests = fx.create_requests(spark, d).withColumn("request_id", F.col("request_id").cast("string"))
+    requests.write.parquet(source)
+    reads = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda x: (reads.add(1), x)[1]).asNondeterministic()
+    stream = spark.readStream.schema(requests.schema).parquet(source).withColumn("appId", seen("appId"))
+    none = {"organizations": "id string, external_id string", "users": "id string, external_id string, organization_id string", "runs": "id string"}
+    jobs.stream_create_runs(stream, {k: spark.createDataFrame([], s) for k, s in none.items()}, {k: f"{out}/{k}" for k in ("organizations", "users", "runs", "rejects", "checkpoint")}).awaitTermination()
+    n = requests.count()
+    assert reads.value == n
+    assert spark.read.parquet(f"{out}/runs").count() + spark.read.parquet(f"{out}/rejects").count() == n
+
+
 def test_own_cost_goes_on_after_a_restart(spark):
     source, out = new_path(spark, "lines"), new_path(spark, "stream")
     rows = [(f"r{i % 5}", Decimal(i)) for i in range(40)]

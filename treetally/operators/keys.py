@@ -18,19 +18,39 @@ def resolve_orgs(requests: DataFrame, orgs: DataFrame, new_id: Column | None = N
 
     A tenant with very many requests is dealt to several tasks. New ids are random unless new_id (of external_id) is given; write the second result before
     using both, or give new_id."""
+    new = new_orgs(requests, orgs, new_id)
+    keys = orgs.select("external_id", "id").unionByName(new.select("external_id", F.col("id").cast(orgs.schema["id"].dataType).alias("id")))
+    return with_orgs(requests, keys), new
+
+
+def new_orgs(requests: DataFrame, orgs: DataFrame, new_id: Column | None = None) -> DataFrame:
+    """The organizations to add of requests."""
     wanted = requests.select(F.col("clerkOrgId").alias("external_id")).where("external_id is not null").distinct()
-    new = _stamped(wanted.join(orgs.select("external_id"), "external_id", "left_anti"), new_id).select("id", "external_id", "created_at", "updated_at")
-    keys = orgs.select("external_id", F.col("id").alias("organization_id")).unionByName(new.select("external_id", F.col("id").cast(orgs.schema["id"].dataType).alias("organization_id")))
-    return lookup(requests, keys.withColumnRenamed("external_id", "clerkOrgId"), "clerkOrgId", F.col("request_id")), new
+    return _stamped(wanted.join(orgs.select("external_id"), "external_id", "left_anti"), new_id).select("id", "external_id", "created_at", "updated_at")
+
+
+def with_orgs(requests: DataFrame, orgs: DataFrame, heavy: DataFrame | None = None) -> DataFrame:
+    """requests with organization_id, all organizations being known. heavy: of the tenants, as lookup takes it."""
+    return lookup(requests, orgs.select(F.col("external_id").alias("clerkOrgId"), F.col("id").alias("organization_id")), "clerkOrgId", F.col("request_id"), heavy)
 
 
 def resolve_users(requests: DataFrame, users: DataFrame, new_id: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """requests (with organization_id) with user_id, and the users to add. A user is known by
     external id alone; a new one belongs to the organization of its first request."""
+    new = new_users(requests, users, new_id)
+    keys = users.select("external_id", "id").unionByName(new.select("external_id", F.col("id").cast(users.schema["id"].dataType).alias("id")))
+    return with_users(requests, keys), new
+
+
+def new_users(requests: DataFrame, users: DataFrame, new_id: Column | None = None) -> DataFrame:
+    """The users to add of requests (with organization_id)."""
     wanted = requests.where("clerkUserId is not null").groupBy(F.col("clerkUserId").alias("external_id")).agg(F.min_by("organization_id", F.struct("ts", "seq")).alias("organization_id"))
-    new = _stamped(wanted.join(users.select("external_id"), "external_id", "left_anti"), new_id).select("id", "external_id", "organization_id", "created_at", "updated_at")
-    keys = users.select("external_id", F.col("id").alias("user_id")).unionByName(new.select("external_id", F.col("id").cast(users.schema["id"].dataType).alias("user_id")))
-    return lookup(requests, keys.withColumnRenamed("external_id", "clerkUserId"), "clerkUserId", F.col("request_id")), new
+    return _stamped(wanted.join(users.select("external_id"), "external_id", "left_anti"), new_id).select("id", "external_id", "organization_id", "created_at", "updated_at")
+
+
+def with_users(requests: DataFrame, users: DataFrame, heavy: DataFrame | None = None) -> DataFrame:
+    """requests with user_id, all users being known. heavy: of the users, as lookup takes it."""
+    return lookup(requests, users.select(F.col("external_id").alias("clerkUserId"), F.col("id").alias("user_id")), "clerkUserId", F.col("request_id"), heavy)
 
 
 def _told(rows: DataFrame, runs: DataFrame, key: str, split: int) -> DataFrame:

@@ -18,12 +18,24 @@ def _split(rows: DataFrame, problems: list[Column]) -> tuple[DataFrame, DataFram
     return good, marked.where(F.size("errors") > 0).withColumn("reason", F.array_join("errors", "; ")).drop("errors")
 
 
-def validate_runs(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Required texts present and not empty, optional ones not empty, the parent a UUID."""
+def _judged(rows: DataFrame, problems: list[Column]) -> DataFrame:
+    return _marked(rows, problems).withColumn("reason", F.when(F.size("errors") > 0, F.array_join("errors", "; "))).drop("errors")
+
+
+def _run_problems() -> list[Column]:
     problems = [F.when(F.coalesce(F.length(c) < 1, F.lit(True)), f"{c} required") for c in ("clerkOrgId", "appId", "serviceName", "taskName")]
     problems += [F.when(F.length(c) < 1, f"{c} empty") for c in ("clerkUserId", "brandId", "campaignId")]
-    problems.append(F.when(~F.col("parentRunId").rlike(UUID), "parentRunId no UUID"))
-    return _split(requests, problems)
+    return [*problems, F.when(~F.col("parentRunId").rlike(UUID), "parentRunId no UUID")]
+
+
+def judged_runs(requests: DataFrame) -> DataFrame:
+    """requests with reason, as validate_runs rejects them; null where a request is accepted."""
+    return _judged(requests, _run_problems())
+
+
+def validate_runs(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Required texts present and not empty, optional ones not empty, the parent a UUID."""
+    return _split(requests, _run_problems())
 
 
 def validate_status_updates(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -39,8 +51,7 @@ def _batch_problems() -> list[Column]:
 
 def judged_cost_batches(requests: DataFrame) -> DataFrame:
     """requests with reason, as validate_cost_batches rejects them; null where a request is accepted."""
-    marked = _marked(requests, _batch_problems())
-    return marked.withColumn("reason", F.when(F.size("errors") > 0, F.array_join("errors", "; "))).drop("errors")
+    return _judged(requests, _batch_problems())
 
 
 def validate_cost_batches(requests: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -66,9 +66,10 @@ def temporary(spark: SparkSession) -> Iterator[None]:
                 fs.delete(place, True)
 
 
-def written(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+def written(df: DataFrame, label: str, by: str | None = None, session: SparkSession | None = None) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage and survives lost executors. by: a column
-    of few values, by which its files are kept apart."""
-    path = new_path(df.sparkSession, label)
+    of few values, by which its files are kept apart. session: that reads it, by default that of df."""
+    session = session or df.sparkSession
+    path = new_path(session, label)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return session.read.schema(df.schema).parquet(path)

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..operators.keys import apply_run_defaults, check_parent_exists, judged_run_exists, resolve_orgs, resolve_users, update_target_exists
+from ..operators.keys import apply_run_defaults, check_parent_exists, judged_run_exists, new_orgs, new_users, update_target_exists, with_orgs, with_users
 from ..operators.lifecycle import last_updates
 from ..operators.pricing import price_cost_items
-from ..operators.validate import judged_cost_batches, validate_runs, validate_status_updates
+from ..operators.skew import heavy_keys
+from ..operators.validate import judged_cost_batches, judged_runs, validate_status_updates
 from ..sources.schemas import TABLES
 from ..sources.shared import temporary, written
 from .levels import FAN, Levels
@@ -33,7 +34,9 @@ def stream_create_runs(stream: DataFrame, tables: dict[str, DataFrame], paths: d
     their run is then rejected for its parent. New ids are random unless new_id(kind) gives a
     column for organizations, users or runs.
 
-    Keys of earlier batches are kept beside each table (`..._keys`) in levels of merged runs, so
+    A batch is read and judged once; what that left goes when the batch ends. Parents are checked
+    before organizations and users are joined, so that whole requests are shuffled once, for their
+    user. Keys of earlier batches are kept beside each table (`..._keys`) in levels of merged runs, so
     that a batch reads few files and no other columns, however many batches went before."""
     make, spark = new_id or (lambda kind: None), stream.sparkSession
 
@@ -51,15 +54,20 @@ def stream_create_runs(stream: DataFrame, tables: dict[str, DataFrame], paths: d
         stored = spark.read.schema(rows.schema).parquet(f"{paths[name]}/batch_id={n}")  # random ids are those written
         keys[name].add(stored, n)
 
+    def heavy(rows: DataFrame, key: str) -> DataFrame:
+        return written(heavy_keys(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key), "heavy")
+
     def step(batch: DataFrame, n: int) -> None:
-        good, bad = validate_runs(batch)
-        put("organizations", resolve_orgs(good, known("organizations", n), make("organizations"))[1], n)
-        with_org = resolve_orgs(good, known("organizations", n + 1))[0]
-        put("users", resolve_users(with_org, known("users", n), make("users"))[1], n)
-        with_user = resolve_users(with_org, known("users", n + 1))[0]
-        fine, orphans = check_parent_exists(with_user, known("runs", n))
-        put("runs", apply_run_defaults(fine, make("runs")), n)
-        _store(bad.select("request_id", "reason").unionByName(orphans.select("request_id", "reason")), paths["rejects"], n)
+        with temporary(spark):
+            judged = written(judged_runs(batch), "judged", session=spark)
+            good = judged.where("reason is null").drop("reason")
+            orgs, users = heavy(good, "clerkOrgId"), heavy(good, "clerkUserId")
+            put("organizations", new_orgs(good, known("organizations", n), make("organizations")), n)
+            put("users", new_users(with_orgs(good, known("organizations", n + 1), orgs), known("users", n), make("users")), n)
+            parents = good.select(F.col("parentRunId").alias("id")).where("id is not null").distinct()
+            fine, orphans = check_parent_exists(good, written(parents.join(known("runs", n), "id", "left_semi"), "parents"))
+            put("runs", apply_run_defaults(with_users(with_orgs(fine, known("organizations", n + 1), orgs), known("users", n + 1), users), make("runs")), n)
+            _store(judged.where("reason is not null").select("request_id", "reason").unionByName(orphans.select("request_id", "reason")), paths["rejects"], n)
 
     return _started(stream, step, paths)
 

@@ -19,9 +19,9 @@ FAN = 8
 
 class Levels:
     """Runs under path. merge: what becomes of several runs' rows, by default all of them. files: of
-    each run; a large table wants more."""
+    each run; by default as many as its size asks for, one if it is small."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: StructType, fan: int = FAN, merge: Callable[[DataFrame], DataFrame] = lambda rows: rows, files: int = 1):
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, fan: int = FAN, merge: Callable[[DataFrame], DataFrame] = lambda rows: rows, files: int | None = None):
         self.spark, self.path, self.schema, self.fan, self.merge, self.files = spark, path, schema, fan, merge, files
 
     def runs(self, batches: int) -> list[str]:
@@ -54,4 +54,4 @@ class Levels:
             level, width = level + 1, width * self.fan
 
     def _write(self, rows: DataFrame, level: int, run: int) -> None:
-        rows.select(self.schema.names).repartition(self.files, self.schema.names[0]).write.mode("overwrite").parquet(f"{self.path}/level={level}/run={run}")
+        rows.select(self.schema.names).repartition(*([self.files] if self.files else []), self.schema.names[0]).write.mode("overwrite").parquet(f"{self.path}/level={level}/run={run}")
